@@ -16,6 +16,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .order import dedupe_edges, linear_quantile_plan, linear_quantiles_from_stats, ordered_prefix
 
@@ -36,39 +37,47 @@ def distinct_counts(long: DataFrame, extra_aggs=()) -> DataFrame:
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *extra_aggs)
 
 
-def quantile_edges_from_distinct(dist: DataFrame, n_bins: int, weight_col: str = "n"):
-    """Exact pandas ``qcut`` edges for every feature of a distinct-value table.
+def exact_quantiles(dist: DataFrame, key_cols: Sequence[str], qs: Sequence[float], weight_col: str = "n",
+                    value_col: str = "value") -> dict[tuple, tuple[list[float], int]]:
+    """Exact numpy/pandas linear quantiles per key over a distinct-value table.
 
-    Returns {feature: (raw_edges, n)} where raw_edges has n_bins+1 entries (duplicates
-    not yet dropped). Features with no values are absent.
+    ``dist`` holds one row per (key..., value) with a count. Returns
+    {key_tuple: (quantiles, n)}. Only the order statistics the quantiles need are read
+    back (at most 2 per quantile per key), found by a broadcast join of the wanted
+    positions against the per-value [start, start + count) ranges.
     """
-    qs = np.linspace(0, 1, n_bins + 1)
-    pref, totals = ordered_prefix(dist.select("feature", "value", weight_col), ["value"], ["feature"],
+    spark = dist.sparkSession
+    keys = list(key_cols)
+    pref, totals = ordered_prefix(dist.select(*keys, value_col, weight_col), [value_col], keys,
                                   weight_col=weight_col)
     if not totals:
         return {}
-    plans = {k[0]: linear_quantile_plan(int(n), qs) for k, n in totals.items()}
-    need = {f: sorted({i for p, nx, _ in plan for i in (p, nx)}) for f, plan in plans.items()}
-    need_map = F.create_map(*[x for f, idx in need.items()
-                              for x in (F.lit(f), F.array(*[F.lit(int(i)).cast("long") for i in idx]))])
-    hits = (pref.where(F.exists(F.element_at(need_map, F.col("feature")),
-                                lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_w"))))
-            .select("feature", "value", "_start", "_w").collect())
-    by_feat: dict[str, list] = {}
+    plans = {k: linear_quantile_plan(int(n), qs) for k, n in totals.items()}
+    want = [(*k, int(i)) for k, plan in plans.items() for i in sorted({j for p, nx, _ in plan for j in (p, nx)})]
+    schema = T.StructType([dist.schema[c] for c in keys] + [T.StructField("_want", T.LongType(), False)])
+    want_df = spark.createDataFrame(want, schema)
+    cond = [pref[c].eqNullSafe(want_df[c]) for c in keys]
+    cond.append((want_df["_want"] >= pref["_start"]) & (want_df["_want"] < pref["_start"] + pref["_w"]))
+    hits = (pref.join(F.broadcast(want_df), cond, "inner")
+            .select(*[want_df[c] for c in keys], want_df["_want"], pref[value_col]).collect())
+    found: dict[tuple, dict[int, float]] = {}
     for r in hits:
-        by_feat.setdefault(r["feature"], []).append((int(r["_start"]), int(r["_w"]), float(r["value"])))
+        found.setdefault(tuple(r[:len(keys)]), {})[int(r["_want"])] = float(r[value_col])
     out = {}
-    for f, plan in plans.items():
-        blocks = sorted(by_feat.get(f, []))
+    for k, plan in plans.items():
+        vals = found.get(k, {})
+        out[k] = (linear_quantiles_from_stats(plan, lambda i, vals=vals: vals[i]), int(totals[k]))
+    return out
 
-        def value_at(i, blocks=blocks):
-            for s, w, v in blocks:
-                if s <= i < s + w:
-                    return v
-            raise KeyError(i)
 
-        out[f] = (linear_quantiles_from_stats(plan, value_at), int(totals[(f,)]))
-    return out
+def quantile_edges_from_distinct(dist: DataFrame, n_bins: int, weight_col: str = "n"):
+    """Exact pandas ``qcut`` edges for every feature of a distinct-value table.
+
+    Returns {feature: (raw_edges, n)} where raw_edges has n_bins+1 entries (duplicates
+    not yet dropped). Features with no values are absent.
+    """
+    res = exact_quantiles(dist, ["feature"], np.linspace(0, 1, n_bins + 1), weight_col)
+    return {k[0]: v for k, v in res.items()}
 
 
 def equal_width_edges(mn: float, mx: float, n_bins: int) -> list[float]:
