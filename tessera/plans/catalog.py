@@ -3,4 +3,5 @@
 from . import q_scorecard  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_stats  # noqa: F401
+from . import q_text  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
