@@ -5,4 +5,5 @@ from . import q_profile  # noqa: F401
 from . import q_stats  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_ml  # noqa: F401
+from . import q_stream  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
