@@ -78,14 +78,11 @@ def roc_curve(df: DataFrame, y: str, score: str, drop_intermediate: bool = True)
     d = (df.select(F.col(y).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
          .where(F.col("y").isNotNull() & F.col("s").isNotNull())
          .groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.count(F.lit(1)).alias("cnt")))
-    pref, tot = ordered_prefix(d, [F.desc("s")], weight_col=None)
-    P, N = pref.agg(F.sum("pos"), F.sum(F.col("cnt") - F.col("pos"))).first()
-    # cumulative positives/negatives through each distinct score: second prefix pass on pos
-    pp, _ = ordered_prefix(d.select("s", F.col("pos").alias("w"), "cnt", "pos"), [F.desc("s")], weight_col="w")
-    pc, _ = ordered_prefix(d.select("s", (F.col("cnt") - F.col("pos")).alias("w")), [F.desc("s")], weight_col="w")
-    pts = (pref.select("s", F.col("_start").alias("idx"))
-           .join(pp.select("s", (F.col("_start") + F.col("_w")).alias("tps")), "s")
-           .join(pc.select("s", (F.col("_start") + F.col("_w")).alias("fps")), "s"))
+    d = d.withColumn("neg", F.col("cnt") - F.col("pos"))
+    pref, _ = ordered_prefix(d, [F.desc("s")], weight_col=None, sum_cols=["pos", "neg"])
+    P, N = pref.agg(F.sum("pos"), F.sum("neg")).first()
+    pts = pref.select("s", F.col("_start").alias("idx"), (F.col("_cum_pos") + F.col("pos")).alias("tps"),
+                      (F.col("_cum_neg") + F.col("neg")).alias("fps"))
     start = spark.createDataFrame([(float("inf"), -1, 0, 0)], "s double, idx long, tps long, fps long")
     pts = start.unionByName(pts)
     if drop_intermediate:

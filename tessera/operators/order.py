@@ -37,14 +37,13 @@ from ..session import default_partitions
 MAX_OFFSET_ROWS = 2_000_000  # partitions + groups; far above any sane config
 
 
-def _sort_name(c: str | Column) -> str:
-    return c if isinstance(c, str) else None
-
-
 def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
-                   weight_col: str | None = None, num_partitions: int | None = None):
+                   weight_col: str | None = None, num_partitions: int | None = None,
+                   sum_cols: Sequence[str] = ()):
     """Add ``_start`` = total weight of rows before this one (0-based) inside its group,
-    and ``_w`` = the row's weight. Returns ``(df_with_start, group_totals)`` where
+    and ``_w`` = the row's weight. For every column in ``sum_cols`` also add
+    ``_cum_<col>`` = the exclusive running sum of that column in the same order (one
+    pass for several running sums). Returns ``(df_with_start, group_totals)`` where
     ``group_totals`` maps a group tuple to its total weight (bin-sized, on the driver).
     """
     spark = df.sparkSession
@@ -53,63 +52,71 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
     okeys = [col_of(c) for c in order_cols]
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     base = df.withColumn("_w", w)
+    sums = ["_w", *sum_cols]
     ranged = (base.repartitionByRange(parts, *gcols, *okeys)
               .sortWithinPartitions(*gcols, *okeys)
               .withColumn("_pid", F.spark_partition_id()))
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField("_before", T.LongType(), False)])
+    out_schema = T.StructType(ranged.schema.fields + [T.StructField(f"_b{i}", T.LongType(), False)
+                                                      for i in range(len(sums))])
     gnames = list(group_cols)
 
     def local_prefix(batches):
         carry_key = None
-        carry = 0
+        carry = [0] * len(sums)
         for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(_before=pd.Series([], dtype="int64"))
+            n = len(pdf)
+            if n == 0:
+                yield pdf.assign(**{f"_b{i}": pd.Series([], dtype="int64") for i in range(len(sums))})
                 continue
-            wv = pdf["_w"].to_numpy(dtype=np.int64)
-            n = len(wv)
             if gnames:
-                keys = list(zip(*(pdf[g].tolist() for g in gnames)))
-                change = np.ones(n, dtype=bool)
-                change[1:] = [keys[i] != keys[i - 1] for i in range(1, n)]
-                cont_first = carry_key is not None and keys[0] == carry_key
-                change[0] = not cont_first
+                g = pdf[gnames].astype(object)
+                g = g.where(g.notna(), "\x00null")
+                change = (g != g.shift()).any(axis=1).to_numpy()
+                first_key = tuple(g.iloc[0].tolist())
+                cont_first = carry_key is not None and first_key == carry_key
+                last_key = tuple(g.iloc[-1].tolist())
             else:
-                keys = None
                 change = np.zeros(n, dtype=bool)
                 cont_first = carry_key is not None
-                change[0] = not cont_first
-            excl = np.cumsum(wv) - wv
+                last_key = ()
+            change[0] = not cont_first
             starts = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-            before = excl - excl[starts]
-            if cont_first:
-                first_seg = starts == 0
-                before[first_seg] += carry
-            # carry for the next batch: running total of the last segment
+            first_seg = starts == 0
             last_start = starts[-1]
-            seg_total = int(before[last_start] + wv[last_start:].sum())
-            carry = seg_total
-            carry_key = keys[-1] if keys is not None else ()
-            yield pdf.assign(_before=before.astype(np.int64))
+            cols = {}
+            for i, c in enumerate(sums):
+                wv = pdf[c].fillna(0).to_numpy(dtype=np.int64)
+                excl = np.cumsum(wv) - wv
+                before = excl - excl[starts]
+                if cont_first:
+                    before[first_seg] += carry[i]
+                carry[i] = int(before[last_start] + wv[last_start:].sum())
+                cols[f"_b{i}"] = before.astype(np.int64)
+            carry_key = last_key
+            yield pdf.assign(**cols)
 
     local = ranged.mapInPandas(local_prefix, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = local.groupBy("_pid", *gnames).agg(F.sum("_w").alias("_tot")).collect()
+    totals = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)]).collect()
     if len(totals) > MAX_OFFSET_ROWS:
         raise RuntimeError("too many (partition, group) pairs for an offsets table")
-    acc: dict[tuple, int] = defaultdict(int)
+    acc: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(sums))
     offs = []
     for r in sorted(totals, key=lambda r: r["_pid"]):
         key = tuple(r[g] for g in gnames)
-        offs.append((r["_pid"], *key, int(acc[key])))
-        acc[key] += int(r["_tot"])
+        cur = acc[key]
+        offs.append((r["_pid"], *key, *[int(v) for v in cur]))
+        for i in range(len(sums)):
+            cur[i] += int(r[f"_t{i}"] or 0)
     off_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
                               + [df.schema[g] for g in gnames]
-                              + [T.StructField("_off", T.LongType(), False)])
-    off_df = spark.createDataFrame(offs, off_schema) if offs else spark.createDataFrame([], off_schema)
-    res = (local.join(F.broadcast(off_df), ["_pid", *gnames], "inner")
-           .withColumn("_start", F.col("_off") + F.col("_before"))
-           .drop("_off", "_before", "_pid"))
-    return res, dict(acc)
+                              + [T.StructField(f"_o{i}", T.LongType(), False) for i in range(len(sums))])
+    off_df = spark.createDataFrame(offs, off_schema)
+    res = local.join(F.broadcast(off_df), ["_pid", *gnames], "inner")
+    res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
+    for i, c in enumerate(sum_cols, start=1):
+        res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
+    res = res.drop("_pid", *[f"_o{i}" for i in range(len(sums))], *[f"_b{i}" for i in range(len(sums))])
+    return res, {k: v[0] for k, v in acc.items()}
 
 
 # ---------------------------------------------------------------------------

@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str =
 
     @F.pandas_udf("double")
     def pval(r, n):
-        return np.array([_corr_p(None if rv != rv else float(rv), int(nv)) for rv, nv in zip(r, n)], dtype=float)
+        return pd.Series([_corr_p(None if rv != rv else float(rv), int(nv)) for rv, nv in zip(r, n)], dtype=float)
 
     if method == "kendall":
         return tall
