@@ -27,7 +27,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +39,16 @@ MAX_OFFSET_ROWS = 2_000_000  # partitions + groups; far above any sane config
 
 def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
                    weight_col: str | None = None, num_partitions: int | None = None,
-                   sum_cols: Sequence[str] = ()):
+                   sum_cols: Sequence[str] = (), collect_totals: bool = True):
     """Add ``_start`` = total weight of rows before this one (0-based) inside its group,
     and ``_w`` = the row's weight. For every column in ``sum_cols`` also add
     ``_cum_<col>`` = the exclusive running sum of that column in the same order (one
     pass for several running sums). Returns ``(df_with_start, group_totals)`` where
     ``group_totals`` maps a group tuple to its total weight (bin-sized, on the driver).
+
+    With ``collect_totals=False`` (many groups, e.g. one per distinct value) the
+    per-(partition, group) offsets are computed by a window over the totals table and
+    joined back without touching the driver; ``group_totals`` is then None.
     """
     spark = df.sparkSession
     parts = num_partitions or default_partitions(spark)
@@ -96,6 +100,16 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
             yield pdf.assign(**cols)
 
     local = ranged.mapInPandas(local_prefix, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    if not collect_totals:
+        tot = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+        wo = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offs_df = tot.select("_pid", *gnames, *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).cast("long").alias(f"_o{i}")
+                                                for i in range(len(sums))])
+        res = local.join(offs_df, ["_pid", *gnames], "inner")
+        res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
+        for i, c in enumerate(sum_cols, start=1):
+            res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
+        return res.drop("_pid", *[f"_o{i}" for i in range(len(sums))], *[f"_b{i}" for i in range(len(sums))]), None
     totals = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)]).collect()
     if len(totals) > MAX_OFFSET_ROWS:
         raise RuntimeError("too many (partition, group) pairs for an offsets table")

@@ -232,3 +232,12 @@ UNION ALL
 SELECT round(decile * (100.0::DOUBLE / mx), 6) AS percentile, round(CAST(ce AS DOUBLE) / te, 6) AS cumulative_gain FROM k""")
 def q_r3_gain_table(spark, sf):
     return round_doubles(risk.gain_table(_orders_summary(spark, sf)))
+
+
+@register("a20_woe_tree_bins")
+def q_a20_woe_tree_bins(spark, sf):
+    """Supervised (best-first Gini tree) bins; no SQL equivalent - checked against a
+    single-machine implementation in tests."""
+    tab, _ = scorecard.woe_tables(_returnflag_r(spark, sf), ["l_extendedprice", "l_quantity"], "is_r", n_bins=10,
+                                  method="tree")
+    return round_doubles(tab.drop("_err"))

@@ -153,3 +153,29 @@ def q_t10_spearman(spark, sf):
 
 
 
+
+
+KENDALL_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+def _kendall_sql() -> str:
+    pairs = [(KENDALL_COLS[i], KENDALL_COLS[j]) for i in range(3) for j in range(i + 1, 3)]
+    parts = []
+    for a, b in pairs:
+        parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, any_value(n) AS n,
+  sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt((any_value(n) * (any_value(n) - 1) / 2.0 - any_value(tx))
+        * (any_value(n) * (any_value(n) - 1) / 2.0 - any_value(ty))) AS r
+FROM (SELECT row_number() OVER () AS id, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM customer
+      WHERE {a} IS NOT NULL AND {b} IS NOT NULL) p
+JOIN (SELECT row_number() OVER () AS id, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM customer
+      WHERE {a} IS NOT NULL AND {b} IS NOT NULL) q ON p.id < q.id,
+ (SELECT count(*) AS n FROM customer WHERE {a} IS NOT NULL AND {b} IS NOT NULL) nn,
+ (SELECT coalesce(sum(t * (t - 1) / 2.0), 0) AS tx FROM (SELECT count(*) AS t FROM customer WHERE {b} IS NOT NULL GROUP BY {a})) ax,
+ (SELECT coalesce(sum(t * (t - 1) / 2.0), 0) AS ty FROM (SELECT count(*) AS t FROM customer WHERE {a} IS NOT NULL GROUP BY {b})) ay""")
+    return "WITH k AS (" + " UNION ALL ".join(parts) + ") SELECT col_a, col_b, CAST(n AS BIGINT) AS n, round(r, 6) AS r FROM k"
+
+
+@register("t11_kendall", _kendall_sql())
+def q_t11_kendall(spark, sf):
+    out = stats.correlation(table(spark, sf, "customer"), KENDALL_COLS, "kendall")
+    return round_doubles(out.select("col_a", "col_b", "n", "r"))
