@@ -7,4 +7,5 @@ from . import q_text  # noqa: F401
 from . import q_ml  # noqa: F401
 from . import q_stream  # noqa: F401
 from . import q_neighbors  # noqa: F401
+from . import q_models  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
