@@ -225,27 +225,43 @@ def grid_search(df: DataFrame, numeric, categorical, label: str, key: str, model
 
 
 def random_search(df: DataFrame, numeric, categorical, label: str, key: str, model_name: str,
-                  space: dict[str, tuple], n_trials: int = 10, k: int = 3, seed: int = SEED) -> DataFrame:
+                  space: dict[str, tuple], n_trials: int = 50, k: int = 3, seed: int = SEED,
+                  parallelism: int = 8) -> DataFrame:
     """Seeded random search over int / float / log-float / categorical spaces,
-    maximising mean CV accuracy; the trial log."""
+    maximising mean CV accuracy. All trials are sampled first and evaluated by one
+    CrossValidator (parallel fits); returns the trial log (trial, params, value)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
     rng = random.Random(seed)
-    grid_rows = []
-    for t in range(n_trials):
-        params = {}
+    folded = fold_column(df, label, key, k, col="_fold").select(*numeric, *categorical, label, "_fold").cache()
+    pipe = build_pipeline(model_name, "classification", numeric, categorical, label, folded)
+    est = pipe.getStages()[-1]
+    maps, shown = [], []
+    for _t in range(n_trials):
+        pm = {}
         for name, spec in space.items():
             kind = spec[0]
             if kind == "int":
-                params[name] = rng.randint(spec[1], spec[2])
+                v = rng.randint(spec[1], spec[2])
             elif kind == "float":
-                params[name] = rng.uniform(spec[1], spec[2])
+                v = rng.uniform(spec[1], spec[2])
             elif kind == "logfloat":
-                params[name] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
+                v = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
             else:
-                params[name] = rng.choice(spec[1])
-        res = grid_search(df, numeric, categorical, label, key, model_name, {p: [v] for p, v in params.items()}, k)
-        r = res.first()
-        grid_rows.append((t, r["params"], r["mean_test_score"]))
-    return df.sparkSession.createDataFrame(grid_rows, "trial int, params string, value double")
+                v = rng.choice(spec[1])
+            pm[est.getParam(name)] = v
+        maps.append(pm)
+        shown.append(", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda t: t[0].name)))
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="_fold", parallelism=parallelism,
+                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), collectSubModels=False)
+    m = cv.fit(folded)
+    rows = [(t, shown[t], float(v)) for t, v in enumerate(m.avgMetrics)]
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, value double")
+
+
+def top_trials(trials: DataFrame, k: int = 10) -> DataFrame:
+    """K4: the k best trials by value (ties by trial number)."""
+    return trials.orderBy(F.desc("value"), "trial").limit(k)
 
 
 def kmeans(df: DataFrame, numeric, categorical=(), k: int = 3):

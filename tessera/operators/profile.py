@@ -290,3 +290,53 @@ def target_guess(df: DataFrame) -> DataFrame:
         target = df.columns[-1]
     rows = [(c, "target" if c == target else "feature", i) for i, c in enumerate(df.columns)]
     return spark.createDataFrame(rows, "column string, role string, ord int")
+
+
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _micros(c: str):
+    """Microseconds since the epoch of a timestamp column, independent of the session
+    time zone (timestamp_ntz arithmetic)."""
+    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, CAST(`{c}` AS TIMESTAMP_NTZ))")
+
+
+def _from_micros(x):
+    return F.expr(f"timestampadd(MICROSECOND, CAST(round({x}) AS BIGINT), {_EPOCH})")
+
+
+def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """A5: column, count, mean, min, p25, p50, p75, max for timestamp columns (no std);
+    quartiles by linear interpolation on the microsecond scale."""
+    from ..functions.exprs import datetime_cols
+    cols = list(cols) if cols is not None else datetime_cols(df)
+    spark = df.sparkSession
+    wide = df.select(*[_micros(c).cast("double").alias(c) for c in cols])
+    long = long_values(wide, cols)
+    # exact mean of integral microseconds (a double sum would drift by microseconds)
+    base = long.groupBy("feature").agg(F.count(F.lit(1)).alias("count"),
+                                       F.avg(F.col("value").cast("decimal(38,0)")).alias("_mean"),
+                                       F.min("value").alias("_min"), F.max("value").alias("_max"))
+    q = exact_quantiles(distinct_counts(long), ["feature"], [0.25, 0.5, 0.75])
+    qf = _quantile_frame(spark, q, ["_p25", "_p50", "_p75"])
+    j = base.join(F.broadcast(qf), "feature", "left")
+    return j.select(F.col("feature").alias("column"), F.col("count").cast("long").alias("count"),
+                    *[_from_micros(c).alias(c[1:]) for c in ["_mean", "_min", "_p25", "_p50", "_p75", "_max"]])
+
+
+_WIDTH = {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1, "double": 8, "float": 4, "boolean": 1,
+          "timestamp": 8, "timestamp_ntz": 8, "date": 4}
+
+
+def memory_usage(df: DataFrame) -> DataFrame:
+    """Estimated bytes per column: fixed width x non-null rows for fixed-width
+    types, UTF-8 bytes for strings (one aggregate)."""
+    aggs = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if t == "string":
+            aggs.append(F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0)).cast("long").alias(f.name))
+        else:
+            aggs.append((F.count(F.col(f.name)) * F.lit(_WIDTH.get(t, 8))).cast("long").alias(f.name))
+    row = df.agg(*aggs)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("bytes")) for c in df.columns])))
