@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import (IV_ELSE, IV_LADDER, PSI_ELSE, PSI_LADDER, is_numeric_type, ladder,
                                numeric_cols, require_columns)
 from .binning import equal_width_edges, persist, quantile_edges_from_distinct
-from .order import dedupe_edges
+from .order import dedupe_edges, ordered_prefix
 
 WOE_SCHEMA = ("feature string, bin_id int, lower double, upper double, category string, count long, "
               "events long, non_events long, event_rate double, woe double, iv_component double")
@@ -113,8 +113,11 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
                .groupBy("feature", "category")
                .agg(F.sum("n_valid").alias("count"), F.sum("events").alias("events"))
                .where(F.col("count") > 0))
-        cat = cat.select("feature",
-                         F.dense_rank().over(Window.partitionBy("feature").orderBy("category")).cast("int").alias("bin_id"),
+        # bin ids = rank of the category within its feature; a string feature may have
+        # millions of categories, so the rank comes from ordered_prefix, not a
+        # per-feature window (which would put all of them in one task)
+        cat, _ = ordered_prefix(cat, ["category"], ["feature"], collect_totals=False)
+        cat = cat.select("feature", (F.col("_start") + 1).cast("int").alias("bin_id"),
                          F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
                          "category", F.col("count").cast("long").alias("count"),
                          F.col("events").cast("long").alias("events"))
@@ -123,11 +126,10 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
         return spark.createDataFrame([], WOE_SCHEMA), {}
     tab = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tab = tab.withColumn("non_events", (F.col("count") - F.col("events")).cast("long"))
-    wf = Window.partitionBy("feature")
-    k = F.count(F.lit(1)).over(wf)
-    te = F.sum("events").over(wf)
-    tn = F.sum("non_events").over(wf)
-    tab = (tab.withColumn("_k", k).withColumn("_te", te).withColumn("_tn", tn)
+    # per-feature totals: a grouped aggregate joined back (one row per feature)
+    tot = tab.groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.sum("events").alias("_te"),
+                                     F.sum("non_events").alias("_tn"))
+    tab = (tab.join(F.broadcast(tot), "feature")
            .withColumn("_de", (F.col("events") + 0.5) / (F.col("_te") + 0.5 * F.col("_k")))
            .withColumn("_dn", (F.col("non_events") + 0.5) / (F.col("_tn") + 0.5 * F.col("_k"))))
     ok = (F.col("_te") > 0) & (F.col("_tn") > 0)
