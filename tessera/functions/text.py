@@ -94,3 +94,8 @@ def chunk_array(c: str | Column, size: int = 500, overlap: int = 50) -> Column:
                        lambda s, i: F.struct(i.cast("int").alias("pos"), x.substr(s + 1, F.lit(size)).alias("chunk")))
     one = F.array(F.struct(F.lit(0).alias("pos"), x.alias("chunk")))
     return F.when(x.isNull(), F.lit(None)).when(n <= size, one).otherwise(many)
+
+
+def clean_feature_name(c: str | Column) -> Column:
+    """drop a transformer prefix up to the last '__' (``num__age`` -> ``age``)."""
+    return F.regexp_replace(col_of(c), r"^.*__", "")

@@ -200,6 +200,11 @@ def kfold_cv(task: str, df: DataFrame, numeric, categorical, label: str, key: st
         "model string, n_folds int, scoring string, scores array<double>, mean double, std double")
 
 
+def cv_scores_long(cv: DataFrame) -> DataFrame:
+    """C11: k-fold scores as (model, fold, score) rows for a box plot."""
+    return cv.select("model", F.posexplode("scores").alias("fold", "score"))
+
+
 def grid_search(df: DataFrame, numeric, categorical, label: str, key: str, model_name: str,
                 grid: dict[str, list], k: int = 3, parallelism: int = 4) -> DataFrame:
     """M9: exhaustive search with k-fold accuracy via CrossValidator on a stratified fold

@@ -161,3 +161,10 @@ def q_k04_top_trials(spark, sf):
 
 
 
+
+
+@register("c11_cv_score_box")
+def q_c11_cv_score_box(spark, sf):
+    cv = models.kfold_cv("classification", table(spark, sf, "orders"), ["o_totalprice", "o_custkey"],
+                         ["o_orderpriority"], "o_orderstatus", "o_orderkey", "naive_bayes", 5)
+    return models.cv_scores_long(cv)

@@ -92,6 +92,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
         candidates = [first] + [e for e in FALLBACK_ENCODINGS if e != first] + ["latin-1"]
     last_err = None
     for enc in candidates:
+        if enc not in ("utf-8", "utf-8-sig"):
+            # Spark 4 accepts Big5 / GB18030 / EUC-JP / Shift_JIS / cp950 only with this flag
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         try:
             r = (spark.read.option("header", True).option("inferSchema", infer).option("encoding", _JAVA_CHARSET.get(enc, enc))
                  .option("sep", delimiter or ",").option("mode", "PERMISSIVE").csv(path))
