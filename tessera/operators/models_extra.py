@@ -229,3 +229,105 @@ def rbf_svm_fit(df: DataFrame, features: Sequence[str], label_idx: str = "label"
         lr = LogisticRegression(maxIter=100).fit(m)
         model.platt = (float(lr.coefficients[0]), float(lr.intercept))
     return model
+
+
+# ---------------------------------------------------------------------------
+# MLP regressor (E10): full-batch Adam with distributed gradients
+# ---------------------------------------------------------------------------
+
+class MLPRegressorModel:
+    def __init__(self, features, mean, std, ymean, ystd, W1, b1, W2, b2, n_iter, losses):
+        self.features, self.mean, self.std = features, mean, std
+        self.ymean, self.ystd = ymean, ystd
+        self.W1, self.b1, self.W2, self.b2 = W1, b1, W2, b2
+        self.n_iter, self.losses = n_iter, losses
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """One JVM projection: relu(z W1 + b1) W2 + b2, unscaled."""
+        z = [(_x(f) - F.lit(float(self.mean[i]))) / F.lit(float(self.std[i] or 1.0)) for i, f in enumerate(self.features)]
+        hidden = []
+        for h in range(self.W1.shape[1]):
+            lin = sum((F.lit(float(self.W1[j, h])) * z[j] for j in range(len(z))), F.lit(float(self.b1[h])))
+            hidden.append(F.greatest(lin, F.lit(0.0)) * F.lit(float(self.W2[h, 0])))
+        y = sum(hidden[1:], hidden[0]) + F.lit(float(self.b2[0]))
+        return df.withColumn(out, y * F.lit(self.ystd) + F.lit(self.ymean))
+
+
+def mlp_regressor_fit(df: DataFrame, features: Sequence[str], label: str, hidden: int = 100, max_iter: int = 200,
+                      lr: float = 1e-3, alpha: float = 1e-4, tol: float = 1e-4, n_iter_no_change: int = 10,
+                      seed: int = SEED) -> MLPRegressorModel:
+    """One hidden ReLU layer, squared loss + L2 (alpha), Adam. Inputs and target are
+    standardised with training statistics. Each iteration is one Spark job: every
+    partition returns its gradient sum (parameter-sized), the driver adds them and
+    takes the Adam step; weights travel with the next task closure."""
+    import pandas as pd
+
+    features = list(features)
+    d = len(features)
+    st = df.agg(*[F.avg(_x(f)).alias(f"m{i}") for i, f in enumerate(features)],
+                *[F.stddev_pop(_x(f)).alias(f"s{i}") for i, f in enumerate(features)],
+                F.avg(_x(label)).alias("ym"), F.stddev_pop(_x(label)).alias("ys"), F.count(F.lit(1)).alias("n")).first()
+    mean = [st[f"m{i}"] for i in range(d)]
+    std = [st[f"s{i}"] or 1.0 for i in range(d)]
+    ym, ys, n = st["ym"], st["ys"] or 1.0, st["n"]
+    z = [((_x(f) - F.lit(mean[i])) / F.lit(std[i])).alias(f"z{i}") for i, f in enumerate(features)]
+    data = df.select(*z, ((_x(label) - F.lit(ym)) / F.lit(ys)).alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    rng = np.random.default_rng(seed)
+    lim1, lim2 = math.sqrt(6.0 / (d + hidden)), math.sqrt(6.0 / (hidden + 1))
+    params = [rng.uniform(-lim1, lim1, (d, hidden)), rng.uniform(-lim1, lim1, hidden),
+              rng.uniform(-lim2, lim2, (hidden, 1)), rng.uniform(-lim2, lim2, 1)]
+    shapes = [p.shape for p in params]
+    sizes = [p.size for p in params]
+    m_t = [np.zeros_like(p) for p in params]
+    v_t = [np.zeros_like(p) for p in params]
+    b1_, b2_, eps = 0.9, 0.999, 1e-8
+    best, stall, losses = float("inf"), 0, []
+    zcols = [f"z{i}" for i in range(d)]
+    for t in range(1, max_iter + 1):
+        W1, c1, W2, c2 = params
+
+        def grad(batches, W1=W1, c1=c1, W2=W2, c2=c2):
+            acc = [np.zeros_like(W1), np.zeros_like(c1), np.zeros_like(W2), np.zeros_like(c2)]
+            loss, cnt = 0.0, 0
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                X = pdf[zcols].to_numpy(dtype=np.float64)
+                y = pdf["y"].to_numpy(dtype=np.float64)[:, None]
+                H = np.maximum(X @ W1 + c1, 0.0)
+                r = H @ W2 + c2 - y
+                loss += float((r * r).sum())
+                cnt += len(pdf)
+                dH = (r @ W2.T) * (H > 0)
+                acc[0] += X.T @ dH
+                acc[1] += dH.sum(axis=0)
+                acc[2] += H.T @ r
+                acc[3] += r.sum(axis=0)
+            flat = np.concatenate([a.ravel() for a in acc]).tolist()
+            yield pd.DataFrame({"g": [flat], "loss": [loss], "n": [cnt]})
+
+        parts = data.mapInPandas(grad, "g array<double>, loss double, n long").collect()
+        G = np.sum([np.array(p["g"]) for p in parts], axis=0)
+        nn = sum(p["n"] for p in parts)
+        loss = sum(p["loss"] for p in parts) / (2 * nn) + alpha / (2 * nn) * (np.sum(W1 ** 2) + np.sum(W2 ** 2))
+        losses.append(float(loss))
+        grads, off = [], 0
+        for shp, sz in zip(shapes, sizes):
+            grads.append(G[off:off + sz].reshape(shp) / nn)
+            off += sz
+        grads[0] += alpha / nn * W1
+        grads[2] += alpha / nn * W2
+        lr_t = lr * math.sqrt(1 - b2_ ** t) / (1 - b1_ ** t)
+        for i in range(4):
+            m_t[i] = b1_ * m_t[i] + (1 - b1_) * grads[i]
+            v_t[i] = b2_ * v_t[i] + (1 - b2_) * grads[i] ** 2
+            params[i] = params[i] - lr_t * m_t[i] / (np.sqrt(v_t[i]) + eps)
+        if loss > best - tol:
+            stall += 1
+            if stall >= n_iter_no_change:
+                break
+        else:
+            stall = 0
+        best = min(best, loss)
+    data.unpersist()
+    return MLPRegressorModel(features, mean, std, ym, ys, params[0], params[1], params[2], params[3], t, losses)

@@ -79,3 +79,12 @@ def q_m12_shap(spark, sf):
     model, _ = models.train_and_score("logistic_regression", "classification", train, test, FEATS, [], "y")
     return round_doubles(sampled_shapley(_PositiveProbability(model), "p1", test, train, "o_orderkey", FEATS,
                                          n_rows=100, n_background=100, n_samples=64))
+
+
+@register("e10_mlp_regressor")
+def q_e10_mlp_regressor(spark, sf):
+    li = table(spark, sf, "lineitem")
+    sp = prep.stratified_split(li.withColumn("_k", F.concat_ws("-", "l_orderkey", "l_linenumber")), None, "_k", 0.2, 42)
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    m = models_extra.mlp_regressor_fit(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return m.transform(test).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")

@@ -86,3 +86,14 @@ def test_shap_additivity(spark):
     from conftest import SF001
     out = entry.queries()["m12_shap"](spark, SF001).toPandas()
     assert out["o_orderkey"].nunique() == 100 and set(out["feature"]) == {"o_totalprice", "o_custkey"}
+
+
+def test_mlp_regressor_fits_nonlinear(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-2, 2, size=(800, 2))
+    y = np.abs(x[:, 0]) * 3 + x[:, 1] + rng.normal(0, 0.05, 800)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
+    m = models_extra.mlp_regressor_fit(df, ["a", "b"], "y", hidden=32, max_iter=300, lr=0.01)
+    pred = m.transform(df).toPandas()
+    r2 = 1 - ((pred.y - pred.prediction) ** 2).sum() / ((pred.y - pred.y.mean()) ** 2).sum()
+    assert r2 > 0.9 and m.losses[-1] < m.losses[0]
