@@ -131,6 +131,26 @@ def markdown_blocks(conv: DataFrame) -> DataFrame:
 
 
 def write_markdown(conv: DataFrame, path: str) -> None:
-    """S18 sink: one directory per conversation, blocks in turn order."""
-    (markdown_blocks(conv).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    """S18 sink: one directory per conversation, blocks in turn order. Range partitioning
+    on (conv_id, turn) splits even a huge conversation over several tasks; its part
+    files, read in part-number order, are in turn order."""
+    parts = max(1, int(conv.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (markdown_blocks(conv).repartitionByRange(parts, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
      .select("conv_id", "block").write.mode("overwrite").partitionBy("conv_id").text(path))
+
+
+def data_summary_text(df: DataFrame, max_cols: int = 15) -> str:
+    """X5 helper: 'Dataset: R rows x C columns' plus the first ``max_cols`` columns with
+    their types (one count job; the text is bin-sized)."""
+    n = df.count()
+    cols = ", ".join(f"{f.name} ({f.dataType.simpleString()})" for f in df.schema.fields[:max_cols])
+    return f"Dataset: {n} rows x {len(df.columns)} columns\nColumns: {cols}"
+
+
+def assemble_prompts(questions: DataFrame, contexts: DataFrame, summary: str) -> DataFrame:
+    """Per question the prompt = data summary, retrieved passages, question.
+    ``questions``: (query_id, question); ``contexts``: (query_id, context) from X2."""
+    q = questions.join(contexts, "query_id", "left")
+    return q.select("query_id", F.concat_ws("\n\n", F.lit(summary),
+                                           F.concat(F.lit("Relevant passages:\n"), F.coalesce("context", F.lit(""))),
+                                           F.concat(F.lit("Question: "), F.col("question"))).alias("prompt"))

@@ -159,3 +159,23 @@ def q_s11_upload_preview(spark, sf):
     from ..sources.readers import upload_preview
     rows, _n, _schema = upload_preview(lineitem_nulls(spark, sf), ["l_orderkey", "l_linenumber"], 10)
     return rows
+
+
+_DOC_SUMMARY_SQL = ("concat('Dataset: ', (SELECT count(*) FROM documents), ' rows x 5 columns', chr(10), "
+                    "'Columns: doc_id (bigint), text (string), lang (string), source (string), n_chars (bigint)')")
+
+
+@register("x05_prompt_context", _CENTROID_SQL.replace(
+    "FROM embeddings)", "FROM embeddings JOIN (SELECT doc_id, text FROM documents) dd ON dd.doc_id = embeddings.vec_id)")
+          + f""",
+ctx AS (SELECT r.query_id, string_agg(dd.text, '\n\n---\n\n' ORDER BY r.rk) AS context
+        FROM r JOIN documents dd ON CAST(dd.doc_id AS VARCHAR) = r.id WHERE rk <= 3 GROUP BY r.query_id)
+SELECT query_id, concat_ws('\n\n', {_DOC_SUMMARY_SQL}, concat('Relevant passages:\n', coalesce(context, '')),
+       concat('Question: ', 'Which passages describe embedding group ', query_id, '?')) AS prompt FROM ctx""")
+def q_x05_prompt_context(spark, sf):
+    docs = table(spark, sf, "documents")
+    hits = _centroid_hits(spark, sf, 3, with_text=True)
+    ctx = retrieval.concat_context(hits, "document")
+    questions = ctx.select("query_id", F.concat(F.lit("Which passages describe embedding group "), F.col("query_id"),
+                                                F.lit("?")).alias("question"))
+    return retrieval.assemble_prompts(questions, ctx, retrieval.data_summary_text(docs))
