@@ -83,3 +83,34 @@ def dtype_name(dt: T.DataType) -> str:
 
 def round6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+MAX_INLINE_EDGES = 64
+
+
+def count_edges(x: Column, edges: Sequence[float], strict: bool = True) -> Column:
+    """Number of edges e with e < x (``strict``) or e <= x, as a sum of comparisons: a
+    plain arithmetic expression that whole-stage codegen compiles (a lambda over an
+    array literal would be evaluated interpreted, row by row). Long edge lists fall back
+    to the array form. A null x counts 0."""
+    edges = [float(e) for e in edges]
+    if not edges:
+        return F.lit(0)
+    if len(edges) > MAX_INLINE_EDGES:
+        arr = F.array(*[F.lit(e) for e in edges])
+        return F.coalesce(F.size(F.filter(arr, (lambda e: e < x) if strict else (lambda e: e <= x))), F.lit(0))
+    terms = [F.when((F.lit(e) < x) if strict else (F.lit(e) <= x), F.lit(1)).otherwise(F.lit(0)) for e in edges]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def count_edges_by_key(key: Column, x: Column, edges_by_key: dict, strict: bool = True) -> Column:
+    """``count_edges`` with a different edge list per key value (CASE over the keys);
+    null for a key without edges."""
+    expr = None
+    for k, es in edges_by_key.items():
+        c = count_edges(x, es, strict)
+        expr = F.when(key == F.lit(k), c) if expr is None else expr.when(key == F.lit(k), c)
+    return expr if expr is not None else F.lit(None).cast("int")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import count_edges
 from .binning import exact_quantiles
 
 MAX_BOX_GROUPS = 100_000
@@ -74,8 +75,7 @@ def _uniform_edges(mn: float, mx: float, b: int) -> list[float]:
 
 
 def _bin_col(c, edges):
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
-    return (F.size(F.filter(inner, lambda e: e <= c)) + 1).cast("int")
+    return (count_edges(c, edges[1:-1], strict=False) + 1).cast("int")
 
 
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:

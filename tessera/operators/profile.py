@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import (categorical_cols, is_numeric_type, numeric_cols, require_columns)
+from ..functions.exprs import (categorical_cols, count_edges, is_numeric_type, numeric_cols, require_columns)
 from .binning import distinct_counts, exact_quantiles, long_values
 
 
@@ -240,8 +240,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, group: str | Non
     b = bins or histogram_bins(n)
     lo, hi = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
     edges = [float(e) for e in np.linspace(lo, hi, b + 1)]
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
-    bin_id = (F.size(F.filter(inner, lambda e: e <= F.col("_x"))) + 1).cast("int")
+    bin_id = (count_edges(F.col("_x"), edges[1:-1], strict=False) + 1).cast("int")
     keys = [F.col("_g").cast("string").alias("group")] if group else []
     counts = src.groupBy(*keys, bin_id.alias("bin_id")).agg(F.count(F.lit(1)).alias("count"))
     dim = spark.createDataFrame([(i + 1, edges[i], edges[i + 1]) for i in range(b)],

@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import count_edges
 from .order import dedupe_edges, ordered_prefix, pandas_qcut_index_edges
 
 
@@ -30,9 +31,8 @@ def decile_summary(df: DataFrame, y_col: str | Column, score_col: str | Column,
     if n == 0:
         return spark.createDataFrame([], "decile int, count long, events long")
     edges = dedupe_edges(pandas_qcut_index_edges(n, n_bins))
-    arr = F.array(*[F.lit(float(e)) for e in edges])
     pos = F.col("_start").cast("double")
-    decile = F.greatest(F.lit(1), F.size(F.filter(arr, lambda e: e < pos))).cast("int")
+    decile = F.greatest(F.lit(1), count_edges(pos, edges)).cast("int")
     out = (pref.groupBy(decile.alias("decile"))
            .agg(F.count(F.lit(1)).alias("count"), F.sum("_y").cast("long").alias("events")))
     return out.persist(StorageLevel.MEMORY_AND_DISK)

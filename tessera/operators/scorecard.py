@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import (IV_ELSE, IV_LADDER, PSI_ELSE, PSI_LADDER, is_numeric_type, ladder,
+from ..functions.exprs import (IV_ELSE, count_edges_by_key, IV_LADDER, PSI_ELSE, PSI_LADDER, is_numeric_type, ladder,
                                numeric_cols, require_columns)
 from .binning import equal_width_edges, persist, quantile_edges_from_distinct
 from .order import dedupe_edges, ordered_prefix
@@ -23,18 +23,19 @@ WOE_SCHEMA = ("feature string, bin_id int, lower double, upper double, category
               "events long, non_events long, event_rate double, woe double, iv_component double")
 
 
-def _edge_map(edges: dict[str, list[float]]):
-    return F.create_map(*[x for f, es in edges.items()
-                          for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in es]))])
-
-
-def _bin_by_edges(value, edges_col, include_lowest: bool):
-    """1-based right-closed bin of value over a per-row edges array (pandas cut/qcut)."""
-    cnt = F.size(F.filter(edges_col, lambda e: e < value))
-    k = F.size(edges_col) - 1
-    if include_lowest:
-        cnt = F.when(value == F.element_at(edges_col, 1), F.lit(1)).otherwise(cnt)
-    return F.when(value.isNull() | edges_col.isNull() | (cnt == 0) | (cnt > k), F.lit(None)).otherwise(cnt).cast("int")
+def _bin_by_edges(value, feature, edges: dict, include_lowest: bool):
+    """1-based right-closed bin of value over its feature's edges (pandas cut/qcut):
+    count(edges < value); with ``include_lowest`` the first edge itself is bin 1; outside
+    the edges -> null."""
+    cnt = count_edges_by_key(feature, value, edges)
+    k = count_edges_by_key(feature, F.lit(float("inf")), edges)  # number of edges
+    first = None
+    for f, es in edges.items():
+        first = (F.when(feature == F.lit(f), F.lit(float(es[0]))) if first is None
+                 else first.when(feature == F.lit(f), F.lit(float(es[0]))))
+    if include_lowest and first is not None:
+        cnt = F.when(value == first, F.lit(1)).otherwise(cnt)
+    return F.when(value.isNull() | cnt.isNull() | (cnt == 0) | (cnt > k - 1), F.lit(None)).otherwise(cnt).cast("int")
 
 
 def _long_with_category(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -93,9 +94,7 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
             include_lowest = False
         else:
             raise ValueError(f"unknown binning method: {method}")
-        emap = _edge_map(edges)
-        binned = (cdist.withColumn("bin_id", _bin_by_edges(F.col("value"), F.element_at(emap, F.col("feature")),
-                                                           include_lowest))
+        binned = (cdist.withColumn("bin_id", _bin_by_edges(F.col("value"), F.col("feature"), edges, include_lowest))
                   .where(F.col("bin_id").isNotNull())
                   .groupBy("feature", "bin_id")
                   .agg(F.sum("n_valid").alias("count"), F.sum("events").alias("events")))
@@ -211,11 +210,10 @@ def psi_tables(expected: DataFrame, actual: DataFrame, columns: Sequence[str] |
     empty = spark.createDataFrame([], PSI_SCHEMA)
     if not edges:
         return empty, errors
-    inner = F.create_map(*[x for c, es in edges.items()
-                           for x in (F.lit(c), F.array(*[F.lit(float(e)) for e in es[1:-1]]))])
+    inner = {c: es[1:-1] for c, es in edges.items()}
 
     def binned(name_col):
-        return 1 + F.size(F.filter(F.element_at(inner, F.col(name_col)), lambda e: e < F.col("value")))
+        return 1 + count_edges_by_key(F.col(name_col), F.col("value"), inner)
 
     ecnt = (dist.where(F.col("feature").isin(list(edges)))
             .groupBy(F.col("feature").alias("variable"), binned("feature").cast("int").alias("bin_id"))

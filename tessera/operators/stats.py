@@ -234,13 +234,26 @@ def average_ranks(long: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _spearman(df: DataFrame, pairs) -> DataFrame:
-    long = pair_long(df, pairs).persist(StorageLevel.MEMORY_AND_DISK)
-    rx = average_ranks(long.select("pair", "x"), "pair", "x").withColumnRenamed("avg_rank", "rx")
-    ry = average_ranks(long.select("pair", "y"), "pair", "y").withColumnRenamed("avg_rank", "ry")
-    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    out = ranked.groupBy("pair").agg(F.count(F.lit(1)).alias("n"),
-                                      F.try_divide(F.covar_pop("rx", "ry"),
-                                                   F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
+    """Spearman per pair over pairwise-complete rows. Rows collapse to weighted distinct
+    (pair, x, y) cells before any join; average ranks come from running counts over the
+    distinct x (and y) values; the correlation is taken about the exact mean rank
+    (N + 1) / 2 in one weighted aggregate."""
+    cells = (pair_long(df, pairs).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+
+    def ranks(col, name):
+        d = cells.groupBy("pair", col).agg(F.sum("w").alias("n"))
+        pref, tot = ordered_prefix(d, [col], ["pair"], weight_col="n")
+        return pref.select("pair", col, (F.col("_start") + (F.col("_w") + 1) / 2.0).alias(name)), tot
+
+    rx, totals = ranks("x", "rx")
+    ry, _ = ranks("y", "ry")
+    mean = F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k[0]), F.lit((n + 1) / 2.0))]),
+                        F.col("pair"))
+    j = cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).withColumn("_m", mean)
+    dx, dy, w = F.col("rx") - F.col("_m"), F.col("ry") - F.col("_m"), F.col("w")
+    out = j.groupBy("pair").agg(F.sum("w").alias("n"),
+                                F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("r"))
     sp = F.split("pair", "\u0001")
     return out.select(sp[0].alias("col_a"), sp[1].alias("col_b"), F.col("n").cast("long").alias("n"), "r")
 

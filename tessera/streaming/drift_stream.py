@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..functions.exprs import PSI_ELSE, PSI_LADDER, ladder
+from ..functions.exprs import PSI_ELSE, PSI_LADDER, count_edges, ladder
 from ..operators.binning import quantile_edges_from_distinct
 from ..operators.order import dedupe_edges
 from ..session import ensure_checkpoint_dir
@@ -40,8 +40,7 @@ def baseline_edges(baseline: DataFrame, value_col: str, bins: int = 10) -> list[
 
 
 def _bin(value, edges):
-    inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
-    return (1 + F.size(F.filter(inner, lambda e: e < value))).cast("int")
+    return (1 + count_edges(value, edges[1:-1])).cast("int")
 
 
 def stream_psi(spark: SparkSession, source: DataFrame, baseline: DataFrame, value_col: str = "value",
