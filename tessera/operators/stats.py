@@ -220,8 +220,9 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str =
 
 
 def pair_long(df: DataFrame, pairs) -> DataFrame:
-    """(pair, x, y) for pairwise-complete rows of every column pair (Generate, no shuffle)."""
-    items = [F.struct(F.lit(f"{a}\u0001{b}").alias("pair"), _num(a).alias("x"), _num(b).alias("y")) for a, b in pairs]
+    """(pair index, x, y) for pairwise-complete rows of every column pair (Generate, no
+    shuffle); an integer pair key keeps the later hash aggregations cheap."""
+    items = [F.struct(F.lit(i).alias("pair"), _num(a).alias("x"), _num(b).alias("y")) for i, (a, b) in enumerate(pairs)]
     return df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
@@ -241,21 +242,24 @@ def _spearman(df: DataFrame, pairs) -> DataFrame:
     cells = (pair_long(df, pairs).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
              .persist(StorageLevel.MEMORY_AND_DISK))
 
-    def ranks(col, name):
-        d = cells.groupBy("pair", col).agg(F.sum("w").alias("n"))
-        pref, tot = ordered_prefix(d, [col], ["pair"], weight_col="n")
-        return pref.select("pair", col, (F.col("_start") + (F.col("_w") + 1) / 2.0).alias(name)), tot
-
-    rx, totals = ranks("x", "rx")
-    ry, _ = ranks("y", "ry")
+    # x and y distinct values of every pair ranked in one ordered_prefix pass
+    dx_ = cells.groupBy("pair", F.col("x").alias("v")).agg(F.sum("w").alias("n")).withColumn("side", F.lit("x"))
+    dy_ = cells.groupBy("pair", F.col("y").alias("v")).agg(F.sum("w").alias("n")).withColumn("side", F.lit("y"))
+    pref, tot = ordered_prefix(dx_.unionByName(dy_), ["v"], ["pair", "side"], weight_col="n")
+    pref = pref.select("pair", "side", "v", (F.col("_start") + (F.col("_w") + 1) / 2.0).alias("rank"))
+    rx = pref.where(F.col("side") == "x").select("pair", F.col("v").alias("x"), F.col("rank").alias("rx"))
+    ry = pref.where(F.col("side") == "y").select("pair", F.col("v").alias("y"), F.col("rank").alias("ry"))
+    totals = {(k[0],): n for k, n in tot.items() if k[1] == "x"}
     mean = F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k[0]), F.lit((n + 1) / 2.0))]),
                         F.col("pair"))
     j = cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).withColumn("_m", mean)
     dx, dy, w = F.col("rx") - F.col("_m"), F.col("ry") - F.col("_m"), F.col("w")
     out = j.groupBy("pair").agg(F.sum("w").alias("n"),
                                 F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("r"))
-    sp = F.split("pair", "\u0001")
-    return out.select(sp[0].alias("col_a"), sp[1].alias("col_b"), F.col("n").cast("long").alias("n"), "r")
+    names_a = F.array(*[F.lit(a) for a, _ in pairs])
+    names_b = F.array(*[F.lit(b) for _, b in pairs])
+    return out.select(F.element_at(names_a, F.col("pair") + 1).alias("col_a"),
+                      F.element_at(names_b, F.col("pair") + 1).alias("col_b"), F.col("n").cast("long").alias("n"), "r")
 
 
 def ols(df: DataFrame, target: str, features: Sequence[str]):
