@@ -14,7 +14,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import (categorical_cols, count_edges, is_numeric_type, numeric_cols, require_columns)
 from .binning import distinct_counts, exact_quantiles, long_values

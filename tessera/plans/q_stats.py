@@ -3,7 +3,6 @@ distribution function; p-values are covered by pytest against published values."
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions.exprs import CORR_ELSE, CORR_LADDER, CRAMER_ELSE, CRAMER_LADDER, ETA_ELSE, ETA_LADDER, ladder_sql
 from ..operators import stats

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 
 from tessera.operators.neighbors import knn_classify, knn_join
 from tessera.operators.sampling import adasyn, smote, smote_tomek
