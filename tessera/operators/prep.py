@@ -111,3 +111,22 @@ def class_distribution_before_after(before: DataFrame, after: DataFrame, label:
     from .profile import class_distribution
     return (class_distribution(before, label).withColumn("stage", F.lit("before"))
             .unionByName(class_distribution(after, label).withColumn("stage", F.lit("after"))))
+
+
+def passthrough_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Remaining columns as numeric features - booleans to 0/1, timestamps and dates
+    to epoch seconds, numbers unchanged (so a VectorAssembler can take them)."""
+    from pyspark.sql import types as T
+    out = df
+    for c in cols:
+        dt = df.schema[c].dataType
+        if isinstance(dt, T.BooleanType):
+            out = out.withColumn(c, F.col(c).cast("double"))
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            out = out.withColumn(c, F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+                                           f"CAST(`{c}` AS TIMESTAMP_NTZ))").cast("double"))
+        elif isinstance(dt, T.DateType):
+            out = out.withColumn(c, (F.unix_date(F.col(c)) * 86400).cast("double"))
+        else:
+            out = out.withColumn(c, F.col(c).cast("double"))
+    return out

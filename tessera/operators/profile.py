@@ -338,3 +338,25 @@ def memory_usage(df: DataFrame) -> DataFrame:
             aggs.append((F.count(F.col(f.name)) * F.lit(_WIDTH.get(t, 8))).cast("long").alias(f.name))
     row = df.agg(*aggs)
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("bytes")) for c in df.columns])))
+
+
+def api_summary(df: DataFrame) -> DataFrame:
+    """One row per column - dtype, missing, and the statistics of its kind (numeric:
+    mean, std, min, max; categorical: unique, top, freq). Built from A8 overview, A3 and
+    A4, each one pass."""
+    ov = column_overview(df).select("column", "dtype", "missing", "kind")
+    nums = numeric_cols(df)
+    cats = categorical_cols(df)
+    out = ov
+    if nums:
+        d = describe_numeric(df, nums).select("column", "mean", "std", "min", "max")
+        out = out.join(d, "column", "left")
+    else:
+        out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "max")])
+    if cats:
+        c = describe_categorical(df, cats).select("column", "unique", "top", "freq")
+        out = out.join(c, "column", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
+                         F.lit(None).cast("long").alias("freq"))
+    return out

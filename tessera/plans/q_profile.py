@@ -311,3 +311,14 @@ WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_returnflag IS NOT
 def q_p09_dropna(spark, sf):
     return clean.dropna_guard(lineitem_nulls(spark, sf), ["l_quantity", "l_discount", "l_returnflag"])
 
+
+
+@register("a06_api_summary", f"""WITH {LI_NULLS_SQL},
+n AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max FROM li" for c in NUM8)}),
+vc AS (SELECT feature, value, count(*) AS cnt FROM (SELECT feature, value FROM (SELECT CAST(l_returnflag AS VARCHAR) AS l_returnflag, CAST(l_linestatus AS VARCHAR) AS l_linestatus FROM li) UNPIVOT (value FOR feature IN (l_returnflag, l_linestatus))) GROUP BY ALL),
+c AS (SELECT feature AS col, count(*) AS "unique", first(value ORDER BY cnt DESC, value ASC) AS top, max(cnt) AS freq FROM vc GROUP BY feature),
+o AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, '{t}' AS dtype, CAST(count(*) - count({c}) AS BIGINT) AS missing, '{'categorical' if t in ('string', 'timestamp_ntz') else 'numeric'}' AS kind FROM li" for c, t in _LI_TYPES.items())})
+SELECT o.col AS "column", dtype, missing, kind, n.mean, n.std, n.min, n.max, c."unique", c.top, c.freq
+FROM o LEFT JOIN n ON n.col = o.col LEFT JOIN c ON c.col = o.col""")
+def q_a06_api_summary(spark, sf):
+    return round_doubles(profile.api_summary(lineitem_nulls(spark, sf)))

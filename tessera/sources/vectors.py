@@ -47,7 +47,7 @@ def get_or_create(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def _next_version(root: str, name: str) -> str:
     path = _latest(root, name)
-    n = int(os.path.basename(path)[1:]) + 1 if path else 1
+    n = int(os.path.basename(path)[1:].split("-")[0]) + 1 if path else 1
     return os.path.join(root, name, f"v{n:08d}-{uuid.uuid4().hex[:8]}")
 
 

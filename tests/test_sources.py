@@ -82,3 +82,26 @@ def test_csv_bom_roundtrip_and_dictionary(spark):
 def test_clean_feature_name(spark):
     df = spark.createDataFrame([("num__age",), ("cat__city_台北",), ("plain",)], "n string")
     assert [r[0] for r in df.select(clean_feature_name("n")).collect()] == ["age", "city_台北", "plain"]
+
+
+def test_vector_collection_lifecycle(spark):
+    from pyspark.sql import functions as F
+    from tessera.sources import vectors
+    root = tempfile.mkdtemp(prefix="tessera-vec-")
+    assert vectors.get_or_create(spark, root, "kb").count() == 0
+    docs = spark.createDataFrame([("a", "x" * 150, [1.0, 0.0]), (None, "short", [0.0, 1.0])],
+                                 "id string, document string, embedding array<float>")
+    vectors.add_documents(spark, root, "kb", docs)
+    coll = vectors.get_or_create(spark, root, "kb")
+    assert coll.count() == 2 and coll.where(F.col("id").isNull()).count() == 0  # UUID assigned
+    stats = vectors.collection_stats(coll, 5).collect()
+    assert stats[0]["n_total"] == 2 and any(r["preview"].endswith("...") for r in stats)
+    vectors.delete_documents(spark, root, "kb", spark.createDataFrame([("a",)], "id string"))
+    assert vectors.get_or_create(spark, root, "kb").count() == 1
+
+
+def test_passthrough_features(spark):
+    from tessera.operators.prep import passthrough_features
+    df = spark.sql("SELECT true AS b, TIMESTAMP_NTZ '1970-01-02 00:00:00' AS t, DATE '1970-01-03' AS d")
+    r = passthrough_features(df, ["b", "t", "d"]).first()
+    assert (r["b"], r["t"], r["d"]) == (1.0, 86400.0, 172800.0)
