@@ -73,7 +73,7 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
         F.sum(F.when(y.isNotNull() & (y != 0) & (y != 1), 1).otherwise(0)).cast("long").alias("bad")))
     stats = {r["feature"]: r for r in dist.groupBy("feature").agg(
         F.first("is_num").alias("is_num"), F.count("value").alias("nunique"),
-        F.count_distinct(F.coalesce(F.col("cat"), F.lit("nan"))).alias("ncat"),
+        F.count(F.lit(1)).alias("ncat"),  # one distinct-table row per (value, category)
         F.sum("bad").alias("bad")).collect()}
     if any((r["bad"] or 0) > 0 for r in stats.values()):
         raise ValueError(f"target '{target}' must be binary 0/1")
