@@ -99,3 +99,20 @@ def chunk_array(c: str | Column, size: int = 500, overlap: int = 50) -> Column:
 def clean_feature_name(c: str | Column) -> Column:
     """drop a transformer prefix up to the last '__' (``num__age`` -> ``age``)."""
     return F.regexp_replace(col_of(c), r"^.*__", "")
+
+
+def parse_reply(raw: str | Column, question: str | Column) -> Column:
+    """structured model reply. Think-blocks and a surrounding code fence are removed,
+    the outermost JSON object is parsed; with a ``reply`` key the result keeps it and
+    defaults the others (target_module null, suggested_params '{}', actions '[]');
+    otherwise (no object, broken JSON, no ``reply``) the cleaned text is the reply and the
+    target module comes from the keyword router on the question."""
+    cleaned = strip_think(raw)
+    obj = outer_json(strip_code_fence(cleaned))
+    reply = F.get_json_object(obj, "$.reply")
+    ok = (obj != F.lit("")) & reply.isNotNull()
+    return F.when(ok, F.struct(reply.alias("reply"), F.get_json_object(obj, "$.target_module").alias("target_module"),
+                               F.coalesce(F.get_json_object(obj, "$.suggested_params"), F.lit("{}")).alias("suggested_params"),
+                               F.coalesce(F.get_json_object(obj, "$.actions"), F.lit("[]")).alias("actions"))).otherwise(
+        F.struct(cleaned.alias("reply"), intent_tag(question).alias("target_module"), F.lit("{}").alias("suggested_params"),
+                 F.lit("[]").alias("actions")))

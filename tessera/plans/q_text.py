@@ -179,3 +179,22 @@ def q_x05_prompt_context(spark, sf):
     questions = ctx.select("query_id", F.concat(F.lit("Which passages describe embedding group "), F.col("query_id"),
                                                 F.lit("?")).alias("question"))
     return retrieval.assemble_prompts(questions, ctx, retrieval.data_summary_text(docs))
+
+
+@register("f09_parse_reply", f"""
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+q AS (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations WHERE role = 'user'),
+j AS (SELECT a.conv_id, a.turn, {_think_sql('a.text')} AS cleaned, q.question FROM a LEFT JOIN q USING (conv_id, turn)),
+o AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(cleaned, '^```(?:json)?\\s*', ''), '\\s*```$', ''), '\\{{[\\s\\S]*\\}}', 0) AS obj FROM j),
+v AS (SELECT *, CASE WHEN obj <> '' AND json_valid(obj) THEN obj END AS jobj FROM o)
+SELECT conv_id, turn,
+  CASE WHEN json_extract_string(jobj, '$.reply') IS NOT NULL THEN json_extract_string(jobj, '$.reply') ELSE cleaned END AS reply,
+  CASE WHEN json_extract_string(jobj, '$.reply') IS NOT NULL THEN json_extract_string(jobj, '$.target_module')
+       ELSE {_intent_sql('question')} END AS target_module
+FROM v""")
+def q_f09_parse_reply(spark, sf):
+    c = table(spark, sf, "conversations")
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    q = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    j = a.join(q, ["conv_id", "turn"], "left").withColumn("p", tx.parse_reply("text", "question"))
+    return j.select("conv_id", "turn", F.col("p.reply").alias("reply"), F.col("p.target_module").alias("target_module"))

@@ -74,3 +74,15 @@ def test_psi_flagship_small(spark):
     out = entry.queries()["a23_psi_table"](spark, SF001).toPandas()
     assert out["expected_count"].sum() > 0 and (out["psi_component"] >= 0).all()
 
+
+
+def test_parse_reply(spark):
+    rows = [("<think>x</think>```json\n{\"reply\": \"hi\", \"actions\": [1]}\n```", "anything"),
+            ("{\"answer\": 1}", "draw a chart"),
+            ("{broken", "psi drift please"),
+            ("plain text", "no keywords")]
+    df = spark.createDataFrame(rows, "raw string, q string")
+    got = [tuple(r[0]) for r in df.select(tx.parse_reply("raw", "q")).collect()]
+    assert got[0] == ("hi", None, "{}", "[1]")
+    assert got[1] == ('{"answer": 1}', "visualization", "{}", "[]")
+    assert got[2][1] == "psi_monitoring" and got[3] == ("plain text", None, "{}", "[]")
