@@ -8,8 +8,10 @@ position inside its group instead:
    does; range bounds are sampled, so a hot group/value is split across partitions
    as long as the order key is unique (callers add a tie-break key, or aggregate to
    distinct values first so every row is unique).
-2. ``sortWithinPartitions`` then a per-partition running sum (``mapInPandas``; the
-   only per-row logic that has no JVM form without a second shuffle).
+2. ``sortWithinPartitions`` then a per-partition running sum. Unweighted positions
+   stay in the JVM (``monotonically_increasing_id`` after the sort numbers rows in
+   order); weighted and multi-column running sums use a vectorised ``mapInPandas``
+   pass (a JVM window would need a second shuffle).
 3. One tiny job collects the per-(partition, group) totals - at most
    ``partitions + groups`` rows - and the exclusive offsets go back as a broadcast
    join. No row ever leaves its partition.
@@ -54,6 +56,8 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
     parts = num_partitions or default_partitions(spark)
     gcols = [F.col(c) for c in group_cols]
     okeys = [col_of(c) for c in order_cols]
+    if weight_col is None and not sum_cols and collect_totals:
+        return _row_positions(df, gcols, okeys, list(group_cols), parts)
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     base = df.withColumn("_w", w)
     sums = ["_w", *sum_cols]
@@ -133,6 +137,40 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
     return res, {k: v[0] for k, v in acc.items()}
 
 
+_LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
+
+
+def _row_positions(df: DataFrame, gcols, okeys, gnames, parts):
+    """Unweighted ``ordered_prefix`` without Python: after the range shuffle and the local
+    sort, ``monotonically_increasing_id`` numbers rows in sorted order inside each
+    partition (its upper bits are the partition index). The first local index and the
+    row count of every (partition, group) - partitions + groups rows - give the offsets."""
+    spark = df.sparkSession
+    mid = F.monotonically_increasing_id()
+    local = (df.withColumn("_w", F.lit(1).cast("long"))
+             .repartitionByRange(parts, *gcols, *okeys).sortWithinPartitions(*gcols, *okeys)
+             .withColumn("_mid", mid)
+             .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
+             .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS))
+             .drop("_mid").persist(StorageLevel.MEMORY_AND_DISK))
+    totals = local.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_t"), F.min("_loc").alias("_first")).collect()
+    if len(totals) > MAX_OFFSET_ROWS:
+        raise RuntimeError("too many (partition, group) pairs for an offsets table")
+    acc: dict[tuple, int] = defaultdict(int)
+    offs = []
+    for r in sorted(totals, key=lambda r: r["_pid"]):
+        key = tuple(r[g] for g in gnames)
+        offs.append((r["_pid"], *key, int(acc[key]) - int(r["_first"])))
+        acc[key] += int(r["_t"])
+    off_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
+                              + [df.schema[g] for g in gnames]
+                              + [T.StructField("_off", T.LongType(), False)])
+    off_df = spark.createDataFrame(offs, off_schema)
+    res = (local.join(F.broadcast(off_df), ["_pid", *gnames], "inner")
+           .withColumn("_start", F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off"))
+    return res, dict(acc)
+
+
 # ---------------------------------------------------------------------------
 # numpy-exact linear quantiles from order statistics
 # ---------------------------------------------------------------------------

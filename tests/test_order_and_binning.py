@@ -61,3 +61,14 @@ def test_equal_width_edges_equal_pandas_cut():
     assert equal_width_edges(1.5, 10.0, 4) == list(bins)
     _, bins = pd.cut(pd.Series([5.0, 5.0]), bins=3, retbins=True)
     assert equal_width_edges(5.0, 5.0, 3) == list(bins)
+
+
+def test_unweighted_positions_jvm_path(spark):
+    rng = np.random.default_rng(17)
+    n = 3000
+    grp = np.where(rng.random(n) < 0.7, "hot", rng.choice(["a", "b"], n))
+    pdf = pd.DataFrame({"g": grp, "v": rng.integers(0, 20, n).astype(float), "k": np.arange(n)})
+    out, totals = ordered_prefix(spark.createDataFrame(pdf), ["v", "k"], ["g"], num_partitions=6)
+    got = out.select("k", "_start").toPandas().sort_values("k")["_start"].to_numpy()
+    ref = pdf.sort_values(["g", "v", "k"]).assign(p=lambda d: d.groupby("g").cumcount()).sort_values("k")["p"].to_numpy()
+    assert (got == ref).all() and totals[("hot",)] == int((grp == "hot").sum())
