@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_edges
+from ..functions.exprs import count_edges, sort_small
 from .order import dedupe_edges, ordered_prefix, pandas_qcut_index_edges
 
 
@@ -54,8 +54,8 @@ def ks_table(summary: DataFrame) -> DataFrame:
          .withColumn("cum_event_pct", F.try_divide(F.col("cum_events").cast("double"), F.col("_te").cast("double")))
          .withColumn("cum_non_event_pct", F.try_divide(F.col("cum_non_events").cast("double"), F.col("_tn").cast("double")))
          .withColumn("ks", F.abs(F.col("cum_event_pct") - F.col("cum_non_event_pct"))))
-    return t.select("decile", "count", "events", "non_events", "event_rate", "cum_events", "cum_non_events",
-                    "cum_event_pct", "cum_non_event_pct", "ks").orderBy("decile")
+    return sort_small(t.select("decile", "count", "events", "non_events", "event_rate", "cum_events", "cum_non_events",
+                               "cum_event_pct", "cum_non_event_pct", "ks"), "decile")
 
 
 def ks_value(summary: DataFrame) -> float | None:
@@ -71,7 +71,7 @@ def lift_table(summary: DataFrame) -> DataFrame:
          .withColumn("cum_response_rate", F.col("_ce") / F.col("_cc"))
          .withColumn("_overall", F.sum("events").over(tot) / F.sum("count").over(tot))
          .withColumn("cumulative_lift", F.try_divide(F.col("cum_response_rate"), F.col("_overall"))))
-    return t.select("decile", "response_rate", "cumulative_lift", "cum_response_rate").orderBy("decile")
+    return sort_small(t.select("decile", "response_rate", "cumulative_lift", "cum_response_rate"), "decile")
 
 
 def gain_table(summary: DataFrame) -> DataFrame:
@@ -81,5 +81,5 @@ def gain_table(summary: DataFrame) -> DataFrame:
                                                      F.sum("events").over(tot).cast("double")))
          .withColumn("percentile", F.col("decile") * (F.lit(100.0) / F.max("decile").over(tot))))
     origin = summary.sparkSession.createDataFrame([(0, 0.0, 0.0)], "decile int, percentile double, cumulative_gain double")
-    return (origin.unionByName(t.select("decile", "percentile", "cumulative_gain"))
-            .orderBy("decile").select("percentile", "cumulative_gain"))
+    return sort_small(origin.unionByName(t.select("decile", "percentile", "cumulative_gain")), "decile").select(
+        "percentile", "cumulative_gain")

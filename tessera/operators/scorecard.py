@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import (IV_ELSE, count_edges_by_key, IV_LADDER, PSI_ELSE, PSI_LADDER, is_numeric_type, ladder,
+from ..functions.exprs import (IV_ELSE, count_edges_by_key, sort_small, IV_LADDER, PSI_ELSE, PSI_LADDER, is_numeric_type, ladder,
                                numeric_cols, require_columns)
 from .binning import equal_width_edges, persist, quantile_edges_from_distinct
 from .order import dedupe_edges, ordered_prefix
@@ -166,7 +166,7 @@ def iv_table(df: DataFrame, features: Sequence[str], target: str, n_bins: int =
     iv = F.when(F.col("error").isNull(), F.round(F.col("_iv"), 4)).otherwise(F.lit(0.0))
     return (agg.select("feature", iv.alias("iv"), "error")
             .select("feature", "iv", ladder(F.col("iv"), IV_LADDER, IV_ELSE).alias("predictive_power"), "error")
-            .orderBy(F.desc("iv"), "feature"))
+            .transform(lambda d: sort_small(d, F.desc("iv"), "feature")))
 
 
 # ---------------------------------------------------------------------------
@@ -270,8 +270,8 @@ def psi_report(expected: DataFrame, actual: DataFrame, columns: Sequence[str] |
         ok = ok.unionByName(bad)
     stab = F.when(F.col("error").isNotNull() & F.col("psi").isNull(), F.lit("error")).otherwise(
         ladder(F.col("psi"), PSI_LADDER, PSI_ELSE))
-    return (ok.select("variable", "psi", stab.alias("stability"), "error")
-            .orderBy(F.desc_nulls_last("psi"), "variable"))
+    return sort_small(ok.select("variable", "psi", stab.alias("stability"), "error"),
+                      F.desc_nulls_last("psi"), "variable")
 
 
 def psi_value_schema():
