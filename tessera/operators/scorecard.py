@@ -74,13 +74,20 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
     stats = {r["feature"]: r for r in dist.groupBy("feature").agg(
         F.first("is_num").alias("is_num"), F.count("value").alias("nunique"),
         F.count(F.lit(1)).alias("ncat"),  # one distinct-table row per (value, category)
-        F.sum("bad").alias("bad")).collect()}
+        F.sum("bad").alias("bad"),
+        # per-feature totals for the smoothing, known before any binning: continuous
+        # features count non-null values, categorical ones every row (nulls are a bin)
+        F.sum(F.when(F.col("value").isNotNull(), F.col("events")).otherwise(0)).alias("ev_nn"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n_valid")).otherwise(0)).alias("nv_nn"),
+        F.sum("events").alias("ev_all"), F.sum("n_valid").alias("nv_all"),
+        F.count_if(F.col("n_valid") > 0).alias("kcat")).collect()}
     if any((r["bad"] or 0) > 0 for r in stats.values()):
         raise ValueError(f"target '{target}' must be binary 0/1")
     categorical = [f for f in features if not stats[f]["is_num"] or stats[f]["nunique"] <= n_bins]
     continuous = [f for f in features if f not in categorical]
 
     parts = []
+    edges_cont: dict[str, list[float]] = {}
     if continuous:
         cdist = dist.where(F.col("feature").isin(continuous) & F.col("value").isNotNull())
         if method == "quantile":
@@ -97,6 +104,7 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
             include_lowest = False
         else:
             raise ValueError(f"unknown binning method: {method}")
+        edges_cont = edges
         binned = (cdist.withColumn("bin_id", _bin_by_edges(F.col("value"), F.col("feature"), edges, include_lowest))
                   .where(F.col("bin_id").isNotNull())
                   .groupBy("feature", "bin_id")
@@ -134,10 +142,21 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
         return spark.createDataFrame([], WOE_SCHEMA), {}
     tab = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tab = tab.withColumn("non_events", (F.col("count") - F.col("events")).cast("long"))
-    # per-feature totals: a grouped aggregate joined back (one row per feature)
-    tot = tab.groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.sum("events").alias("_te"),
-                                     F.sum("non_events").alias("_tn"))
-    tab = (tab.join(F.broadcast(tot), "feature")
+    # per-feature totals (bins k, events, non-events) from the statistics collected above:
+    # literals, no extra aggregation over the bin table
+    totals = {}
+    for f in features:
+        r = stats[f]
+        if f in categorical:
+            totals[f] = (int(r["kcat"]), int(r["ev_all"] or 0), int((r["nv_all"] or 0) - (r["ev_all"] or 0)))
+        elif f in edges_cont:
+            totals[f] = (len(edges_cont[f]) - 1, int(r["ev_nn"] or 0), int((r["nv_nn"] or 0) - (r["ev_nn"] or 0)))
+
+    def lit_map(i):
+        return F.element_at(F.create_map(*[x for f, t in totals.items() for x in (F.lit(f), F.lit(t[i]))]),
+                            F.col("feature"))
+
+    tab = (tab.withColumn("_k", lit_map(0)).withColumn("_te", lit_map(1)).withColumn("_tn", lit_map(2))
            .withColumn("_de", (F.col("events") + 0.5) / (F.col("_te") + 0.5 * F.col("_k")))
            .withColumn("_dn", (F.col("non_events") + 0.5) / (F.col("_tn") + 0.5 * F.col("_k"))))
     ok = (F.col("_te") > 0) & (F.col("_tn") > 0)
