@@ -147,4 +147,4 @@ def top_abs(df: DataFrame, col: str, k: int = 20) -> DataFrame:
 def cv_rank(results: DataFrame, score: str = "mean") -> DataFrame:
     """Rank of each tuning result by mean score (min rank on ties); one row per
     candidate, so the window is small."""
-    return results.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc(score))))
+    return results.coalesce(1).withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc(score))))
