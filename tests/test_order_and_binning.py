@@ -72,3 +72,26 @@ def test_unweighted_positions_jvm_path(spark):
     got = out.select("k", "_start").toPandas().sort_values("k")["_start"].to_numpy()
     ref = pdf.sort_values(["g", "v", "k"]).assign(p=lambda d: d.groupby("g").cumcount()).sort_values("k")["p"].to_numpy()
     assert (got == ref).all() and totals[("hot",)] == int((grp == "hot").sum())
+
+
+def test_weighted_prefix_across_many_arrow_batches(spark):
+    """Running sums must carry across Arrow batches inside a partition (groups that span
+    batch boundaries, a hot group spanning many)."""
+    rng = np.random.default_rng(23)
+    n = 4000
+    grp = np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "c"], n))
+    pdf = pd.DataFrame({"g": grp, "v": rng.normal(size=n), "k": np.arange(n), "w": rng.integers(1, 9, n)})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out, _ = ordered_prefix(spark.createDataFrame(pdf), ["v", "k"], ["g"], weight_col="w", num_partitions=3,
+                                sum_cols=["k"])
+        got = out.select("k", "_start", "_cum_k").toPandas().sort_values("k").reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    ref = pdf.sort_values(["g", "v", "k"])
+    ref["_start"] = ref.groupby("g")["w"].cumsum() - ref["w"]
+    ref["_cum_k"] = ref.groupby("g")["k"].cumsum() - ref["k"]
+    ref = ref.sort_values("k").reset_index(drop=True)
+    assert (got["_start"].to_numpy() == ref["_start"].to_numpy()).all()
+    assert (got["_cum_k"].to_numpy() == ref["_cum_k"].to_numpy()).all()
