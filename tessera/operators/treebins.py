@@ -44,7 +44,7 @@ class _Node:
 
 
 def _best_split(tab: DataFrame, node: _Node):
-    """(position, nl, el, proxy) of the best split of ``node`` or None."""
+    """(position, nl, el, proxy, previous value, value) of the best split of ``node`` or None."""
     if node.hi - node.lo < 2:
         return None
     nl = F.col("_cum_n") - F.lit(node.bn)
@@ -53,20 +53,15 @@ def _best_split(tab: DataFrame, node: _Node):
     er = F.lit(node.e) - el
     proxy = -(nr * _gini_col(nr, er) + nl * _gini_col(nl, el))
     cand = tab.where((F.col("_start") > node.lo) & (F.col("_start") < node.hi))
-    r = cand.agg(F.max_by(F.struct(F.col("_start").alias("i"), nl.alias("nl"), el.alias("el"), proxy.alias("p")),
+    r = cand.agg(F.max_by(F.struct(F.col("_start").alias("i"), nl.alias("nl"), el.alias("el"), proxy.alias("p"),
+                                   F.col("v").alias("v"), F.col("_prev_v").alias("pv")),
                           F.struct(proxy, -F.col("_start")))).first()[0]
-    return None if r is None else (int(r["i"]), float(r["nl"]), float(r["el"]), float(r["p"]))
+    return None if r is None else (int(r["i"]), float(r["nl"]), float(r["el"]), float(r["p"]), float(r["pv"]),
+                                   float(r["v"]))
 
 
 def tree_thresholds(tab: DataFrame, n_total: float, e_total: float, m: int, max_leaf_nodes: int) -> list[float]:
     """Best-first growth over the cached (v, n, e, _start, _cum_n, _cum_e) table."""
-    vals = {}
-
-    def value_at(i):
-        if i not in vals:
-            vals[i] = float(tab.where(F.col("_start") == i).select("v").first()[0])
-        return vals[i]
-
     frontier, counter, thresholds = [], 0, []
 
     def push(node):
@@ -77,17 +72,17 @@ def tree_thresholds(tab: DataFrame, n_total: float, e_total: float, m: int, max_
             split = _best_split(tab, node)
         if split is None:
             return
-        i, nl, el, _p = split
+        i, nl, el, _p, pv, v = split
         nr, er = node.n - nl, node.e - el
         improvement = (node.n / n_total) * (imp - nr / node.n * _gini(nr, er) - nl / node.n * _gini(nl, el))
-        heapq.heappush(frontier, (-improvement, counter, node, i, nl, el))
+        heapq.heappush(frontier, (-improvement, counter, node, i, nl, el, pv, v))
         counter += 1
 
     push(_Node(0, m, n_total, e_total, 0.0, 0.0))
     splits_left = max_leaf_nodes - 1
     while frontier and splits_left > 0:
-        _neg, _c, node, i, nl, el = heapq.heappop(frontier)
-        lo_v, hi_v = np.float32(value_at(i - 1)), np.float32(value_at(i))
+        _neg, _c, node, i, nl, el, pv, v = heapq.heappop(frontier)
+        lo_v, hi_v = np.float32(pv), np.float32(v)
         thr = float(lo_v) / 2.0 + float(hi_v) / 2.0
         if thr == float(hi_v) or np.isinf(thr):
             thr = float(lo_v)
@@ -108,7 +103,10 @@ def tree_edges(cdist: DataFrame, n_bins: int) -> dict[str, list[float]]:
              .groupBy(F.col("value").cast("float").cast("double").alias("v"))
              .agg(F.sum("n_valid").cast("long").alias("n"), F.sum("events").cast("long").alias("e")))
         pref, totals = ordered_prefix(d, ["v"], sum_cols=["n", "e"])
-        tab = pref.persist(StorageLevel.MEMORY_AND_DISK)
+        # each distinct value with its predecessor (equi-join on position - 1), so a split's
+        # threshold comes back with the split itself
+        prev = pref.select((F.col("_start") + 1).alias("_start"), F.col("v").alias("_prev_v"))
+        tab = pref.join(prev, "_start", "left").persist(StorageLevel.MEMORY_AND_DISK)
         m = int(totals[()]) if totals else 0
         if m == 0:
             continue
