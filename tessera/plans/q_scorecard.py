@@ -1,8 +1,8 @@
-"""Scorecard queries (PSI, WOE/IV, KS/lift/gain). Registered queries: each reads the driver tables at ``sf_dir`` and runs one operator
-over whole tables. Every entry may carry an equivalent DuckDB SQL string (the oracle).
+"""Scorecard queries: PSI (A23, A24), WOE/IV (A20-A22, A26) and KS/lift/gain.
 
-Column names and types are aligned on both sides; doubles are rounded to 6 digits in
-both engines before comparison.
+Each query reads the driver tables at ``sf_dir`` and runs one operator over whole tables;
+the paired DuckDB SQL is its oracle. Column names and types match on both sides and
+doubles are rounded to 6 digits in both engines before comparison.
 """
 
 from __future__ import annotations
