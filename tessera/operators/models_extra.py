@@ -139,6 +139,7 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
         df.select(*[_x(f).alias(f) for f in features], idx.alias("label")).dropna())
     n = base.count()
     cur = base.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
+    base_ckpt, release = cur, None
     stumps, alphas = [], []
     for m in range(n_estimators):
         tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(cur)
@@ -158,16 +159,16 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
         alpha = learning_rate * (math.log((1.0 - err) / err) + math.log(K - 1))
         stumps.append(rule)
         alphas.append(alpha)
-        nxt = cur.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss))
-        s = nxt.agg(F.sum("w")).first()[0]
-        nxt = nxt.withColumn("w", F.col("w") / F.lit(s))
-        prev = cur
+        # new total weight in closed form: correct rows keep w, misclassified ones get w e^alpha
+        s_new = (tot - bad) + bad * math.exp(alpha)
+        nxt = cur.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss) / F.lit(s_new))
+        if release is not None:
+            release.unpersist()  # materialised by this round's fit, no longer read
+        release = cur if cur is not base_ckpt else None
         if (m + 1) % checkpoint_every == 0:
             cur = nxt.checkpoint(eager=True)
         else:
-            cur = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            cur.count()
-        prev.unpersist()
+            cur = nxt.persist(StorageLevel.MEMORY_AND_DISK)  # materialised by the next fit
     return AdaBoostModel(stumps, alphas, classes, features)
 
 
