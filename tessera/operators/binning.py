@@ -98,10 +98,23 @@ def equal_width_edges_multi(long: DataFrame, n_bins: int):
             if r["mn"] is not None}
 
 
-def feature_edges(df: DataFrame, features: Sequence[str], n_bins: int = 10, method: str = "quantile"):
-    """{feature: deduped edges} for numeric features (pandas qcut / cut semantics)."""
+def approx_quantiles(long: DataFrame, qs: Sequence[float], accuracy: int = 10_000):
+    """Opt-in approximate quantiles: one aggregation with ``percentile_approx`` (a
+    fixed-size sketch per feature, mergeable, rank error ~ 1/accuracy). Not equal to pandas'
+    interpolated quantiles; use when exactness is not needed at very large scale."""
+    rows = long.groupBy("feature").agg(
+        F.percentile_approx("value", list(qs), accuracy).alias("q"), F.count(F.lit(1)).alias("n")).collect()
+    return {r["feature"]: ([float(v) for v in r["q"]], int(r["n"])) for r in rows}
+
+
+def feature_edges(df: DataFrame, features: Sequence[str], n_bins: int = 10, method: str = "quantile",
+                  approx_accuracy: int | None = None):
+    """{feature: deduped edges} for numeric features (pandas qcut / cut semantics).
+    ``approx_accuracy`` switches quantile edges to the approximate sketch."""
     long = long_values(df, features)
-    if method == "quantile":
+    if method == "quantile" and approx_accuracy:
+        raw = approx_quantiles(long, list(np.linspace(0, 1, n_bins + 1)), approx_accuracy)
+    elif method == "quantile":
         dist = distinct_counts(long)
         raw = quantile_edges_from_distinct(dist, n_bins)
     elif method == "equal_width":

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.binning import exact_quantiles, equal_width_edges
+from tessera.operators.binning import equal_width_edges, exact_quantiles, feature_edges
 from tessera.operators.order import dedupe_edges, ordered_prefix, pandas_qcut_index_edges
 
 
@@ -95,3 +95,11 @@ def test_weighted_prefix_across_many_arrow_batches(spark):
     ref = ref.sort_values("k").reset_index(drop=True)
     assert (got["_start"].to_numpy() == ref["_start"].to_numpy()).all()
     assert (got["_cum_k"].to_numpy() == ref["_cum_k"].to_numpy()).all()
+
+
+def test_approx_edges_close_to_exact(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=5000)}))
+    exact = feature_edges(df, ["x"], 10)["x"]
+    approx = feature_edges(df, ["x"], 10, approx_accuracy=10_000)["x"]
+    assert len(exact) == len(approx) and max(abs(a - b) for a, b in zip(exact[1:-1], approx[1:-1])) < 0.01
