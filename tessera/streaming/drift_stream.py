@@ -2,8 +2,8 @@
 
 The stream is binned on the driver-fixed baseline edges (a literal array), and
 ``groupBy(window(ts), bin).count()`` keeps per-window bin counts in streaming state
-with a watermark (late rows older than the watermark are dropped, state of closed
-windows is evicted). ``foreachBatch`` appends each micro-batch's updated counts, tagged
+with a watermark: rows within the delay are always counted, rows further behind may be
+dropped (Spark's watermark contract), and state of closed windows is evicted. ``foreachBatch`` appends each micro-batch's updated counts, tagged
 with the batch id, to a table in the shared checkpoint folder; the PSI per window is a
 batch query over the latest count of every (window, bin) cell, so windows still open
 when the run stops are reported too. The query is restartable from its checkpoint.
