@@ -118,7 +118,15 @@ def q_s09_json_roundtrip(spark, sf):
     return _cast_like(spark.read.json(path), c.schema)
 
 
-@register("s10_dictionary_upsert")
+_CUST_KIND = {c: ("numeric" if t in ("bigint", "int", "double") else "categorical") for c, t in _CUST.items()}
+
+
+@register("s10_dictionary_upsert", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, CAST(count(*) - count({c}) AS BIGINT) AS missing, "
+    f"round(CAST(count(*) - count({c}) AS DOUBLE) * 100.0 / count(*), 6) AS missing_rate, "
+    f"CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique, '{_CUST_KIND[c]}' AS kind, "
+    f"'{('numeric: ' + c) if _CUST_KIND[c] == 'numeric' else (t + ' column')}' AS description FROM customer"
+    for c, t in _CUST.items()))
 def q_s10_dictionary_upsert(spark, sf):
     """S10 + J9 + F10: export a data dictionary as one JSON object, import it back, upsert
     newer descriptions, keep entries naming real columns, join to the overview."""
@@ -130,7 +138,7 @@ def q_s10_dictionary_upsert(spark, sf):
     loaded = sinks.read_dictionary(spark, path)
     newer = ov.where(F.col("kind") == "numeric").select("column", F.concat(F.lit("numeric: "), F.col("column")).alias("description"))
     merged = sinks.keep_known_columns(sinks.upsert_dictionary(loaded, newer), c)
-    return profile.column_overview(c, merged)
+    return round_doubles(profile.column_overview(c, merged))
 
 
 @register("s17_model_package")
