@@ -32,7 +32,24 @@ def q_e07_lda_class_stats(spark, sf):
     return round_doubles(models_extra.lda_class_stats(table(spark, sf, "orders"), FEATS, "o_orderstatus"))
 
 
-@register("e07_lda_predict")
+@register("e07_lda_predict", """
+WITH b AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS x1, CAST(o_custkey AS DOUBLE) AS x2,
+                  row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '-42')), o_orderkey) - 1 AS pos,
+                  count(*) OVER (PARTITION BY o_orderstatus) AS cnt FROM orders),
+s AS (SELECT *, CASE WHEN pos < ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM b),
+tr AS (SELECT * FROM s WHERE split = 'train' AND x1 IS NOT NULL AND x2 IS NOT NULL),
+cls AS (SELECT o_orderstatus AS c, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, coalesce(covar_samp(x1, x1), 0) AS c11,
+               coalesce(covar_samp(x1, x2), 0) AS c12, coalesce(covar_samp(x2, x2), 0) AS c22 FROM tr GROUP BY 1),
+tot AS (SELECT sum(n) AS nn, count(*) AS k FROM cls),
+sg AS (SELECT sum(c11 * (n - 1)) / (any_value(nn) - any_value(k)) AS s11, sum(c12 * (n - 1)) / (any_value(nn) - any_value(k)) AS s12,
+              sum(c22 * (n - 1)) / (any_value(nn) - any_value(k)) AS s22 FROM cls, tot),
+inv AS (SELECT s22 / (s11 * s22 - s12 * s12) AS i11, -s12 / (s11 * s22 - s12 * s12) AS i12, s11 / (s11 * s22 - s12 * s12) AS i22 FROM sg),
+co AS (SELECT c, i11 * m1 + i12 * m2 AS w1, i12 * m1 + i22 * m2 AS w2, m1, m2, n, nn FROM cls, inv, tot),
+cf AS (SELECT c, w1, w2, -0.5 * (m1 * w1 + m2 * w2) + ln(CAST(n AS DOUBLE) / nn) AS b FROM co),
+sc AS (SELECT t.o_orderkey, t.o_orderstatus, cf.c, cf.w1 * t.x1 + cf.w2 * t.x2 + cf.b AS score
+       FROM (SELECT * FROM s WHERE split = 'test') t, cf),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, c ASC) AS rk FROM sc)
+SELECT o_orderkey, o_orderstatus, c AS prediction FROM r WHERE rk = 1""")
 def q_e07_lda_predict(spark, sf):
     train, test = _split(spark, sf)
     m = models_extra.lda_fit(train, FEATS, "o_orderstatus")
