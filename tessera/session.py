@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,7 @@ def build_session(master: str | None = None, app: str = "tessera", shuffle_parti
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,6 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per session), so that they can import
+    it wherever the driver was started. Spark's own file server distributes the archive."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as d:
+        sc.addPyFile(shutil.make_archive(os.path.join(d, "tessera"), "zip", os.path.dirname(top), os.path.basename(top)))
+    sc._tessera_shipped = True
+
+
 def default_partitions(spark: SparkSession) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
