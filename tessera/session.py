@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -65,8 +66,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as d:
-        sc.addPyFile(shutil.make_archive(os.path.join(d, "tessera"), "zip", os.path.dirname(top), os.path.basename(top)))
+    d = tempfile.mkdtemp(prefix="tessera-code-")  # served by the driver until it ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(d, "tessera"), "zip", os.path.dirname(top), os.path.basename(top)))
     sc._tessera_shipped = True
 
 
