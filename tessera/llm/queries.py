@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, quality_rules, token_counts, token_ids
+from . import language_id, license_scan, mixing, quality_rules, token_counts, token_ids
 from .common import table
 
 QUERIES: dict = {}
@@ -48,3 +48,8 @@ def op9(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.size("sentence_ids").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
         F.array_join("licences", ",").alias("licences"))
+
+
+@register("op4_language_id")
+def op4(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")

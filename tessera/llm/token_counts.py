@@ -72,6 +72,8 @@ class Automaton:
                         fail[child], popped[child] = step[at << 8 | b], n
                 queue.append(child)
         self.step, self.fail, self.popped = step, fail, popped
+        #: filled by the worker that holds this copy; its tasks share it
+        self.lengths = WordLengths()
 
     def count(self, word: bytes) -> int:
         """Pieces of greedy longest matching; 1 if some part cannot be matched."""
@@ -96,16 +98,19 @@ class Automaton:
 class WordLengths(dict):
     """Token counts by word, counted on first use; emptied when full."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-
-    def __missing__(self, word: bytes) -> int:
-        n = self.automaton.count(b" " + word)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+    def of(self, automaton: Automaton, words: list[bytes]) -> int:
+        """Sum over the words of a text."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        total, get = 0, self.get
+        for word in words:
+            n = get(word)
+            if n is None:
+                n = automaton.count(b" " + word)
+                if len(word) <= CACHE_BYTES:
+                    self[word] = n
+            total += n
+        return total
 
 
 def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +119,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def count(batches):
-        lengths = WordLengths(shared.value)
+        automaton = shared.value
         for batch in batches:
             n_bytes, n_words, n_tokens = [], [], []
             for text in batch.column(1):
@@ -122,7 +127,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
                 words = text.split()
                 n_bytes.append(len(text))
                 n_words.append(len(words))
-                n_tokens.append(sum(map(lengths.__getitem__, words)))
+                n_tokens.append(automaton.lengths.of(automaton, words))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_words, n_tokens))],
                                              names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 

@@ -20,8 +20,10 @@ texts make a chunk of their own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .common import scratch
 
 END_ID = 2
 CHUNK_IDS = 1 << 18
-#: words a worker keeps the ids of, and the longest of them in bytes
-CACHE_WORDS, CACHE_BYTES = 800_000, 48
+#: words a worker keeps the ids of; its table is emptied above that
+CACHE_WORDS = 1_000_000
 #: bytes of text encoded at a time
 BATCH_BYTES = 1 << 22
 
@@ -44,33 +46,70 @@ CHUNKS = ("shard int, seq int, first long, n_ids long, doc_ids array<long>, doc_
 
 
 class WordIds(dict):
-    """Row of ``flat`` by word: where its ids begin and how many there are."""
+    """By word its row of the arrays ``start`` and ``size``, which point into ``flat``."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    #: plain words: one pre-token each, so that many can be encoded in one call
+    PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        # a pre-token's last piece ends with the word-end mark
+        self.ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.reset()
 
     def reset(self):
         self.clear()
-        self.flat, self.start, self.size = array("I"), array("I"), array("I")
+        self.flat, self.start, self.size, self.new = array("I"), array("I"), array("I"), []
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> int:
-        stem, last = word[:-1], word[-1:]
-        if last in (b".", b",") and stem.isalpha():  # letters and a lone mark are two pre-tokens
-            ids = self.ids(stem) + self.ids(last)
-        else:
-            ids = self.encode(word.decode())
-        row = len(self.start)
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        if len(word) <= CACHE_BYTES:
-            self[word] = row
+        """A row whose ids follow when ``learn`` is called."""
+        row = self[word] = len(self.start)
+        self.start.append(0)
+        self.size.append(0)
+        self.new.append(word)
         return row
 
-    def ids(self, word: bytes) -> list[int]:
-        row = self[word]
-        return self.flat[self.start[row]:self.start[row] + self.size[row]].tolist()
+    def fill(self, row: int, ids) -> None:
+        self.start[row], self.size[row] = len(self.flat), len(ids)
+        self.flat.extend(ids)
+
+    def learn(self) -> None:
+        """Encode the new words."""
+        plain, marked, other = [], [], []
+        for word in self.new:  # grows by stems
+            text = word.decode()
+            if self.PLAIN(text):
+                plain.append(text)
+            elif text[-1] in ".," and self.PLAIN(text[:-1]):  # letters and a lone mark: two pre-tokens
+                marked.append((self[word], self[word[:-1]], word[-1:]))
+            else:
+                other.append(text)
+        for i in range(0, len(plain), 4096):
+            part = plain[i:i + 4096]
+            ids = np.array(self.encode(" ".join(part)), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):  # not one pre-token each after all
+                other += part
+                continue
+            rows = np.array([self[w.encode()] for w in part])
+            begin = np.append(0, last[:-1] + 1)
+            np.frombuffer(self.start, np.uint32)[rows] = begin + len(self.flat)
+            np.frombuffer(self.size, np.uint32)[rows] = last + 1 - begin
+            self.flat.frombytes(ids.tobytes())
+        for text in other:
+            self.fill(self[text.encode()], self.encode(text))
+        flat, start, size = self.flat, self.start, self.size
+        for row, stem, mark in marked:
+            self.fill(row, flat[start[stem]:start[stem] + size[stem]] + self.marks[mark])
+        self.new = []
+
+    @cached_property
+    def marks(self) -> dict[bytes, array]:
+        return {x: array("I", self.encode(x.decode())) for x in (b".", b",")}
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids per text), without end ids."""
@@ -79,16 +118,16 @@ class WordIds(dict):
         rows, n_words = array("I"), []
         for text in texts:
             if b"<|" in text:
-                ids = self.encode(text.decode())
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+                self.start.append(0)
+                self.size.append(0)
+                self.fill(len(self.start) - 1, self.encode(text.decode()))
                 rows.append(len(self.start) - 1)
                 n_words.append(1)
             else:
                 words = text.lower().split()  # bytes: A-Z only, which the tokenizer lowers too
                 rows.extend(map(self.__getitem__, words))
                 n_words.append(len(words))
+        self.learn()
         row = np.frombuffer(rows, np.uint32) if rows else np.zeros(0, np.uint32)
         size = np.frombuffer(self.size, np.uint32)[row].astype(np.int64) if rows else np.zeros(0, np.int64)
         total = int(size.sum())
@@ -125,11 +164,17 @@ def by_bytes(batch: pa.RecordBatch):
         yield ids, texts
 
 
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+_WORDS: dict[str, WordIds] = {}
+
+
+def _worker_words(path: str) -> WordIds:
+    """This worker process's table for a tokenizer file; tasks of one worker share it."""
+    if path not in _WORDS:
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        tokenizer = Tokenizer.from_file(path)
+        _WORDS[path] = WordIds(tokenizer)
+    return _WORDS[path]
 
 
 def _chunk(shard, seq, first, ids, doc_ids, doc_lens) -> pa.RecordBatch:
@@ -149,7 +194,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def encode(batches):
-        words, shard = WordIds(_encoder(tokenizer)), TaskContext.get().partitionId()
+        words, shard = _worker_words(tokenizer), TaskContext.get().partitionId()
         seq, first, held, doc_ids, doc_lens, n_held = 0, 0, [], [], [], 0
         for batch in batches:
             for ids, texts in by_bytes(batch):
