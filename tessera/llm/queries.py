@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, quality_rules, token_counts, token_ids
+from . import language_id, license_scan, mixing, quality_cnn, quality_rules, token_counts, token_ids
 from .common import table
 
 QUERIES: dict = {}
@@ -53,3 +53,8 @@ def op9(spark, sf_dir):
 @register("op4_language_id")
 def op4(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")
+
+
+@register("op6_quality_cnn")
+def op6(spark, sf_dir):
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
