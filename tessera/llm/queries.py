@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, quality_cnn, quality_rules, token_counts, token_ids
+from . import language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, token_ids
 from .common import table
 
 QUERIES: dict = {}
@@ -58,3 +58,8 @@ def op4(spark, sf_dir):
 @register("op6_quality_cnn")
 def op6(spark, sf_dir):
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_near_dedup", near_dedup.oracle())
+def op10(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("th")
