@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, token_ids
+from . import decontaminate, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, token_ids
 from .common import table
 
 QUERIES: dict = {}
@@ -63,3 +63,8 @@ def op6(spark, sf_dir):
 @register("op10_near_dedup", near_dedup.oracle())
 def op10(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("th")
+
+
+@register("op3_decontaminate", decontaminate.oracle())
+def op3(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
