@@ -8,12 +8,13 @@
 3. Bands of ``ROWS`` coordinates put classes into buckets. With ``BANDS`` = 32 bands of 4, a
    pair of similarity 0.8 shares no bucket with probability 5e-8 (0.85: 6e-11).
 4. In each bucket one pivot, the class with the most bucket mates, is compared with the
-   others: a link is confirmed on the full shingle sets. Components follow from the
-   links. Further rounds take other pivots in buckets whose classes are not yet in one
-   component; at the end every remaining pair of different components that shares a
-   bucket and is not ruled out by its sizes is compared. So no link that joins two
-   components is lost, and a group of thousands of near copies costs about one
-   comparison per class, not one per pair.
+   others on the full shingle sets; components follow from the confirmed links. A group
+   of thousands of near copies so costs about one comparison per class, not one per pair.
+5. What is left are pairs of different components in one bucket. With x, y and pivot p,
+   |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|, and the first part is known: a
+   pair is compared on full sets only if that bound allows a link, and the second part
+   is counted by an equi-join on the shingles that the pivot lacks. The bound is exact,
+   so no link between components is lost.
 
 Defined results: null and wordless texts have an empty set, are linked with nothing and
 are their own component; repeated rows share their class; a null id takes part, but a
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 BANDS, ROWS = 32, 4
-STAR_ROUNDS = 3
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _EMPTY = np.uint64(2 ** 64 - 1)
 
@@ -129,13 +129,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return written(got.dropDuplicates(["key"]).mapInArrow(run, "key binary, items array<long>"), "sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of keys whose full sets are similar enough."""
+def enough(both, nx, ny, percent: int):
+    """100 * intersection >= percent * union, for set sizes nx and ny."""
+    return both * (100 + percent) >= (nx + ny) * percent
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with both (size of the intersection) and ia, ib (the sets of keys a and b)."""
     a = sets.select(F.col("key").alias("a"), F.col("items").alias("ia"))
     b = sets.select(F.col("key").alias("b"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    j = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return j.where(F.col("both") * 100 >= percent * (F.size("ia") + F.size("ib") - F.col("both"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ia", "ib")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """(key, comp) of the classes that have a link; None without any candidate."""
+    """(key, comp) of the classes that have a link; None without any."""
     classes = rows.where(F.col("n_shingles") > 0).groupBy("key").agg(
         F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     spread = classes.select("key", "n", "rep", F.explode("bands").alias("band"))
@@ -165,32 +168,46 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int, i
     if wanted.isEmpty():
         return None
     sets = class_sets(docs, wanted, width, id_col, text_col)
-    member = written(member.drop("rep", "mates").join(wanted.select("key", "degree"), "key"), "members")
-    near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    links, comp, member_in = None, None, member.withColumn("comp", F.col("key"))
-    for k in range(STAR_ROUNDS):
-        rank = F.struct(F.col("degree") if k == 0 else F.xxhash64("key", F.lit(k)), "key", "n", "comp")
-        pivots = member_in.groupBy("band").agg(F.max(rank).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        pairs = member_in.join(pivots, "band").where((F.col("comp") != F.col("p.comp")) & near(F.col("n"), F.col("p.n")))
-        pairs = pairs.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
-        found = written(confirmed(pairs, sets, percent), "links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        comp = components(links)
-        member_in = member.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    # whatever pair of components still shares a bucket
-    open_bands = member_in.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = written(member_in.join(open_bands, "band").select("band", "key", "n", "comp"), "rest")
-    other = rest.select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = rest.join(other, "band").where((F.col("key") < F.col("b")) & (F.col("comp") != F.col("cb")) & near(F.col("n"), F.col("nb")))
-    found = written(confirmed(pairs.select(F.col("key").alias("a"), "b").distinct(), sets, percent), "links")
+    member = member.drop("rep", "mates").join(wanted.select("key", "degree"), "key")
+    pivots = member.groupBy("band").agg(F.max(F.struct("degree", "key", "n")).alias("p"))
+    member = written(member.join(pivots, "band").select("band", "key", "n", F.col("p.key").alias("p"), F.col("p.n").alias("np")), "members")
+    # every class against the pivots of its buckets
+    star = member.where("key <> p").select(F.col("key").alias("a"), F.col("p").alias("b"), "n", "np").distinct()
+    star = overlaps(star, sets).withColumn("linked", enough(F.col("both"), F.col("n"), F.col("np"), percent))
+    star = written(star.select("a", "b", "both", "linked", F.array_except("ia", "ib").alias("own")), "stars")
+    links = star.where("linked").select("a", "b")
+    comp = components(links)
+    found = written(cross_links(member, star, comp, sets, percent), "links")
     if not found.isEmpty():
-        links = found if links is None else links.union(found)
-        comp = components(links)
+        comp = components(links.union(found))
     return comp
 
 
+def cross_links(member: DataFrame, star: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components, among the pairs that share a bucket."""
+    m = member.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    split = m.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    known = star.select(F.col("a").alias("key"), F.col("b").alias("p"), F.col("both").cast("long").alias("both"))
+    m = m.join(split, "band").join(known, ["key", "p"], "left").withColumn("both", F.coalesce("both", "n"))
+    m = written(m.select("band", "key", "n", "p", "comp", "both"), "open")
+    x = lambda c, y: [F.col(k).alias(f"{k}_{y}") for k in c]
+    side = ("key", "n", "comp", "both")
+    apart = (F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y"))
+    shared = F.least("both_x", "both_y")
+    fits = enough(shared, F.col("n_x"), F.col("n_y"), percent)
+    near = m.select("band", *x(side, "x")).join(m.select("band", *x(side, "y")), "band").where(apart & fits)
+    # pairs that need shingles their pivot lacks
+    own = m.where("key <> p").select("p", *side).distinct().join(
+        star.select(F.col("a").alias("key"), F.col("b").alias("p"), "own"), ["key", "p"])
+    own = own.select("p", *side, F.explode("own").alias("item"))
+    other = own.select("p", "item", *x(side, "x")).join(own.select("p", "item", *x(side, "y")), ["p", "item"]).where(apart & ~fits)
+    other = other.groupBy("p", "key_x", "key_y", "n_x", "n_y", "both_x", "both_y").agg(F.count("*").alias("more")).where(
+        enough(shared + F.col("more"), F.col("n_x"), F.col("n_y"), percent))
+    pairs = near.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"), "n_x", "n_y").union(
+        other.select("key_x", "key_y", "n_x", "n_y")).distinct()
+    return overlaps(pairs, sets).where(enough(F.col("both"), F.col("n_x"), F.col("n_y"), percent)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept), one row per input row."""
     rows = sketched(docs, width, id_col, text_col)
