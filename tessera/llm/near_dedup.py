@@ -12,9 +12,9 @@
    of thousands of near copies so costs about one comparison per class, not one per pair.
 5. What is left are pairs of different components in one bucket. With x, y and pivot p,
    |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|, and the first part is known: a
-   pair is compared on full sets only if that bound allows a link, and the second part
-   is counted by an equi-join on the shingles that the pivot lacks. The bound is exact,
-   so no link between components is lost.
+   pair is compared on full sets only if that bound allows a link, or they
+   share enough shingles that the pivot lacks: such pairs meet in an equi-join on the
+   rarest of those. Both conditions are necessary, so no link between components is lost.
 
 Defined results: null and wordless texts have an empty set, are linked with nothing and
 are their own component; repeated rows share their class; a null id takes part, but a
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -119,7 +119,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     text hash), from the texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
     w = wanted.select("key", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"))
-    got = rows.join(w, (rows["th"] == w["r_th"]) & rows["doc_id"].eqNullSafe(w["r_id"])).select("key", "text")
+    # a shuffle at every size: neither side is known to be small
+    got = rows.join(w.hint("merge"), (rows["th"] == w["r_th"]) & rows["doc_id"].eqNullSafe(w["r_id"])).select("key", "text")
 
     def run(batches):
         for batch in batches:
@@ -196,13 +197,20 @@ def cross_links(member: DataFrame, star: DataFrame, comp: DataFrame, sets: DataF
     shared = F.least("both_x", "both_y")
     fits = enough(shared, F.col("n_x"), F.col("n_y"), percent)
     near = m.select("band", *x(side, "x")).join(m.select("band", *x(side, "y")), "band").where(apart & fits)
-    # pairs that need shingles their pivot lacks
+    # Pairs that need shingles their pivot lacks: at least percent * n - both of x's own ones
+    # (sizes differ by that factor at most), so two linked classes meet within the first
+    # (100 - percent) percent of n, plus one, of their own shingles, the rarest first.
     own = m.where("key <> p").select("p", *side).distinct().join(
         star.select(F.col("a").alias("key"), F.col("b").alias("p"), "own"), ["key", "p"])
     own = own.select("p", *side, F.explode("own").alias("item"))
+    own = own.join(own.groupBy("p", "item").agg(F.count("*").alias("often")), ["p", "item"])
+    rarest = F.row_number().over(Window.partitionBy("p", "key").orderBy("often", "item"))
+    own = own.withColumn("rank", rarest).where((F.col("often") > 1) & (F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1))
     other = own.select("p", "item", *x(side, "x")).join(own.select("p", "item", *x(side, "y")), ["p", "item"]).where(apart & ~fits)
-    other = other.groupBy("p", "key_x", "key_y", "n_x", "n_y", "both_x", "both_y").agg(F.count("*").alias("more")).where(
-        enough(shared + F.col("more"), F.col("n_x"), F.col("n_y"), percent))
+    other = other.select("p", "key_x", "key_y", "n_x", "n_y", "both_x", "both_y").distinct()
+    for y in "xy":
+        other = other.join(star.select(F.col("a").alias(f"key_{y}"), F.col("b").alias("p"), F.col("own").alias(f"own_{y}")), ["p", f"key_{y}"])
+    other = other.where(enough(shared + F.size(F.array_intersect("own_x", "own_y")), F.col("n_x"), F.col("n_y"), percent))
     pairs = near.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"), "n_x", "n_y").union(
         other.select("key_x", "key_y", "n_x", "n_y")).distinct()
     return overlaps(pairs, sets).where(enough(F.col("both"), F.col("n_x"), F.col("n_y"), percent)).select("a", "b")
