@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, token_ids
+from . import (
+    decontaminate,
+    language_id,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality_cnn,
+    quality_rules,
+    repeats,
+    token_counts,
+    token_ids,
+)
 from .common import table
 
 QUERIES: dict = {}
@@ -68,3 +79,8 @@ def op10(spark, sf_dir):
 @register("op3_decontaminate", decontaminate.oracle())
 def op3(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
+@register("op8_repeats")
+def op8(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
