@@ -44,9 +44,9 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str = SEED) -> DataFrame:
-    """Written table (doc_id, source, size, h): one small row per document."""
+    """Written table (doc_id, th: text hash, source, size, h): one small row per document."""
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(source_col).alias("source"),
                                word_count(F.col(text_col)).alias("size"), h.alias("h")), "mix-sizes")
 
 
@@ -108,7 +108,7 @@ def stream(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     sums = d.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    w = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size")
+    w = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size", "th")
     d = d.withColumn("rn", F.row_number().over(w)).withColumn("start", F.coalesce(
         F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return d.join(sums, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset", "h")
@@ -143,10 +143,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def taken(mixed: DataFrame, by_pass: bool = False) -> DataFrame:
     """Words taken per document (and pass)."""
-    keys = ["src", "bucket", "rn", "doc_id", "source", "size", "source_size", "target"] + (["pass"] if by_pass else [])
+    keys = ["src", "bucket", "rn", "doc_id", "th", "source", "size", "source_size", "target"] + (["pass"] if by_pass else [])
     return mixed.groupBy(*keys).agg(F.sum("n_words").alias("taken"))
 
 
+def copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as documents: a row of ``docs`` for every pass that takes half of its words
+    or more (documents are whole: only a source's last one can be cut by the schedule)."""
+    wanted = taken(mixed, by_pass=True).where((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").cast("int").alias("_n"))
+    own = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
+    # equal rows are one here: their copies are counted together
+    own = own.dropDuplicates([id_col, "_own"]).join(wanted, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")))
+    return own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
 def oracle() -> str:
     """DuckDB SQL of the query's rows."""
     return rf"""
