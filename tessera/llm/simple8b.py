@@ -16,7 +16,12 @@ COUNTS = np.array([1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.i
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    if len(v) and v.max() < len(_SHORT):
+        return _SHORT[v.astype(np.uint16)]
     low = np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     high = np.frexp((v >> np.uint64(32)).astype(np.float64))[1]
     return np.where(high > 0, high + 32, low).astype(np.uint8)
@@ -33,7 +38,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(n_blocks * BLOCK, np.uint64)
     padded[:len(v)] = v
     own[:, :BLOCK] = padded.reshape(n_blocks, BLOCK)
-    bits = _bit_lengths(own)
+    bits = np.zeros(own.shape, np.uint8)
+    bits[:, :BLOCK] = _bit_lengths(padded).reshape(n_blocks, BLOCK)
     # most[n][i]: bits of the largest of n values from i on, from two shorter windows
     most, select, done = {1: bits}, np.zeros((n_blocks, BLOCK), np.uint8), 1
     for k in range(len(COUNTS) - 1, 0, -1):
@@ -48,15 +54,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = {m: x for m, x in most.items() if m in (1, done) or m * 2 >= done}
     size = np.full(n_blocks, BLOCK, np.int64)
     size[-1] = len(v) - (n_blocks - 1) * BLOCK
-    at, live, blocks, starts = np.zeros(n_blocks, np.int64), np.arange(n_blocks), [], []
+    at, live, begins = np.zeros(n_blocks, np.int64), np.arange(n_blocks), np.zeros((n_blocks, BLOCK), bool)
     while len(live):  # all blocks step at once
-        blocks.append(live)
-        starts.append(at[live])
-        at[live] += COUNTS[select[live, at[live]]]
-        live = live[at[live] < size[live]]
-    block, start = np.concatenate(blocks), np.concatenate(starts)
-    order = np.lexsort((start, block))
-    block, start = block[order], start[order]
+        here = at[live]
+        begins[live, here] = True
+        here += COUNTS[select[live, here]]
+        at[live] = here
+        live = live[here < size[live]]
+    block, start = np.nonzero(begins)
     sel = select[block, start].astype(np.int64)
     width = np.where(sel == 0, 2, 1)
     place = np.cumsum(width) - width

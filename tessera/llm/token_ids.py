@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ END_ID = 2
 CHUNK_IDS = 1 << 18
 #: words a worker keeps the ids of; its table is emptied above that
 CACHE_WORDS = 1_000_000
+#: runs of marks kept likewise
+MARKS = 10_000
 #: bytes of text encoded at a time
 BATCH_BYTES = 1 << 22
 
@@ -50,6 +51,8 @@ class WordIds(dict):
 
     #: plain words: one pre-token each, so that many can be encoded in one call
     PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+    #: letters and a run of ASCII marks without the apostrophe: two pre-tokens
+    MARKED = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)").fullmatch
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -60,6 +63,7 @@ class WordIds(dict):
 
     def reset(self):
         self.clear()
+        self.marks: dict[str, array] = {}
         self.flat, self.start, self.size, self.new = array("I"), array("I"), array("I"), []
 
     def encode(self, text: str) -> list[int]:
@@ -84,8 +88,8 @@ class WordIds(dict):
             text = word.decode()
             if self.PLAIN(text):
                 plain.append(text)
-            elif text[-1] in ".," and self.PLAIN(text[:-1]):  # letters and a lone mark: two pre-tokens
-                marked.append((self[word], self[word[:-1]], word[-1:]))
+            elif two := self.MARKED(text):
+                marked.append((self[word], self[two[1].encode()], two[2]))
             else:
                 other.append(text)
         for i in range(0, len(plain), 4096):
@@ -104,12 +108,17 @@ class WordIds(dict):
             self.fill(self[text.encode()], self.encode(text))
         flat, start, size = self.flat, self.start, self.size
         for row, stem, mark in marked:
-            self.fill(row, flat[start[stem]:start[stem] + size[stem]] + self.marks[mark])
+            self.fill(row, flat[start[stem]:start[stem] + size[stem]] + self.mark(mark))
         self.new = []
 
-    @cached_property
-    def marks(self) -> dict[bytes, array]:
-        return {x: array("I", self.encode(x.decode())) for x in (b".", b",")}
+    def mark(self, text: str) -> array:
+        """Ids of a run of marks."""
+        ids = self.marks.get(text)
+        if ids is None:
+            ids = array("I", self.encode(text))
+            if len(self.marks) < MARKS:
+                self.marks[text] = ids
+        return ids
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids per text), without end ids."""
