@@ -108,11 +108,12 @@ def windows_of(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (hs, item) within RADIUS, for distinct windows ``(size, hs, fp)``."""
+    # thousands of rows an item: shuffled, whatever Spark estimates their size to be
     probe = items.select("item", "size", F.col("fp").alias("ifp"), F.posexplode("fp").alias("b", "v")).withColumn(
         "v", F.explode(F.transform(F.array(*[F.lit(m) for m in _MASKS]), lambda m: F.col("v").bitwiseXOR(m))))
     look = windows.select("size", "hs", "fp", F.posexplode("fp").alias("b", "v"))
     apart = F.aggregate(F.zip_with("fp", "ifp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return look.join(probe, ["size", "b", "v"]).where(apart <= RADIUS).select("hs", "item").distinct()
+    return look.join(probe.hint("merge"), ["size", "b", "v"]).where(apart <= RADIUS).select("hs", "item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
