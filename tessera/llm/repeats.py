@@ -53,6 +53,8 @@ PERIOD, COVER = difference_cover(2)
 INNER = LENGTH - PERIOD + 1
 #: bytes of input per bucket of cover samples and of suffixes
 SAMPLE_BUCKET, SUFFIX_BUCKET = 32 << 20, 8 << 20
+#: at least so many buckets
+SAMPLE_BUCKETS, SUFFIX_BUCKETS = 16, 64
 SLICE_BYTES = 1 << 22
 
 _ROOT = 0x9E3779B97F4A7C15
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     d = keyed(docs, id_col, text_col)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n1, n2 = max(16, total // SAMPLE_BUCKET), max(16, total // SUFFIX_BUCKET)
+    n1, n2 = max(SAMPLE_BUCKETS, total // SAMPLE_BUCKET), max(SUFFIX_BUCKETS, total // SUFFIX_BUCKET)
 
     def deal_samples(batches):
         for batch in batches:
