@@ -49,5 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLE: dict = {}
+
+
+def worker_table(key, make):
+    """This worker process's table for ``key``. A worker keeps one: tasks of one job share
+    it, and it is freed as soon as a task asks for another."""
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

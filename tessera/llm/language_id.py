@@ -24,6 +24,7 @@ and (for training) language columns are read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, worker_table
 
 UND = "und"
 TRAIN_DOCS, TRAIN_WORDS = 250, 384
@@ -40,8 +41,8 @@ HASH_BITS = 18
 NGRAMS = (2, 3, 4, 5)
 ROUNDS, RATE, DECAY = 40, 0.3, 1e-4
 #: words a worker keeps scores of; its table is emptied above that
-CACHE_WORDS = 600_000
-BATCH_BYTES = 1 << 22
+CACHE_WORDS = 200_000
+BATCH_BYTES = 1 << 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,7 +135,7 @@ class Model:
     lexicon: np.ndarray  # sorted word hashes
     lexical: np.ndarray  # (len(lexicon) + 1, K); the last row, of unknown words, is 0
     trans: np.ndarray  # (K, K)
-    words: Words | None = field(default=None, repr=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def entry(self, whole: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.lexicon, whole)
@@ -195,9 +196,7 @@ def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def label_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     """Sums of label probabilities over each text's words: (texts, K)."""
-    if model.words is None:
-        model.words = Words(model)
-    words = model.words
+    words = worker_table(model.name, lambda: Words(model))
     if len(words) > CACHE_WORDS:
         words.reset()
     k = len(model.languages)
@@ -211,8 +210,8 @@ def label_texts(model: Model, texts: list[bytes]) -> np.ndarray:
         return out
     at, mask = chains(sizes)
     row, post = np.concatenate(rows), np.empty((total, k))
-    for i in range(0, len(at), 4096):
-        a, m = at[i:i + 4096], mask[i:i + 4096]
+    for i in range(0, len(at), 1024):
+        a, m = at[i:i + 1024], mask[i:i + 1024]
         post[a[m]] = posteriors(table[row[a]], model.trans, m)[m]
     some = np.flatnonzero(sizes)
     out[some] = np.add.reduceat(post, (np.cumsum(sizes) - sizes)[some], axis=0)
@@ -321,9 +320,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def label(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column("_text")
-            lang, score, n_words, shares = [], [], [], []
-            for part in slices(texts):
+            at = 0
+            for part in slices(batch.column("_text")):
+                lang, score, n_words, shares = [], [], [], []
                 sums = label_texts(m, part) if m else np.zeros((len(part), 1))
                 total = np.rint(sums.sum(axis=1)).astype(int)
                 best = sums.argmax(axis=1)
@@ -333,10 +332,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     score.append(float(share[best[i]]))
                     n_words.append(n)
                     shares.append(share.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in passed), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(n_words, pa.int64()), pa.array(shares, pa.list_(pa.float64()))],
-                names=[*passed, "lang_pred", "score", "n_words", "shares"])
+                own = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c) for c in passed), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                     pa.array(n_words, pa.int64()), pa.array(shares, pa.list_(pa.float64()))],
+                    names=[*passed, "lang_pred", "score", "n_words", "shares"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed)
     return rows.mapInArrow(label, f"{kinds}, lang_pred string, score double, n_words long, shares array<double>")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_table, written
 
 BANDS, ROWS = 32, 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -99,6 +99,7 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
+        worker_table("none", dict)  # frees another operator's table
         for batch in batches:
             n, key, bands = [], [], []
             for text in batch.column(2):

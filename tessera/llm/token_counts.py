@@ -16,12 +16,15 @@ gives an empty table; a text of one very long word takes time linear in it.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_table
+
 #: entries of a worker's table of word lengths, and the longest word kept in it
 CACHE_WORDS, CACHE_BYTES = 500_000, 48
 
@@ -72,8 +75,7 @@ class Automaton:
                         fail[child], popped[child] = step[at << 8 | b], n
                 queue.append(child)
         self.step, self.fail, self.popped = step, fail, popped
-        #: filled by the worker that holds this copy; its tasks share it
-        self.lengths = WordLengths()
+        self.name = uuid.uuid4().hex
 
     def count(self, word: bytes) -> int:
         """Pieces of greedy longest matching; 1 if some part cannot be matched."""
@@ -120,6 +122,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
 
     def count(batches):
         automaton = shared.value
+        lengths = worker_table(automaton.name, WordLengths)
         for batch in batches:
             n_bytes, n_words, n_tokens = [], [], []
             for text in batch.column(1):
@@ -127,7 +130,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
                 words = text.split()
                 n_bytes.append(len(text))
                 n_words.append(len(words))
-                n_tokens.append(automaton.lengths.of(automaton, words))
+                n_tokens.append(lengths.of(automaton, words))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_words, n_tokens))],
                                              names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import scratch
+from .common import scratch, worker_table
 
 END_ID = 2
 CHUNK_IDS = 1 << 18
@@ -173,17 +173,10 @@ def by_bytes(batch: pa.RecordBatch):
         yield ids, texts
 
 
-_WORDS: dict[str, WordIds] = {}
+def _load(path: str) -> WordIds:
+    from tokenizers import Tokenizer
 
-
-def _worker_words(path: str) -> WordIds:
-    """This worker process's table for a tokenizer file; tasks of one worker share it."""
-    if path not in _WORDS:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _WORDS[path] = WordIds(tokenizer)
-    return _WORDS[path]
+    return WordIds(Tokenizer.from_file(path))
 
 
 def _chunk(shard, seq, first, ids, doc_ids, doc_lens) -> pa.RecordBatch:
@@ -203,7 +196,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def encode(batches):
-        words, shard = _worker_words(tokenizer), TaskContext.get().partitionId()
+        words, shard = worker_table(tokenizer, lambda: _load(tokenizer)), TaskContext.get().partitionId()
         seq, first, held, doc_ids, doc_lens, n_held = 0, 0, [], [], [], 0
         for batch in batches:
             for ids, texts in by_bytes(batch):
