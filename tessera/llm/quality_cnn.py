@@ -82,10 +82,10 @@ class Network:
 
     def _pooled(self, texts: list[bytes], sizes: list[int]) -> np.ndarray:
         """Chunk vectors of texts; appends each text's number of chunks."""
-        pad = bytes(WIDTH)
+        pad = bytes(WIDTH + 1)
         out = []
         step = SLICE_BYTES // CHUNK * CHUNK
-        data, starts, n = [], [], 0
+        data, starts, ends, n = [], [], [], 0
         for text in texts:
             count = max(1, -(-len(text) // CHUNK))
             sizes.append(count)
@@ -93,23 +93,25 @@ class Network:
                 part = text[i:i + step + WIDTH - 1]
                 own = min(len(text) - i, step) if text else 1
                 starts += range(n, n + own, CHUNK)
-                piece = part + pad[:own + WIDTH - len(part)] if own + WIDTH > len(part) else part
-                data.append(piece)
-                n += len(piece)
+                data.append(part + pad[:own + WIDTH - len(part)])
+                ends.append(n + own)
+                n += own + WIDTH
                 if n >= SLICE_BYTES:
-                    out.append(self._convolve(b"".join(data), starts))
-                    data, starts, n = [], [], 0
+                    out.append(self._convolve(b"".join(data), starts, ends))
+                    data, starts, ends, n = [], [], [], 0
         if data:
-            out.append(self._convolve(b"".join(data), starts))
+            out.append(self._convolve(b"".join(data), starts, ends))
         return np.concatenate(out)
 
-    def _convolve(self, data: bytes, starts: list[int]) -> np.ndarray:
+    def _convolve(self, data: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+        """Largest outputs from each start on; the WIDTH bytes from each end on are padding."""
         b = np.frombuffer(data + bytes(WIDTH), np.uint8).astype(np.int64)
         pair = b[:-1] * 256 + b[1:]
         tables, n = self.pair_tables(), len(data)
         out = tables[0][pair[:n]]
         for j in range(1, WIDTH // 2):
             out += tables[j][pair[2 * j:2 * j + n]]
+        out[np.array(ends)[:, None] + np.arange(WIDTH)] = -np.inf
         return np.maximum(np.maximum.reduceat(out, starts, axis=0) + self.shift, 0)
 
 

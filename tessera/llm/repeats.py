@@ -159,10 +159,12 @@ def repeated(dealt: DataFrame, dtype) -> DataFrame:
         same = h[1:] == h[:-1]
         twin[1:] |= same
         twin[:-1] |= same
+        if not twin.any():
+            return pd.DataFrame({x.split()[0]: [] for x in FLAGS.split(", ")})
         k1, k2, place = k1[twin], k2[twin], place[twin].astype(np.uint32)
         order = np.lexsort((place, k2, k1))
         k1, k2, place = k1[order], k2[order], place[order]
-        cut = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, int)
+        cut = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
         return pd.DataFrame({"k1": k1[cut], "k2": k2[cut], "bucket": np.int32(pdf["bucket"].iloc[0]),
                              "places": [place[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(k1)), strict=True)]})
 
