@@ -27,13 +27,13 @@ INTENT_RULES = [
 # are left out of the chat history.
 SYSTEM_MARKERS = ["Step 1 完成", "已進入 **", "已切換至 **", "⚙️ 自動執行"]
 
-# Python's str.strip() whitespace (ASCII part) as a regex class
+# Python's str.strip() whitespace as a regex class (under the (?U) flag)
 _WS = r"[\s\x1c\x1d\x1e\x1f\x85]"
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (Spark's ``trim`` only drops spaces)."""
-    return F.regexp_replace(col_of(c), rf"^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()`` (Spark's ``trim`` only drops spaces)."""
+    return F.regexp_replace(col_of(c), rf"(?U)^{_WS}+|{_WS}+$", "")
 
 
 def strip_think(c: str | Column) -> Column:
@@ -97,8 +97,8 @@ def chunk_array(c: str | Column, size: int = 500, overlap: int = 50) -> Column:
 
 
 def clean_feature_name(c: str | Column) -> Column:
-    """drop a transformer prefix up to the last '__' (``num__age`` -> ``age``)."""
-    return F.regexp_replace(col_of(c), r"^.*__", "")
+    """drop a transformer prefix up to the first '__' (``num__age`` -> ``age``)."""
+    return F.regexp_replace(col_of(c), r"^.*?__", "")
 
 
 def parse_reply(raw: str | Column, question: str | Column) -> Column:

@@ -31,13 +31,14 @@ def sampled_shapley(model, output_col: str, explain: DataFrame, background: Data
     rows = explain.orderBy(key).limit(n_rows).select(F.col(key).alias("_row"), *[F.col(f).alias(f"x_{f}") for f in features],
                                                      *other_cols)
     bg = (background.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
-          .orderBy("_h").limit(n_background)
+          .orderBy("_h", key).limit(n_background)
           # n_background rows after the limit: a window over them is tiny
-          .withColumn("_b", F.row_number().over(Window.orderBy("_h")) - 1)
+          .withColumn("_b", F.row_number().over(Window.orderBy("_h", key)) - 1)
           .select("_b", *[F.col(f).alias(f"z_{f}") for f in features]))
+    n_found = max(1, bg.count())  # fewer than asked for in a small table
     # samples: permutation keys per feature and a background index from hashes
     s = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
-    s = s.withColumn("_b", F.pmod(F.xxhash64("_row", "_s", F.lit(seed)), F.lit(n_background)).cast("int"))
+    s = s.withColumn("_b", F.pmod(F.xxhash64("_row", "_s", F.lit(seed)), F.lit(n_found)).cast("int"))
     s = s.join(F.broadcast(bg), "_b")
     prio = [F.xxhash64("_row", "_s", F.lit(seed), F.lit(f)) for f in features]
     for i, f in enumerate(features):

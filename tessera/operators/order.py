@@ -109,7 +109,7 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
         wo = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offs_df = tot.select("_pid", *gnames, *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).cast("long").alias(f"_o{i}")
                                                 for i in range(len(sums))])
-        res = local.join(offs_df, ["_pid", *gnames], "inner")
+        res = _join_offsets(local, offs_df, gnames)
         res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
         for i, c in enumerate(sum_cols, start=1):
             res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
@@ -129,7 +129,7 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
                               + [df.schema[g] for g in gnames]
                               + [T.StructField(f"_o{i}", T.LongType(), False) for i in range(len(sums))])
     off_df = spark.createDataFrame(offs, off_schema)
-    res = local.join(F.broadcast(off_df), ["_pid", *gnames], "inner")
+    res = _join_offsets(local, F.broadcast(off_df), gnames)
     res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
     for i, c in enumerate(sum_cols, start=1):
         res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
@@ -137,6 +137,15 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
     return res, {k: v[0] for k, v in acc.items()}
 
 
+def _join_offsets(local, offsets, gnames):
+    """Rows with the offsets of their (partition, group); a null group is a group."""
+    renamed = offsets.withColumnsRenamed({c: f"_j{i}" for i, c in enumerate(["_pid", *gnames])})
+    same = local["_pid"] == renamed["_j0"]
+    for i, g in enumerate(gnames, 1):
+        same = same & local[g].eqNullSafe(renamed[f"_j{i}"])
+    return local.join(renamed, same).drop(*[f"_j{i}" for i in range(len(gnames) + 1)])
+
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
 
@@ -166,7 +175,7 @@ def _row_positions(df: DataFrame, gcols, okeys, gnames, parts):
                               + [df.schema[g] for g in gnames]
                               + [T.StructField("_off", T.LongType(), False)])
     off_df = spark.createDataFrame(offs, off_schema)
-    res = (local.join(F.broadcast(off_df), ["_pid", *gnames], "inner")
+    res = (_join_offsets(local, F.broadcast(off_df), gnames)
            .withColumn("_start", F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off"))
     return res, dict(acc)
 

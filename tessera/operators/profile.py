@@ -30,9 +30,15 @@ def _quantile_frame(spark, qres: dict, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _missing(df: DataFrame) -> list:
+    """Missing cells per column; NaN is missing, as in every other summary."""
+    return [F.count_if(F.col(c).isNull() | F.isnan(c)) if t in ("float", "double") else F.count_if(F.col(c).isNull())
+            for c, t in df.dtypes]
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """A1: n_rows, n_cols, total_missing, n_numeric, n_categorical (one row, one scan)."""
-    miss = [F.count_if(F.col(c).isNull()) for c in df.columns]
+    miss = _missing(df)
     total = miss[0] if len(miss) == 1 else sum(miss[1:], miss[0])
     return df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("long").alias("total_missing")).select(
         "n_rows", F.lit(len(df.columns)).alias("n_cols"), "total_missing",
@@ -41,8 +47,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def missing_report(df: DataFrame, only_missing: bool = False) -> DataFrame:
     """A2 (+P12): column, missing, missing_rate (percent of rows)."""
-    agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}")
-                                                  for i, c in enumerate(df.columns)])
+    agg = df.agg(F.count(F.lit(1)).alias("_n"), *[m.alias(f"m{i}") for i, m in enumerate(_missing(df))])
     stack = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").cast("long").alias("missing"))
                                for i, c in enumerate(df.columns)]))
     out = agg.select("_n", stack).select(

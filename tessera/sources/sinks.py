@@ -22,7 +22,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = True, single_file: bool = Fa
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Record-oriented JSON Lines, non-ASCII kept."""
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
