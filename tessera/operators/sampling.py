@@ -3,7 +3,7 @@
 Every minority class is raised to the majority count. Neighbours come from the exact
 ``knn_join`` (k = 5 within the class, excluding the row itself). Which rows seed the
 synthetic samples and which neighbour / interpolation step each uses are derived from
-hashes of (key, replica, seed), so results are reproducible and engine-independent:
+hashes of (key, replica, seed), so results are reproducible:
 row i of a class (in md5 order) seeds floor(G / n) or floor(G / n) + 1 samples, the
 neighbour is pmod(hash, k) + 1 and the step is a hash-derived uniform in [0, 1).
 """

@@ -6,7 +6,7 @@
   ``split(trim(value), '\\s+')`` -> typed by a one-pass castability check.
 * Encoding detection runs as a Spark job over ``binaryFile``: each file's first 200 000
   bytes are strict-decoded against the candidate list in a ``mapInPandas`` task; files
-  are then grouped by encoding and read. No chardet in this environment, so the
+  are then read with that encoding. No chardet in this environment, so the
   candidate order (UTF-8 with/without BOM, then the CJK code pages) decides; latin-1 is
   the last resort.
 * Excel (.xlsx) and SAS: ``binaryFile`` -> per-file decoder in ``mapInPandas``.

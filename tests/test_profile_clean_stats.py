@@ -51,12 +51,12 @@ def test_outlier_report(spark):
 
 def test_fill_strategies(spark, nulls5):
     mean = clean.fill_missing(nulls5, "mean").toPandas()
-    assert mean["A"].tolist() == [1.0, 2.0, 3.0, 4.0, 5.0]
-    assert mean["B"].tolist()[0] == 35.0
+    assert mean["A"].tolist() == [3.0, 9.0, 6.0, 5.0, 7.0]
+    assert mean["B"].tolist()[0] == 14.0
     assert clean.fill_missing(nulls5, "drop").count() == 3
     per = clean.fill_missing_per_column(nulls5, {"A": {"strategy": "mean"}, "B": {"strategy": "median"},
                                                  "C": {"strategy": "fill_value", "fill_value": "Unknown"}}).toPandas()
-    assert per["B"].tolist()[0] == 35.0 and per["C"].tolist()[2] == "Unknown"
+    assert per["B"].tolist()[0] == 14.0 and per["C"].tolist()[2] == "Unknown"
     with pytest.raises(ValueError):
         clean.fill_missing(nulls5, "fill_value")
 
