@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -36,6 +36,21 @@ def held_out(id_col: Column, folds: int, fold_test) -> Column:
     return F.coalesce(fold_test(F.crc32(id_col.cast("string").cast("binary")) % folds), F.lit(False))
 
 
+#: parts of a group among which its first rows are sought before they meet in one task
+SALTS = 64
+
+
+def first_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every group in ``order``. Each of SALTS parts of a group keeps
+    its own first ``n``, so the task that ranks a group reads at most SALTS * n rows of it,
+    however many partitions and rows hold that group."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit("salt")), F.lit(SALTS)))
+    for keys in ([group, "_salt"], [group]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
+    return salted.drop("_salt")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session's spark.checkpoint.dir names."""
     return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"

@@ -29,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, worker_table
+from .common import first_per_group, held_out, worker_table
 
 UND = "und"
 TRAIN_DOCS, TRAIN_WORDS = 250, 384
@@ -301,9 +301,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, lambda r: r == held_fold))
     d = d.withColumn("h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # an id's rows come together, so the rank is over ids
-    chosen = d.select("lang", "h").distinct().withColumn("rn", rank).where(F.col("rn") <= TRAIN_DOCS).drop("rn")
+    chosen = first_per_group(d.select("lang", "h").distinct(), "lang", ["h"], TRAIN_DOCS)
     rows = d.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("h", "lang", "text").collect()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["lang"], r["h"]))
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import first_per_group, held_out
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 512
 TRAIN_ROWS, TRAIN_CHUNKS = 1200, 8
@@ -184,8 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col(id_col), folds, lambda r: r == held_fold))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    chosen = known.withColumn("rn", rank).where(F.col("rn") <= TRAIN_ROWS).drop("rn")
+    chosen = first_per_group(known, "y", ["h", "doc_id"], TRAIN_ROWS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("h", "y", "text")
 
