@@ -85,25 +85,21 @@ def round6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-MAX_INLINE_EDGES = 64
-
-
 def count_edges(x: Column, edges: Sequence[float], strict: bool = True) -> Column:
-    """Number of edges e with e < x (``strict``) or e <= x, as a sum of comparisons: a
-    plain arithmetic expression that whole-stage codegen compiles (a lambda over an
-    array literal would be evaluated interpreted, row by row). Long edge lists fall back
-    to the array form. A null x counts 0."""
-    edges = [float(e) for e in edges]
-    if not edges:
-        return F.lit(0)
-    if len(edges) > MAX_INLINE_EDGES:
-        arr = F.array(*[F.lit(e) for e in edges])
-        return F.coalesce(F.size(F.filter(arr, (lambda e: e < x) if strict else (lambda e: e <= x))), F.lit(0))
-    terms = [F.when((F.lit(e) < x) if strict else (F.lit(e) <= x), F.lit(1)).otherwise(F.lit(0)) for e in edges]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    """Number of edges e with e < x (``strict``) or e <= x, as a binary search written
+    out as nested CASE expressions: log2(edges) comparisons a row, compiled by codegen (a
+    lambda over an array literal would be evaluated interpreted). A null x counts 0."""
+    edges = sorted(float(e) for e in edges)
+
+    def search(lo: int, hi: int) -> Column:
+        # the count lies in lo..hi
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        e = F.lit(edges[mid])
+        return F.when((e < x) if strict else (e <= x), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(edges))
 
 
 def count_edges_by_key(key: Column, x: Column, edges_by_key: dict, strict: bool = True) -> Column:

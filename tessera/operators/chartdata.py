@@ -6,13 +6,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_edges
-from .binning import exact_quantiles
-
-MAX_BOX_GROUPS = 100_000
+from .order import ordered_prefix
 
 
 def _x(c: str):
@@ -32,17 +30,33 @@ def scatter_trend(df: DataFrame, x: str, y: str, color: str | None = None) -> Da
 
 def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Per group q1, median, q3 (exact), whiskers at the last points inside 1.5 IQR,
-    count of points outside, n."""
-    spark = df.sparkSession
+    count of points outside, n. Rows without a group or value are left out. Order statistics
+    come from running counts over the distinct values; nothing per group is collected."""
     g = F.col(group).cast("string") if group else F.lit("all")
-    src = df.select(g.alias("group"), _x(value).alias("value")).where(F.col("value").isNotNull())
+    src = df.select(g.alias("group"), _x(value).alias("value")).where(F.col("group").isNotNull() & F.col("value").isNotNull())
     dist = src.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(dist, ["group"], [0.25, 0.5, 0.75])
-    if len(q) > MAX_BOX_GROUPS:
-        raise ValueError("too many groups for box statistics")
-    rows = [(k[0], v[0], v[1], v[2], v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for k, (v, _n) in q.items()]
-    bounds = spark.createDataFrame(rows, "group string, q1 double, median double, q3 double, lo double, hi double")
-    j = dist.join(F.broadcast(bounds), "group")
+    pref, _ = ordered_prefix(dist, ["value"], ["group"], weight_col="n", collect_totals=False)
+    placed = pref.join(dist.groupBy("group").agg(F.sum("n").alias("total")), "group")
+
+    def at(position):
+        here = (F.col("_start") <= position) & (position < F.col("_start") + F.col("n"))
+        return F.max(F.when(here, F.col("value")))
+
+    stats = []
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        rank = (F.col("total") - 1) * F.lit(p)
+        low = F.floor(rank)
+        stats += [at(low).alias(f"{name}_a"), at(F.least(low + 1, F.col("total") - 1)).alias(f"{name}_b"),
+                  F.first(rank - low).alias(f"{name}_t")]
+
+    def between(name):
+        a, b, t = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_t")
+        return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+
+    q = placed.groupBy("group").agg(*stats).select("group", *[between(n).alias(n) for n in ("q1", "median", "q3")])
+    width = F.col("q3") - F.col("q1")
+    bounds = q.withColumn("lo", F.col("q1") - 1.5 * width).withColumn("hi", F.col("q3") + 1.5 * width)
+    j = dist.join(bounds, "group")
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
     agg = j.groupBy("group").agg(
         F.sum("n").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -61,12 +75,14 @@ def bar_data(df: DataFrame, x: str, y: str | None = None, color: str | None = No
     return src.groupBy(*keys).agg(F.sum(y).cast("double").alias("value"))
 
 
-def pie_data(df: DataFrame, col: str, k: int = 10) -> DataFrame:
-    """Top-k category counts with their percent of the shown slices."""
-    top = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("label"))
-           .agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "label").limit(k))
-    # k rows: a window over them is tiny
-    return top.withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))))
+def pie_data(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
+    """Category counts with their percent of all rows that have a category; with ``k``
+    only the k largest slices."""
+    counts = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("label"))
+              .agg(F.count(F.lit(1)).alias("count")))
+    total = df.agg(F.count(F.col(col))).first()[0]
+    slices = counts.withColumn("percent", F.col("count") * 100.0 / F.lit(total))
+    return slices if k is None else slices.orderBy(F.desc("count"), "label").limit(k)
 
 
 def _uniform_edges(mn: float, mx: float, b: int) -> list[float]:

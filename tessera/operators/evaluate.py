@@ -6,9 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import ordered_prefix
-
-MAX_CLASSES = 10_000
+from .order import label_pairs, ordered_prefix
 
 
 def confusion_counts(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -18,16 +16,14 @@ def confusion_counts(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """M3: every (label, prediction) pair over the label set, zeros filled. The label set
-    is collected (bounded by MAX_CLASSES) and the grid built from it."""
+    """M3: every (label, prediction) pair over the label set (null is a label), zeros filled.
+    The grid is made from the distinct label table by joins; no label reaches the driver."""
     cells = confusion_counts(df, y, yhat).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = sorted({r[0] for r in cells.select("label").union(cells.select("prediction")).distinct().collect()},
-                    key=lambda v: (v is None, v))
-    if len(labels) > MAX_CLASSES:
-        raise ValueError("too many classes for a dense confusion matrix")
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "label string, prediction string")
-    return grid.join(cells, ["label", "prediction"], "left").withColumn(
-        "count", F.coalesce("count", F.lit(0)).cast("long"))
+    labels = cells.select("label").union(cells.select("prediction")).distinct()
+    grid = label_pairs(labels, "label").select(F.col("a.label").alias("label"), F.col("b.label").alias("prediction"))
+    seen = cells.select(F.col("label").alias("_l"), F.col("prediction").alias("_p"), "count")
+    same = grid["label"].eqNullSafe(seen["_l"]) & grid["prediction"].eqNullSafe(seen["_p"])
+    return grid.join(seen, same, "left").select("label", "prediction", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -140,8 +136,8 @@ def feature_importance(model, names) -> DataFrame:
 
 
 def top_abs(df: DataFrame, col: str, k: int = 20) -> DataFrame:
-    """K3: top-k rows by absolute value."""
-    return df.orderBy(F.desc(F.abs(F.col(col)))).limit(k)
+    """K3: top-k rows by absolute value, ties by the other columns."""
+    return df.orderBy(F.desc(F.abs(F.col(col))), *[c for c in df.columns if c != col]).limit(k)
 
 
 def cv_rank(results: DataFrame, score: str = "mean") -> DataFrame:

@@ -180,6 +180,23 @@ def _row_positions(df: DataFrame, gcols, okeys, gnames, parts):
     return res, dict(acc)
 
 
+def label_pairs(labels: DataFrame, order_col: str, above: bool = False) -> DataFrame:
+    """Every ordered pair of rows of ``labels`` as columns (a, b, ...) of structs; with ``above``
+    only pairs in which b comes after a. The pairs are the result wanted (a grid); they are
+    made by spreading each row over the positions of its partners and an equality join, so
+    any number of labels stays distributed."""
+    names = labels.columns
+    pos, _ = ordered_prefix(labels, [order_col], collect_totals=False)
+    pos = pos.select(F.struct(*names).alias("a"), F.col("_start").alias("_p"))
+    last = pos.agg(F.max("_p")).first()[0]
+    if last is None or (above and last == 0):
+        return pos.select("a", F.col("a").alias("b")).limit(0)
+    first = F.col("_p") + 1 if above else F.lit(0).cast("long")
+    spread = (pos.where(F.col("_p") < last) if above else pos).select(
+        "a", F.explode(F.sequence(first, F.lit(last).cast("long"))).alias("_p"))
+    return spread.join(pos.withColumnRenamed("a", "b"), "_p").drop("_p")
+
+
 # ---------------------------------------------------------------------------
 # numpy-exact linear quantiles from order statistics
 # ---------------------------------------------------------------------------

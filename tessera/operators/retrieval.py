@@ -1,7 +1,7 @@
 """Retrieval (F13, J5, K6, X1-X4) and conversation operators.
 
-Exact cosine top-k: the query matrix (q x d, size-checked) travels with the task
-closure; each Arrow batch of the collection is scored with one matrix product and only
+Exact cosine top-k: queries go in blocks of at most BLOCK_CELLS numbers; a block's matrix
+travels with the task closure; each Arrow batch of the collection is scored with one matrix product and only
 the batch-local top k per query leaves Python. The final top k per query is a
 ``row_number <= k`` window, which Spark plans as a partial group limit before the shuffle,
 so even one query over the whole collection never gathers more than k rows per task.
@@ -9,6 +9,8 @@ so even one query over the whole collection never gathers more than k rows per t
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import chunk_array, has_marker, strip_think
+from ..session import ensure_checkpoint_dir
 
-MAX_QUERY_CELLS = 50_000_000  # q * d doubles shipped with each task (400 MB cap)
+BLOCK_CELLS = 4_000_000  # query count x dimensions shipped with each task (32 MB of doubles)
 
 
 def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -40,23 +43,48 @@ def topk_cosine(queries: DataFrame, collection: DataFrame, k: int = 3, query_id:
                 extra_cols=()) -> DataFrame:
     """(query_id, rank, id, distance, similarity, *extra) - the k nearest rows of
     ``collection`` per query by cosine distance 1 - cos (ties by id); fewer when the
-    collection is smaller (n = min(k, count))."""
-    q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qv"))
-    nq = q.count()
-    rows = q.collect() if nq else []
-    if not rows:
-        return collection.sparkSession.createDataFrame(
-            [], "query_id string, rank int, id string, distance double, similarity double")
-    dim = len(rows[0]["qv"])
-    if nq * dim > MAX_QUERY_CELLS:
-        raise ValueError(f"{nq} queries x {dim} dims exceed the per-task query budget; batch the queries")
-    qids = [r["qid"] for r in rows]
-    qmat = np.array([r["qv"] for r in rows], dtype=np.float64)
-    qn = np.linalg.norm(qmat, axis=1)
-    qn[qn == 0] = np.nan
-    qunit = qmat / qn[:, None]
+    collection is smaller (n = min(k, count)). Rows and queries without a vector, or with the
+    zero vector, have no cosine and take no part.
+
+    Any number of queries: they stream to the driver, and every full block is scored in
+    one pass over the collection; with several blocks each result (k rows a query) is
+    written to the shared folder before the next."""
+    spark = collection.sparkSession
     extra = list(extra_cols)
-    src = collection.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("emb"), *extra)
+    has_direction = F.exists("emb", lambda v: v != 0)
+    src = collection.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("emb"), *extra).where(has_direction)
+    q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("emb")).where(has_direction)
+    block, done = [], []
+    for row in q.toLocalIterator():
+        if block and (len(block) + 1) * len(row["emb"]) > BLOCK_CELLS:
+            done.append(_written(_score_block(block, src, k, extra)))
+            block = []
+        block.append(row)
+    if block:
+        last = _score_block(block, src, k, extra)
+        done.append(_written(last) if done else last)
+    if not done:
+        hits = T.StructType.fromDDL("query_id string, rank int, id string, distance double, similarity double")
+        return spark.createDataFrame([], T.StructType(hits.fields + [src.schema[c] for c in extra]))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/topk-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _score_block(rows, src: DataFrame, k: int, extra) -> DataFrame:
+    """Top k of one block of queries."""
+    qids = [r["qid"] for r in rows]
+    qmat = np.array([r["emb"] for r in rows], dtype=np.float64)
+    qunit = qmat / np.linalg.norm(qmat, axis=1)[:, None]
     extra_fields = [src.schema[c] for c in extra]
     schema = T.StructType([T.StructField("qi", T.IntegerType()), T.StructField("id", T.StringType()),
                            T.StructField("distance", T.DoubleType())] + extra_fields)
@@ -67,7 +95,6 @@ def topk_cosine(queries: DataFrame, collection: DataFrame, k: int = 3, query_id:
                 continue
             emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["emb"]])
             en = np.linalg.norm(emb, axis=1)
-            en[en == 0] = np.nan
             sims = (qunit @ emb.T) / en[None, :]
             dist = 1.0 - sims
             kk = min(k, dist.shape[1])
@@ -75,7 +102,6 @@ def topk_cosine(queries: DataFrame, collection: DataFrame, k: int = 3, query_id:
             out = []
             for qi in range(dist.shape[0]):
                 d = dist[qi]
-                d = np.where(np.isnan(d), np.inf, d)
                 # candidates: everything tied with the k-th distance, then exact order by (distance, id)
                 if kk < len(d):
                     kth = np.partition(d, kk - 1)[kk - 1]

@@ -19,7 +19,6 @@ from ..functions.exprs import (IV_ELSE, count_edges_by_key, sort_small, IV_LADDE
 from .binning import equal_width_edges, persist, quantile_edges_from_distinct
 from .order import dedupe_edges, ordered_prefix
 
-MAX_WINDOW_CATEGORIES = 100_000
 
 WOE_SCHEMA = ("feature string, bin_id int, lower double, upper double, category string, count long, "
               "events long, non_events long, event_rate double, woe double, iv_component double")
@@ -73,7 +72,6 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
         F.sum(F.when(y.isNotNull() & (y != 0) & (y != 1), 1).otherwise(0)).cast("long").alias("bad")))
     stats = {r["feature"]: r for r in dist.groupBy("feature").agg(
         F.first("is_num").alias("is_num"), F.count("value").alias("nunique"),
-        F.count(F.lit(1)).alias("ncat"),  # one distinct-table row per (value, category)
         F.sum("bad").alias("bad"),
         # per-feature totals for the smoothing, known before any binning: continuous
         # features count non-null values, categorical ones every row (nulls are a bin)
@@ -123,16 +121,9 @@ def woe_tables(df: DataFrame, features: Sequence[str], target: str, n_bins: int
                .groupBy("feature", "category")
                .agg(F.sum("n_valid").alias("count"), F.sum("events").alias("events"))
                .where(F.col("count") > 0))
-        # bin ids = rank of the category within its feature. The category count per
-        # feature is known from the distinct table: up to MAX_WINDOW_CATEGORIES a window
-        # per feature is cheap; a string feature with millions of categories is ranked by
-        # ordered_prefix instead (a window would put all of them in one task)
-        n_cats = max((stats[f]["ncat"] or 0) for f in categorical)
-        if n_cats <= MAX_WINDOW_CATEGORIES:
-            rank = F.dense_rank().over(Window.partitionBy("feature").orderBy("category")) - 1
-            cat = cat.withColumn("_start", rank)
-        else:
-            cat, _ = ordered_prefix(cat, ["category"], ["feature"], collect_totals=False)
+        # bin ids = rank of the category within its feature; a window would put all
+        # categories of a feature in one task
+        cat, _ = ordered_prefix(cat, ["category"], ["feature"], collect_totals=False)
         cat = cat.select("feature", (F.col("_start") + 1).cast("int").alias("bin_id"),
                          F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
                          "category", F.col("count").cast("long").alias("count"),

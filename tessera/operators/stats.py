@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.exprs import (CORR_ELSE, CORR_LADDER, CRAMER_ELSE, CRAMER_LADDER, ETA_ELSE, ETA_LADDER,
                                ladder, numeric_cols, require_columns)
-from .order import ordered_prefix
+from .order import label_pairs, ordered_prefix
 
-MAX_TUKEY_GROUPS = 2000  # k(k-1)/2 comparisons is the output size itself
 
 TEST_SCHEMA = ("test string, statistic double, df1 double, df2 double, p_value double, effect_size double, "
                "effect_label string")
@@ -143,16 +142,15 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def tukey_hsd(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """Tukey HSD over all clean rows: group1 < group2, meandiff = mean2 - mean1,
-    std_err, q statistic, p-value (studentized range), reject."""
+    std_err, q statistic, p-value (studentized range), reject. The k(k-1)/2 comparisons are
+    made from the group table by joins, for any number of groups."""
     g = _group_moments(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
     k, N, ssw = g.agg(F.count(F.lit(1)), F.sum("n"), F.sum("m2")).first()
     mse = ssw / (N - k)
-    if k > MAX_TUKEY_GROUPS:
-        raise ValueError(f"{k} groups: too many for pairwise comparisons")
-    stats = sorted(((r[group], r["n"], r["mean"]) for r in g.collect()), key=lambda t: t[0])
-    rows = [(str(g1), str(g2), float(m2 - m1), math.sqrt(mse / 2.0 * (1.0 / n1 + 1.0 / n2)))
-            for i, (g1, n1, m1) in enumerate(stats) for (g2, n2, m2) in stats[i + 1:]]
-    pairs = df.sparkSession.createDataFrame(rows, "group1 string, group2 string, meandiff double, std_err double")
+    pairs = label_pairs(g.select(F.col(group).alias("g"), "n", "mean"), "g", above=True).select(
+        F.col("a.g").cast("string").alias("group1"), F.col("b.g").cast("string").alias("group2"),
+        (F.col("b.mean") - F.col("a.mean")).alias("meandiff"),
+        F.sqrt(F.lit(mse / 2.0) * (1.0 / F.col("a.n") + 1.0 / F.col("b.n"))).alias("std_err"))
     pairs = pairs.withColumn("q", F.abs(F.col("meandiff")) / F.col("std_err"))
     dfree = float(N - k)
 

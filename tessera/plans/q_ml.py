@@ -48,6 +48,24 @@ def q_c03_box_stats(spark, sf):
     return round_doubles(chartdata.box_stats(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment"))
 
 
+@register("c03_box_many_groups", """
+WITH v AS (SELECT CAST(l_partkey AS VARCHAR) AS grp, l_extendedprice AS x FROM lineitem
+           WHERE l_partkey IS NOT NULL AND l_extendedprice IS NOT NULL),
+s AS (SELECT grp, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3, count(*) AS n
+      FROM v GROUP BY 1)
+SELECT grp AS "group", n, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3 FROM s""")
+def q_c03_box_many_groups(spark, sf):
+    out = chartdata.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", "l_partkey")
+    return out.select("group", "n", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")])
+
+
+@register("c05_pie_all", """
+SELECT p_type AS label, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+FROM part WHERE p_type IS NOT NULL GROUP BY 1""")
+def q_c05_pie_all(spark, sf):
+    return round_doubles(chartdata.pie_data(table(spark, sf, "part"), "p_type"))
+
+
 @register("c04_bar", """
 SELECT l_returnflag, l_linestatus, round(CAST(sum(l_quantity) AS DOUBLE), 6) AS value FROM lineitem
 WHERE l_returnflag IS NOT NULL GROUP BY ALL""")
@@ -148,6 +166,17 @@ def q_m04_classification_report(spark, sf):
     return round_doubles(evaluate.classification_report(_rule_pred(spark, sf), "o_orderstatus", "pred"))
 
 
+@register("m03_confusion_many_classes", """
+WITH p AS (SELECT p_size AS y, p_partkey % 60 AS yhat FROM part),
+cells AS (SELECT CAST(y AS VARCHAR) AS y, CAST(yhat AS VARCHAR) AS yhat, count(*) AS c FROM p GROUP BY ALL),
+cls AS (SELECT y AS v FROM cells UNION SELECT yhat FROM cells)
+SELECT a.v AS label, b.v AS prediction, CAST(coalesce(c.c, 0) AS BIGINT) AS count
+FROM cls a, cls b LEFT JOIN cells c ON c.y = a.v AND c.yhat = b.v""")
+def q_m03_confusion_many_classes(spark, sf):
+    p = table(spark, sf, "part").withColumn("guess", F.col("p_partkey") % 60)
+    return evaluate.confusion_matrix(p, "p_size", "guess")
+
+
 @register("m03_confusion_matrix", f"""
 WITH p AS (SELECT o_orderstatus AS y, {RULE_SQL} AS yhat FROM orders),
 cells AS (SELECT y, yhat, count(*) AS c FROM p GROUP BY ALL),

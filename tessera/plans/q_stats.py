@@ -116,6 +116,18 @@ def q_t07_tukey_hsd(spark, sf):
     return round_doubles(out.select("group1", "group2", "meandiff", "std_err", "q"))
 
 
+@register("t07_tukey_many_groups", """
+WITH g AS (SELECT p_size AS grp, count(*) AS n, avg(p_retailprice) AS m, var_pop(p_retailprice) * count(*) AS m2
+           FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY p_size),
+t AS (SELECT sum(m2) / (sum(n) - count(*)) AS mse FROM g)
+SELECT CAST(a.grp AS VARCHAR) AS group1, CAST(b.grp AS VARCHAR) AS group2, round(b.m - a.m, 6) AS meandiff,
+  round(sqrt(mse / 2.0 * (1.0 / a.n + 1.0 / b.n)), 6) AS std_err
+FROM g a JOIN g b ON a.grp < b.grp, t""")
+def q_t07_tukey_many_groups(spark, sf):
+    out = stats.tukey_hsd(table(spark, sf, "part"), "p_size", "p_retailprice")
+    return round_doubles(out.select("group1", "group2", "meandiff", "std_err"))
+
+
 CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -1,7 +1,7 @@
 """File sources (S1-S7, S11, S12) on Spark readers.
 
-* CSV: ``spark.read.csv`` with header and type inference; pandas' NA tokens become null
-  in one projection.
+* CSV: ``spark.read.csv`` with header; pandas' NA tokens become null in one projection,
+  then one aggregate decides every column's type.
 * TXT: whitespace-separated (the CSV reader has no regex separator): ``read.text`` ->
   ``split(trim(value), '\\s+')`` -> typed by a one-pass castability check.
 * Encoding detection runs as a Spark job over ``binaryFile``: each file's first 200 000
@@ -21,6 +21,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,60 +82,123 @@ def _null_tokens(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
-             infer: bool = True) -> DataFrame:
-    """S1 (+S3, S4): header CSV; explicit encoding bypasses detection; more than 200
-    columns means a wrong guess, so the next candidate is tried."""
-    candidates = [encoding] if encoding else None
-    if candidates is None:
-        det = [r["encoding"] for r in detect_encodings(spark, path).select("encoding").distinct().collect()]
-        first = det[0] if len(det) == 1 else "utf-8"
-        candidates = [first] + [e for e in FALLBACK_ENCODINGS if e != first] + ["latin-1"]
-    last_err = None
+_INT = r"^\s*[+-]?\d+\s*$"
+_FLOAT = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
+# The words pandas reads as booleans.
+_BOOL = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
+
+def _typed(wide: DataFrame) -> DataFrame:
+    """All-string columns typed by one aggregate, missing tokens being null already: long,
+    double, boolean or string, whichever every value of a column fits (all null: double)."""
+    quoted = [F.col(f"`{n}`") for n in wide.columns]
+    fits = [(F.count_if(c.isNotNull() & ~(c.rlike(_INT) & F.trim(c).try_cast("long").isNotNull())),
+             F.count_if(c.isNotNull() & ~c.rlike(_FLOAT)), F.count_if(c.isNotNull() & ~c.isin(_BOOL)),
+             F.count(c)) for c in quoted]
+    counts = wide.agg(*[e.alias(f"{k}{i}") for i, four in enumerate(fits) for k, e in zip("ldbn", four)]).first()
+    out = []
+    for i, (name, c) in enumerate(zip(wide.columns, quoted)):
+        if counts[f"n{i}"] == 0:
+            typed = F.lit(None).cast("double")
+        elif counts[f"l{i}"] == 0:
+            typed = F.trim(c).try_cast("long")
+        elif counts[f"d{i}"] == 0:
+            typed = F.trim(c).try_cast("double")
+        elif counts[f"b{i}"] == 0:
+            typed = F.lower(c) == "true"
+        else:
+            typed = c
+        out.append(typed.alias(name))
+    return wide.select(*out)
+
+
+def _csv_strings(spark: SparkSession, paths, encoding: str, delimiter: str, multi_line: bool) -> DataFrame:
+    """Files of one encoding with every column as a string."""
+    r = (spark.read.option("header", True).option("inferSchema", False).option("encoding", _JAVA_CHARSET.get(encoding, encoding))
+         .option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+         .option("enforceSchema", False).option("maxColumns", 1_000_000).csv(paths))
+    if r.columns and r.columns[0].startswith("\ufeff"):
+        r = r.withColumnRenamed(r.columns[0], r.columns[0].lstrip("\ufeff"))
+    return r
+
+
+def _undecoded(spark: SparkSession, df: DataFrame, paths, encoding: str) -> bool:
+    """Whether some bytes of the whole files do not decode: for UTF-8 by the raw lines, else by
+    the mark that the decoder leaves in a value or column name."""
+    if encoding in ("utf-8", "utf-8-sig"):
+        return not spark.read.text(paths).where(~F.is_valid_utf8("value")).isEmpty()
+    bad = F.lit(False)
+    for c in df.columns:
+        bad = bad | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+    return any("\ufffd" in c for c in df.columns) or not df.where(bad).isEmpty()
+
+
+def _decoded(spark, paths, candidates, delimiter, multi_line):
+    """The first candidate under which the whole files decode and have at most MAX_COLUMNS
+    columns; the last one (latin-1, which decodes anything) is taken as it is."""
     for enc in candidates:
-        if enc not in ("utf-8", "utf-8-sig"):
-            # Spark 4 accepts Big5 / GB18030 / EUC-JP / Shift_JIS / cp950 only with this flag
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         try:
-            r = (spark.read.option("header", True).option("inferSchema", infer).option("encoding", _JAVA_CHARSET.get(enc, enc))
-                 .option("sep", delimiter or ",").option("mode", "PERMISSIVE").csv(path))
-            if len(r.columns) > MAX_COLUMNS:
-                raise UnicodeError(f"{len(r.columns)} columns: probably a wrong encoding")
-            if r.columns and enc in ("utf-8-sig", "utf-8") and r.columns[0].startswith("﻿"):
-                r = r.withColumnRenamed(r.columns[0], r.columns[0].lstrip("﻿"))
-            return _null_tokens(r)
-        except Exception as e:  # noqa: BLE001 - try the next candidate
-            last_err = e
-            if encoding:
+            df = _csv_strings(spark, paths, enc, delimiter, multi_line)
+            if enc == candidates[-1] or (len(df.columns) <= MAX_COLUMNS and not _undecoded(spark, df, paths, enc)):
+                return df
+        except PySparkException:
+            if enc == candidates[-1]:
                 raise
-    raise ValueError(f"could not read {path}: {last_err}")
+    raise ValueError("no encoding to try")
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
+             infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """S1 (+S3, S4): header CSV; an explicit encoding bypasses detection. Files are read in
+    groups of one detected encoding and united by column name; a group whose bytes do not
+    all decode, or with more than 200 columns, goes to the next candidate. Missing tokens
+    become null before columns are typed. Quoted values may hold quotes and line ends
+    (``multi_line``; turn it off to let Spark split large files that have none)."""
+    # Spark accepts Big5 / GB18030 / EUC-JP / Shift_JIS / cp950 only with this flag; the scan reads
+    # it when a file is opened, so it stays set while the frame is in use
+    if encoding:
+        groups = [(path, [encoding])]
+        flag = encoding not in ("utf-8", "utf-8-sig", "latin-1")
+    else:
+        found = detect_encodings(spark, path).groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+        groups = [(r["paths"] if len(found) > 1 else path,
+                   [r["encoding"], *[e for e in FALLBACK_ENCODINGS if e != r["encoding"]], "latin-1"])
+                  for r in sorted(found, key=lambda r: r["encoding"])]
+        flag = True
+    if flag:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    out = None
+    for paths, candidates in groups:
+        part = _decoded(spark, paths, candidates, delimiter or ",", multi_line)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"could not read {path}: no files")
+    out = _null_tokens(out)
+    return _typed(out) if infer else out
 
 
 def read_txt(spark: SparkSession, path: str, sep_regex: str = r"\s+", encoding: str = "utf-8") -> DataFrame:
-    """Whitespace-separated text with a header line, typed by castability."""
-    lines = spark.read.option("encoding", _JAVA_CHARSET.get(encoding, encoding)).text(path)
-    lines = lines.where(F.length(F.trim("value")) > 0)
-    header_line = lines.first()
-    if header_line is None:
+    """Whitespace-separated text with a header line, typed by castability. The first
+    line of every file is its header; later lines equal to it are data. Missing fields at
+    the end of a line are null."""
+    # the text reader hands over each line's bytes as they are
+    value = F.col("value")
+    if encoding not in ("utf-8", "utf-8-sig"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        value = F.decode(value.cast("binary"), _JAVA_CHARSET.get(encoding, encoding))
+    lines = spark.read.text(path).select(
+        F.regexp_replace(value, r"^[\s\uFEFF]+|\s+$", "").alias("value"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.length("value") > 0)
+    # ids rise within a split, so a file's header has the least id of its first split
+    headers = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
+    header = headers.orderBy("file").first()
+    if header is None:
         return spark.createDataFrame([], "value string")
-    names = re.split(sep_regex, header_line["value"].strip())
-    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), sep_regex)
-    body = lines.where(F.col("value") != F.lit(header_line["value"]))
-    wide = body.select(*[F.element_at(parts, i + 1).alias(n) for i, n in enumerate(names)])
-    wide = _null_tokens(wide)
-    checks = wide.agg(*[F.count_if(F.col(n).isNotNull() & F.col(n).try_cast("long").isNull()).alias(f"l{i}")
-                        for i, n in enumerate(names)],
-                      *[F.count_if(F.col(n).isNotNull() & F.col(n).try_cast("double").isNull()).alias(f"d{i}")
-                        for i, n in enumerate(names)]).first()
-    cols = []
-    for i, n in enumerate(names):
-        if checks[f"l{i}"] == 0:
-            cols.append(F.col(n).try_cast("long").alias(n))
-        elif checks[f"d{i}"] == 0:
-            cols.append(F.col(n).try_cast("double").alias(n))
-        else:
-            cols.append(F.col(n))
-    return wide.select(*cols)
+    names = re.split(sep_regex, header["value"])
+    body = lines.join(headers.select("at"), "at", "left_anti")
+    parts = F.split("value", sep_regex)
+    return _typed(_null_tokens(body.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])))
 
 
 def _xlsx_first_sheet(data: bytes) -> pd.DataFrame:
