@@ -172,7 +172,7 @@ def fold_column(df: DataFrame, label: str | None, key: str, k: int = 5, seed: in
     from .order import ordered_prefix
     grp = F.col(label).cast("string") if label else F.lit("all")
     base = df.withColumn("_cls", grp).withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
-    pref, _ = ordered_prefix(base, ["_h", key], ["_cls"])
+    pref, _ = ordered_prefix(base, ["_h", key], ["_cls"], collect_totals=False)
     return pref.withColumn(col, (F.col("_start") % k).cast("int")).drop("_cls", "_h", "_start", "_w")
 
 

@@ -12,9 +12,9 @@ position inside its group instead:
    stay in the JVM (``monotonically_increasing_id`` after the sort numbers rows in
    order); weighted and multi-column running sums use a vectorised ``mapInPandas``
    pass (a JVM window would need a second shuffle).
-3. One tiny job collects the per-(partition, group) totals - at most
-   ``partitions + groups`` rows - and the exclusive offsets go back as a broadcast
-   join. No row ever leaves its partition.
+3. The per-(partition, group) totals - at most ``partitions + groups`` rows - become
+   exclusive offsets that are joined back: as a broadcast while they are few, else by a
+   window over the totals and a shuffled join.
 
 The intermediate is persisted (MEMORY_AND_DISK). Recomputation after executor loss is
 deterministic: range bounds are sampled with a fixed seed from deterministic input
@@ -36,28 +36,27 @@ from pyspark.sql import types as T
 from ..functions.exprs import col_of
 from ..session import default_partitions
 
-MAX_OFFSET_ROWS = 2_000_000  # partitions + groups; far above any sane config
+BROADCAST_ROWS = 200_000  # offset rows (partitions + groups) up to which they are broadcast
 
 
 def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
                    weight_col: str | None = None, num_partitions: int | None = None,
-                   sum_cols: Sequence[str] = (), collect_totals: bool = True):
+                   sum_cols: Sequence[str] = (), collect_totals: bool = True, with_total: bool = False):
     """Add ``_start`` = total weight of rows before this one (0-based) inside its group,
     and ``_w`` = the row's weight. For every column in ``sum_cols`` also add
     ``_cum_<col>`` = the exclusive running sum of that column in the same order (one
     pass for several running sums). Returns ``(df_with_start, group_totals)`` where
     ``group_totals`` maps a group tuple to its total weight (bin-sized, on the driver).
 
-    With ``collect_totals=False`` (many groups, e.g. one per distinct value) the
-    per-(partition, group) offsets are computed by a window over the totals table and
-    joined back without touching the driver; ``group_totals`` is then None.
+    With ``collect_totals=False`` (any number of groups, e.g. one per distinct value)
+    ``group_totals`` is None; ``with_total`` adds each row's group total as ``_total``.
     """
     spark = df.sparkSession
     parts = num_partitions or default_partitions(spark)
     gcols = [F.col(c) for c in group_cols]
     okeys = [col_of(c) for c in order_cols]
-    if weight_col is None and not sum_cols and collect_totals:
-        return _row_positions(df, gcols, okeys, list(group_cols), parts)
+    if weight_col is None and not sum_cols:
+        return _row_positions(df, gcols, okeys, list(group_cols), parts, collect_totals, with_total)
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     base = df.withColumn("_w", w)
     sums = ["_w", *sum_cols]
@@ -104,37 +103,42 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
             yield pdf.assign(**cols)
 
     local = ranged.mapInPandas(local_prefix, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
-    if not collect_totals:
-        tot = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
-        wo = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        offs_df = tot.select("_pid", *gnames, *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).cast("long").alias(f"_o{i}")
-                                                for i in range(len(sums))])
-        res = _join_offsets(local, offs_df, gnames)
-        res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
-        for i, c in enumerate(sum_cols, start=1):
-            res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
-        return res.drop("_pid", *[f"_o{i}" for i in range(len(sums))], *[f"_b{i}" for i in range(len(sums))]), None
-    totals = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)]).collect()
-    if len(totals) > MAX_OFFSET_ROWS:
-        raise RuntimeError("too many (partition, group) pairs for an offsets table")
-    acc: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(sums))
-    offs = []
-    for r in sorted(totals, key=lambda r: r["_pid"]):
-        key = tuple(r[g] for g in gnames)
-        cur = acc[key]
-        offs.append((r["_pid"], *key, *[int(v) for v in cur]))
-        for i in range(len(sums)):
-            cur[i] += int(r[f"_t{i}"] or 0)
-    off_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
-                              + [df.schema[g] for g in gnames]
-                              + [T.StructField(f"_o{i}", T.LongType(), False) for i in range(len(sums))])
-    off_df = spark.createDataFrame(offs, off_schema)
-    res = _join_offsets(local, F.broadcast(off_df), gnames)
-    res = res.withColumn("_start", F.col("_o0") + F.col("_b0"))
+    parts_of = local.groupBy("_pid", *gnames).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    offsets, totals = _offsets(parts_of, gnames, len(sums), collect_totals)
+    res = _join_offsets(local, offsets, gnames).withColumn("_start", F.col("_o0") + F.col("_b0"))
     for i, c in enumerate(sum_cols, start=1):
         res = res.withColumn(f"_cum_{c}", F.col(f"_o{i}") + F.col(f"_b{i}"))
     res = res.drop("_pid", *[f"_o{i}" for i in range(len(sums))], *[f"_b{i}" for i in range(len(sums))])
-    return res, {k: v[0] for k, v in acc.items()}
+    return (res if with_total else res.drop("_total")), totals
+
+
+def _offsets(parts_of: DataFrame, gnames, n_sums: int, collect_totals: bool):
+    """(offsets, group totals) from one row of sums per (partition, group): columns _pid,
+    groups, _o<i> = the sum of _t<i> over the group's earlier partitions, _total = the
+    group's whole first sum. Up to BROADCAST_ROWS rows they are added up on the driver and
+    broadcast; more stay a table, added up by a window per group and joined by a shuffle."""
+    spark = parts_of.sparkSession
+    kept = [c for c in parts_of.columns if c == "_first"]
+    head = parts_of.limit(BROADCAST_ROWS + 1).collect()
+    if len(head) > BROADCAST_ROWS:
+        whole = Window.partitionBy(*gnames)
+        earlier = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        table = parts_of.select("_pid", *gnames, *kept, F.sum("_t0").over(whole).cast("long").alias("_total"), *[
+            F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).cast("long").alias(f"_o{i}") for i in range(n_sums)])
+        if not collect_totals:
+            return table, None
+        sums = parts_of.groupBy(*gnames).agg(F.sum("_t0").alias("_t")).collect()
+        return table, {tuple(r[g] for g in gnames): int(r["_t"] or 0) for r in sums}
+    acc: dict[tuple, list[int]] = defaultdict(lambda: [0] * n_sums)
+    rows = []
+    for r in sorted(head, key=lambda r: r["_pid"]):
+        key = tuple(r[g] for g in gnames)
+        rows.append(((r["_pid"], *key, *[r[c] for c in kept]), key, acc[key]))
+        acc[key] = [had + int(r[f"_t{i}"] or 0) for i, had in enumerate(acc[key])]
+    rows = [(*row, acc[key][0], *before) for row, key, before in rows]
+    schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)] + [parts_of.schema[c] for c in (*gnames, *kept)]
+                          + [T.StructField(c, T.LongType(), False) for c in ("_total", *[f"_o{i}" for i in range(n_sums)])])
+    return F.broadcast(spark.createDataFrame(rows, schema)), ({k: v[0] for k, v in acc.items()} if collect_totals else None)
 
 
 def _join_offsets(local, offsets, gnames):
@@ -149,12 +153,11 @@ def _join_offsets(local, offsets, gnames):
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
 
-def _row_positions(df: DataFrame, gcols, okeys, gnames, parts):
+def _row_positions(df: DataFrame, gcols, okeys, gnames, parts, collect_totals, with_total):
     """Unweighted ``ordered_prefix`` without Python: after the range shuffle and the local
     sort, ``monotonically_increasing_id`` numbers rows in sorted order inside each
     partition (its upper bits are the partition index). The first local index and the
     row count of every (partition, group) - partitions + groups rows - give the offsets."""
-    spark = df.sparkSession
     mid = F.monotonically_increasing_id()
     local = (df.withColumn("_w", F.lit(1).cast("long"))
              .repartitionByRange(parts, *gcols, *okeys).sortWithinPartitions(*gcols, *okeys)
@@ -162,22 +165,11 @@ def _row_positions(df: DataFrame, gcols, okeys, gnames, parts):
              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
              .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS))
              .drop("_mid").persist(StorageLevel.MEMORY_AND_DISK))
-    totals = local.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_t"), F.min("_loc").alias("_first")).collect()
-    if len(totals) > MAX_OFFSET_ROWS:
-        raise RuntimeError("too many (partition, group) pairs for an offsets table")
-    acc: dict[tuple, int] = defaultdict(int)
-    offs = []
-    for r in sorted(totals, key=lambda r: r["_pid"]):
-        key = tuple(r[g] for g in gnames)
-        offs.append((r["_pid"], *key, int(acc[key]) - int(r["_first"])))
-        acc[key] += int(r["_t"])
-    off_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
-                              + [df.schema[g] for g in gnames]
-                              + [T.StructField("_off", T.LongType(), False)])
-    off_df = spark.createDataFrame(offs, off_schema)
-    res = (_join_offsets(local, F.broadcast(off_df), gnames)
-           .withColumn("_start", F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off"))
-    return res, dict(acc)
+    parts_of = local.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_t0"), F.min("_loc").alias("_first"))
+    offsets, totals = _offsets(parts_of, gnames, 1, collect_totals)
+    res = (_join_offsets(local, offsets, gnames)
+           .withColumn("_start", F.col("_o0") - F.col("_first") + F.col("_loc")).drop("_pid", "_loc", "_o0", "_first"))
+    return (res if with_total else res.drop("_total")), totals
 
 
 def label_pairs(labels: DataFrame, order_col: str, above: bool = False) -> DataFrame:

@@ -9,7 +9,6 @@ hot class in one task).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -38,11 +37,10 @@ def stratified_split(df: DataFrame, label: str | None, key: str, test_size: floa
     the rest 'train'; with ``label=None`` the whole table is one stratum (plain split)."""
     grp = F.col(label).cast("string") if label else F.lit("all")
     base = df.withColumn("_cls", grp).withColumn("_h", _hash_order(key, seed))
-    pref, totals = ordered_prefix(base, ["_h", key], ["_cls"])
-    n_test = {k[0]: math.ceil(test_size * n) for k, n in totals.items()}
-    lim = F.element_at(F.create_map(*[x for c, v in n_test.items() for x in (F.lit(c), F.lit(v))]), F.col("_cls"))
-    return pref.withColumn(split_col, F.when(F.col("_start") < lim, "test").otherwise("train")).drop(
-        "_cls", "_h", "_start", "_w")
+    pref, _ = ordered_prefix(base, ["_h", key], ["_cls"], collect_totals=False, with_total=True)
+    n_test = F.ceil(F.lit(test_size) * F.col("_total"))
+    return pref.withColumn(split_col, F.when(F.col("_start") < n_test, "test").otherwise("train")).drop(
+        "_cls", "_h", "_start", "_w", "_total")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None, suffix: str = "") -> DataFrame:
@@ -79,17 +77,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
-    w = {r["class"]: r["weight"] for r in class_weights(df, label).collect()}
-    m = F.create_map(*[x for c, v in w.items() for x in (F.lit(c), F.lit(v))])
-    return df.withColumn(weight_col, F.element_at(m, F.col(label).cast("string")))
+    """Rows with the weight of their class (null without a class), joined on the class."""
+    w = class_weights(df, label).select(F.col("class").alias("_cls"), F.col("weight").alias(weight_col))
+    return df.join(w, F.col(label).cast("string") == F.col("_cls"), "left").drop("_cls")
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Every class cut to the minority size, keeping the first rows in md5 order."""
     base = df.withColumn("_cls", F.col(label).cast("string")).withColumn("_h", _hash_order(key, seed))
-    pref, totals = ordered_prefix(base, ["_h", key], ["_cls"])
-    m = min(totals.values())
-    return pref.where(F.col("_start") < m).drop("_cls", "_h", "_start", "_w")
+    pref, _ = ordered_prefix(base, ["_h", key], ["_cls"], collect_totals=False, with_total=True)
+    m = pref.agg(F.min("_total")).first()[0] or 0
+    return pref.where(F.col("_start") < m).drop("_cls", "_h", "_start", "_w", "_total")
 
 
 def balance(df: DataFrame, label: str, key: str, strategy: str | None, features: Sequence[str] = (), seed: int = 42):

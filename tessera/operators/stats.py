@@ -228,7 +228,7 @@ def average_ranks(long: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, avg_rank) - 1-based average rank of ties within ``key``, from
     cumulative counts over distinct values (no global window)."""
     dist = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    pref, _ = ordered_prefix(dist, [value], [key], weight_col="n")
+    pref, _ = ordered_prefix(dist, [value], [key], weight_col="n", collect_totals=False)
     return pref.select(key, value, (F.col("_start") + (F.col("_w") + 1) / 2.0).alias("avg_rank"))
 
 

@@ -103,3 +103,23 @@ def test_approx_edges_close_to_exact(spark):
     exact = feature_edges(df, ["x"], 10)["x"]
     approx = feature_edges(df, ["x"], 10, approx_accuracy=10_000)["x"]
     assert len(exact) == len(approx) and max(abs(a - b) for a, b in zip(exact[1:-1], approx[1:-1])) < 0.01
+
+
+def test_offsets_as_a_table_equal_broadcast_ones(spark, monkeypatch):
+    from tessera.operators import order, prep
+    df = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("g"),
+                                 (F.col("id") * 37 % 101).alias("v"), F.lit(2).alias("w"))
+
+    def results():
+        out = []
+        for weight in (None, "w"):
+            pref, totals = order.ordered_prefix(df, ["v", "k"], ["g"], weight_col=weight, num_partitions=5, with_total=True)
+            out.append((sorted(map(tuple, pref.select("k", "_start", "_total").collect())), totals))
+        out.append(sorted(map(tuple, prep.stratified_split(df, "g", "k").select("k", "split").collect())))
+        out.append(sorted(r["k"] for r in prep.undersample(df, "g", "k").collect()))
+        return out
+
+    few = results()
+    monkeypatch.setattr(order, "BROADCAST_ROWS", 3)
+    assert results() == few
+    assert len(few[0][0]) == 500 and few[0][1][(None,)] == 72 and len(few[3]) == 7 * min(few[0][1].values())
