@@ -40,7 +40,7 @@ def _classifiers(n: int, n_classes: int, n_features: int) -> dict[str, Callable]
         "random_forest": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED),
         "extra_trees": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED, bootstrap=False,
                                                         featureSubsetStrategy="sqrt", maxBins=16),
-        "svm": lambda: ovr(C.LinearSVC(regParam=1.0 / max(n, 1), maxIter=100)),
+        "linear_svm": lambda: ovr(C.LinearSVC(regParam=1.0 / max(n, 1), maxIter=100)),
         "naive_bayes": lambda: _GaussianNB(),
         "gradient_boosting": lambda: ovr(C.GBTClassifier(maxIter=100, seed=SEED)),
         "mlp": lambda: C.MultilayerPerceptronClassifier(layers=[n_features, 100, max(n_classes, 2)], seed=SEED,
@@ -70,9 +70,9 @@ def _regressors(n: int) -> dict[str, Callable]:
 def model_names(task: str) -> list[str]:
     """Registry keys per task."""
     if task == "classification":
-        return list(_classifiers(1, 2, 1))
+        return [*_classifiers(1, 2, 1), *_OWN_CLASSIFIERS]
     if task == "regression":
-        return list(_regressors(1))
+        return [*_regressors(1), *_OWN_REGRESSORS]
     return ["kmeans", "dbscan"]
 
 
@@ -124,9 +124,89 @@ def _Identity(label: str):
     return SQLTransformer(statement=f"SELECT *, CAST(`{label}` AS DOUBLE) AS label FROM __THIS__")
 
 
+def prepare_data(df: DataFrame, numeric, categorical, label: str, key: str, task: str = "classification",
+                 test_size: float = 0.2, seed: int = SEED) -> DataFrame:
+    """Rows complete in features and label (at least 10, else an error) with a column
+    ``split`` of 'train' / 'test', stratified by label for classification. A row without a key
+    stays. Preprocessing is fitted later, on training rows only."""
+    from .clean import dropna_guard
+    from .prep import stratified_split
+    used = [*numeric, *categorical, label]
+    numbers = set(numeric) if task == "classification" else {*numeric, label}
+    rows = df.select(*dict.fromkeys([key, *used]))
+    for c in numbers & {f.name for f in rows.schema.fields if f.dataType.typeName() in ("double", "float")}:
+        rows = rows.withColumn(c, F.nanvl(F.col(c), F.lit(None)))  # NaN is missing too
+    dropna_guard(rows, used)
+    return stratified_split(rows.dropna(subset=used), label if task == "classification" else None, key, test_size, seed)
+
+
+def _wide(fitted, df: DataFrame, n: int | None = None):
+    """Preprocessed rows with one double column per feature: (rows, feature names)."""
+    from pyspark.ml.functions import vector_to_array
+    out = fitted.transform(df).withColumn("_a", vector_to_array("features"))
+    if n is None:
+        first = out.select(F.size("_a")).first()
+        n = first[0] if first else 0
+    names = [f"_f{i}" for i in range(n)]
+    return out.select("*", *[F.col("_a")[i].alias(c) for i, c in enumerate(names)]).drop("features"), names
+
+
+def _knn_predictions(train: DataFrame, test: DataFrame, k: int, classify: bool) -> DataFrame:
+    """Vote or mean of the k nearest training rows; row numbers are fixed by a checkpoint."""
+    from ..session import ensure_checkpoint_dir
+    from .neighbors import knn_classify, knn_join
+    ensure_checkpoint_dir(train.sparkSession)
+    numbered = [d.withColumn("_rid", F.monotonically_increasing_id()).checkpoint() for d in (train, test)]
+    tr, te = (d.select(F.col("_rid").alias("id"), F.col("_a").alias("v"), "label") for d in numbered)
+    if classify:
+        pred = knn_classify(tr, te, k)
+    else:
+        near = knn_join(te.select(F.col("id").alias("qid"), "v"), tr.select(F.col("id").alias("pid"), "v"), k)
+        pred = near.join(tr.select(F.col("id").alias("pid"), "label"), "pid").groupBy(F.col("qid").alias("id")).agg(
+            F.avg("label").alias("prediction"))
+    return numbered[1].join(pred.withColumnRenamed("id", "_rid"), "_rid").drop("_rid")
+
+
+def _own_model(name: str, train: DataFrame, test: DataFrame, names: list[str]):
+    """(model or None, predictions) of the models that MLlib lacks, over prepared columns."""
+    from . import models_extra as X
+    if name == "knn":
+        return None, _knn_predictions(train, test, 5, True)
+    if name == "knn_regression":
+        return None, _knn_predictions(train, test, 5, False)
+    if name == "mlp_regression":
+        model = X.mlp_regressor_fit(train, names, "label")
+    elif name == "svm":
+        model = X.rbf_svm_fit(train, names)
+    else:
+        model = {"lda": X.lda_fit, "adaboost": X.adaboost_fit}[name](train, names, "label")
+    pred = model.transform(test)
+    return model, pred.withColumn("prediction", F.col("prediction").cast("double"))
+
+
+#: models beyond MLlib's, by registry name
+_OWN_CLASSIFIERS = {"svm": "svm", "knn": "knn", "lda": "lda", "adaboost": "adaboost"}
+_OWN_REGRESSORS = {"mlp": "mlp_regression", "knn": "knn_regression"}
+
+
 def train_and_score(model_name: str, task: str, train: DataFrame, test: DataFrame, numeric, categorical, label: str,
-                    weight_col: str | None = None):
-    """Fit on ``train``, predict ``test``; returns (PipelineModel, predictions)."""
+                    weight_col: str | None = None, balanced: bool = False):
+    """Fit on ``train``, predict ``test``; returns (fitted model, predictions). Rows without
+    a feature or label are left out of both. ``balanced`` weights training rows by their
+    class (models without row weights ignore it)."""
+    used = [*numeric, *categorical, label]
+    train, test = train.dropna(subset=used), test.dropna(subset=used)
+    if balanced and task == "classification":
+        from .prep import with_class_weight
+        weight_col = "_class_weight"
+        train = with_class_weight(train, label, weight_col)
+    own = (_OWN_CLASSIFIERS if task == "classification" else _OWN_REGRESSORS).get(model_name)
+    if own:
+        first = (StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
+                 if task == "classification" else _Identity(label))
+        fitted = Pipeline(stages=[first, *feature_stages(numeric, categorical)]).fit(train)
+        rows, names = _wide(fitted, train)
+        return _own_model(own, rows, _wide(fitted, test, len(names))[0], names)
     pipe = build_pipeline(model_name, task, numeric, categorical, label, train, weight_col)
     model = pipe.fit(train)
     return model, model.transform(test)
@@ -138,18 +218,20 @@ def classification_scores(pred: DataFrame) -> DataFrame:
     if "probability" in pred.columns and pred.select("label").distinct().count() == 2:
         from pyspark.ml.functions import vector_to_array
         auc = evaluate.roc_auc(pred.withColumn("_p1", vector_to_array("probability")[1]), "label", "_p1")
+    elif "probability_1" in pred.columns:
+        auc = evaluate.roc_auc(pred, "label", "probability_1")
     return m.withColumn("roc_auc", F.lit(auc).cast("double"))
 
 
 def compare_models(task: str, train: DataFrame, test: DataFrame, numeric, categorical, label: str,
-                   names: Sequence[str] | None = None, weight_col: str | None = None) -> DataFrame:
+                   names: Sequence[str] | None = None, weight_col: str | None = None, balanced: bool = False) -> DataFrame:
     """M7: one row per model, metrics rounded to 4; a failing model gets an error text."""
     spark = train.sparkSession
     names = list(names) if names else model_names(task)
     rows = []
     for name in names:
         try:
-            _, pred = train_and_score(name, task, train, test, numeric, categorical, label, weight_col)
+            _, pred = train_and_score(name, task, train, test, numeric, categorical, label, weight_col, balanced)
             if task == "classification":
                 r = classification_scores(pred).first()
                 rows.append((name, *[None if r[k] is None else round(float(r[k]), 4)

@@ -48,6 +48,20 @@ def q_c03_box_stats(spark, sf):
     return round_doubles(chartdata.box_stats(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment"))
 
 
+@register("p09_prepare_data", """
+WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS q, l_tax,
+                   CASE WHEN l_orderkey % 13 <> 0 THEN l_returnflag END AS y FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat(CAST(k AS VARCHAR), '-42')), k) - 1 AS pos,
+             count(*) OVER (PARTITION BY y) AS n FROM li WHERE q IS NOT NULL AND l_tax IS NOT NULL AND y IS NOT NULL)
+SELECT k, q, l_tax, y, CASE WHEN pos < ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM r""")
+def q_p09_prepare_data(spark, sf):
+    order = F.col("l_orderkey")
+    li = table(spark, sf, "lineitem").select(
+        (order * 10 + F.col("l_linenumber")).alias("k"), F.when(order % 7 != 0, F.col("l_quantity")).alias("q"), "l_tax",
+        F.when(order % 13 != 0, F.col("l_returnflag")).alias("y"))
+    return models.prepare_data(li, ["q", "l_tax"], [], "y", "k")
+
+
 @register("c03_box_many_groups", """
 WITH v AS (SELECT CAST(l_partkey AS VARCHAR) AS grp, l_extendedprice AS x FROM lineitem
            WHERE l_partkey IS NOT NULL AND l_extendedprice IS NOT NULL),
