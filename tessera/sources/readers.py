@@ -114,6 +114,10 @@ def _typed(wide: DataFrame) -> DataFrame:
 
 def _csv_strings(spark: SparkSession, paths, encoding: str, delimiter: str, multi_line: bool) -> DataFrame:
     """Files of one encoding with every column as a string."""
+    if encoding not in ("utf-8", "utf-8-sig", "latin-1"):
+        # Spark accepts Big5 / GB18030 / EUC-JP / Shift_JIS / cp950 only with this flag; it is read
+        # when a file is opened, so it stays set while the frame is in use
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     r = (spark.read.option("header", True).option("inferSchema", False).option("encoding", _JAVA_CHARSET.get(encoding, encoding))
          .option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
          .option("enforceSchema", False).option("maxColumns", 1_000_000).csv(paths))
@@ -154,19 +158,13 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     all decode, or with more than 200 columns, goes to the next candidate. Missing tokens
     become null before columns are typed. Quoted values may hold quotes and line ends
     (``multi_line``; turn it off to let Spark split large files that have none)."""
-    # Spark accepts Big5 / GB18030 / EUC-JP / Shift_JIS / cp950 only with this flag; the scan reads
-    # it when a file is opened, so it stays set while the frame is in use
     if encoding:
         groups = [(path, [encoding])]
-        flag = encoding not in ("utf-8", "utf-8-sig", "latin-1")
     else:
         found = detect_encodings(spark, path).groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
         groups = [(r["paths"] if len(found) > 1 else path,
                    [r["encoding"], *[e for e in FALLBACK_ENCODINGS if e != r["encoding"]], "latin-1"])
                   for r in sorted(found, key=lambda r: r["encoding"])]
-        flag = True
-    if flag:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     out = None
     for paths, candidates in groups:
         part = _decoded(spark, paths, candidates, delimiter or ",", multi_line)
