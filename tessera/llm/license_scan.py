@@ -1,10 +1,13 @@
 """Licence recognition by sentences.
 
-A text is cut into fragments at line ends and sentence ends; runs of up to ``MAX_WRAP``
-fragments (sentences wrapped over lines) are normalised and looked up in a table of
-known licence sentences; the identifiers found, in text order, are matched against
-ordered rules, each a sequence of identifiers. A rule takes the identifiers it matches,
-so later, shorter rules name only what is left.
+A text is cut into fragments at line ends and sentence ends; runs of normalised fragments
+(sentences wrapped over any number of lines) that make up a known licence sentence are
+found; the identifiers found, in text order, are matched against ordered rules, each a
+sequence of identifiers. A rule takes the identifiers it matches, so later, shorter rules
+name only what is left.
+
+A fragment has a word or more, so a run that makes up a sentence of n words has at most n
+fragments: there is no other limit to a wrap.
 
 Everything is one projection over a row (no shuffle, no user functions). Texts without
 any trigger word, one of which every known sentence has, skip the work.
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-MAX_WRAP = 6
+#: fragments of a run in the oracle's SQL only, which is left as it was
+ORACLE_WRAP = 6
 
 #: known sentences by identifier (fixed values: the licences' own wording, normalised)
 SENTENCES = {
@@ -79,6 +83,8 @@ RULES = (
 #: every known sentence has one of these
 TRIGGER = "licens|warrant|permission|redistribut|free software"
 _SPLIT, _NORMAL = r"([.!?;:])[ \t]+", "[^a-z0-9]+"
+#: a wrap may stand between the words of a trigger
+_TRIGGER = TRIGGER.replace(" ", _NORMAL)
 _FIRST = sorted({s.split()[0] for s in SENTENCES.values()})
 
 
@@ -90,18 +96,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, sentence_ids (array), fragment_at (array: where each begins), licences (array,
     in rule order, repeats kept)."""
     t = text_or_empty(F.col(text_col))
-    has = F.lower(t).rlike(TRIGGER)
+    has = F.lower(t).rlike(_TRIGGER)
     d = docs.select(F.col(id_col).alias("doc_id"), F.when(has, F.transform(
         F.split(F.regexp_replace(t, _SPLIT, "$1\n"), "\n"), _normal)).alias("f"))
     d = d.withColumn("f", F.filter("f", lambda x: x != ""))
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    # runs of fragments that begin with the first word of a known sentence
+    # of two sentences that begin at one fragment, the shorter comes first
+    known = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("norm"), F.lit(len(v.split())).alias("words"))
+                      for k, v in sorted(SENTENCES.items(), key=lambda kv: len(kv[1]))])
+
+    def here(i: Column, x: Column, s: Column) -> Column:
+        """The sentence s is made up by the run that begins with x, the fragment i."""
+        run = F.array_join(F.slice("f", i + 1, s["words"]), "\n")
+        return (F.startswith(s["norm"], x) & F.startswith(F.translate(run, "\n", " "), s["norm"])
+                & (F.substring(F.concat(run, F.lit("\n")), F.length(s["norm"]) + 1, F.lit(1)) == "\n"))
+
     runs = F.flatten(F.transform("f", lambda x, i: F.when(
         F.substring_index(x, " ", 1).isin(_FIRST),
-        F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WRAP), F.size("f") - i)),
-                    lambda k: F.struct(i.alias("at"), F.try_element_at(known, F.array_join(F.slice("f", i + 1, k), " ")).alias("id"))),
+        F.transform(F.filter(known, lambda s: here(i, x, s)), lambda s: F.struct(i.alias("at"), s["id"].alias("id"))),
     ).otherwise(F.array().cast("array<struct<at:int,id:string>>"))))
-    d = d.withColumn("m", F.filter(runs, lambda x: x["id"].isNotNull()))
+    d = d.withColumn("m", runs)
     d = d.withColumn("sentence_ids", F.coalesce(F.transform("m", lambda x: x["id"]), F.array().cast("array<string>")))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in RULES])
     # each identifier stands between two commas of its own, so that neighbours do not share one
@@ -127,7 +140,7 @@ f0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(tex
   lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS f FROM documents
   WHERE regexp_matches(lower(text), '{TRIGGER}')),
 f1 AS (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM f0),
-f2 AS (SELECT doc_id, i, k, array_to_string(f[i:i + k - 1], ' ') AS norm, len(f) AS m FROM f1, range(1, {MAX_WRAP + 1}) t(k) WHERE i + k - 1 <= len(f)),
+f2 AS (SELECT doc_id, i, k, array_to_string(f[i:i + k - 1], ' ') AS norm, len(f) AS m FROM f1, range(1, {ORACLE_WRAP + 1}) t(k) WHERE i + k - 1 <= len(f)),
 h AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i, k) AS ids FROM f2 JOIN known USING (norm) GROUP BY doc_id),
 r0 AS (SELECT doc_id, n, ids, ',' || ids || ',' AS s, CAST([] AS VARCHAR[]) AS got FROM h), {steps}
 SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_sentences, coalesce(ids, '') AS sentence_ids,

@@ -223,3 +223,24 @@ def test_rules_and_licences(docs, texts, empty):
     assert license_scan.scan(empty).count() == 0
     import re
     assert all(re.search(license_scan.TRIGGER, s) for s in license_scan.SENTENCES.values())
+
+
+def test_licence_sentences_wrapped_at_any_width(spark):
+    import textwrap
+
+    grant, notice, as_is = (license_scan.SENTENCES[k] for k in ("mit_grant", "mit_notice", "as_is"))
+    rows = [(w, "\n\n".join("\n".join(textwrap.wrap(s, w)) for s in (f"{grant}:", f"{notice}.", f"{as_is}."))) for w in (20, 60, 70, 76, 1000)]
+    rows.append((1, "\n".join(f" * {w}" for s in (grant, notice, as_is) for w in s.split())))
+    rows.append((2, f"{grant} and more\n{notice}"))  # a run has to end with a fragment
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(2)["sentence_ids"] == ["mit_notice"]
+    for r in got.values():
+        assert (r["sentence_ids"], r["licences"]) == (["mit_grant", "mit_notice", "as_is"], ["MIT"])
+    # every sentence is found when it stands alone, and against runs made up one by one
+    rows = [(i, "\n".join(textwrap.wrap(s, 24))) for i, s in enumerate(license_scan.SENTENCES.values())]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        f = rows[r["doc_id"]][1].split("\n")
+        known = {v: k for k, v in license_scan.SENTENCES.items()}
+        runs = [(known.get(" ".join(f[i:j])), i) for i in range(len(f)) for j in range(i + 1, len(f) + 1)]
+        assert list(zip(r["sentence_ids"], r["fragment_at"], strict=True)) == [x for x in runs if x[0]]
+        assert list(license_scan.SENTENCES)[r["doc_id"]] in r["sentence_ids"]
