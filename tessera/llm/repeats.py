@@ -15,10 +15,12 @@ LENGTH - PERIOD + 1 = ``INNER`` bytes are equal.
    equal are repeated.
 3. Marked strings are cut out.
 
-Equal documents are handled once (120 bits of MD5 stand for a text), and each bucket
-returns, per document, which of its positions are repeated; so texts are shuffled once
-and positions never leave the documents. The number of buckets follows the input's
-bytes. Two different strings are taken for equal with a chance of 2**-64 a pair.
+Equal documents are merged before anything is dealt (120 bits of MD5 stand for a text), and
+each bucket returns, per document, which of its positions are repeated; so texts are
+shuffled once and positions never leave the documents. A string that stands in many
+documents goes to its bucket once a slice (the documents dealt together by a task): a
+slice tells by itself what it has more than once. The number of buckets follows the
+input's bytes. Two different strings are taken for equal with a chance of 2**-64 a pair.
 
 Defined results: null and empty texts have 0 bytes and the hash of the empty string; a
 text shorter than LENGTH is never touched; repeated rows of LENGTH bytes or more are
@@ -29,6 +31,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -116,59 +119,94 @@ def covered(starts: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _deal(keys, parts, dtype) -> pa.RecordBatch | None:
-    """Rows by bucket of the documents ``parts`` = [(hashes, buckets)]: each document's
-    hashes in text order, as runs."""
+def _deal(keys, parts, dtype) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket of the different documents ``parts`` = [(hashes, buckets)]: each
+    document's hashes in text order, as runs. A hash that stands here more than once is
+    repeated: one of its places goes to its bucket, for the other slices, and a row of
+    bucket -1 has all of them, as flags. So a bucket gets a hash once a slice at most,
+    in however many documents it stands."""
     size = np.array([len(h) for h, _ in parts])
     if not size.sum():
-        return None
-    h, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return
+    h = np.concatenate([x.astype(dtype) for x, _ in parts])
+    b = np.concatenate([x for _, x in parts])
     doc = np.repeat(np.arange(len(parts)), size)
     order = np.argsort(b, kind="stable")
-    h, b, doc = h[order].astype(dtype), b[order], doc[order]
+    h, b, doc = h[order], b[order], doc[order]
     k1, k2 = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-    cells = ([], [], [], [], [])
-    cut = np.flatnonzero(np.diff(b, prepend=-1))
-    for i, j in zip(cut, np.append(cut[1:], len(b)), strict=True):
-        own, first = np.unique(doc[i:j], return_index=True)
-        for c, x in zip(cells, (int(b[i]), k1[own], k2[own], np.diff(np.append(first, j - i)).astype(np.int32), h[i:j].tobytes()), strict=True):
-            c.append(x)
-    kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in DEALT.split(", ")])
+    start = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])))
+    place = (np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))).astype(np.uint32)
+    # 64 bits of a hash tell its bucket; 32 bits of it do not
+    key = h if h.itemsize == 8 else b.astype(np.uint64) << np.uint64(32) | h
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    twin, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    twin[order[1:]] = later[order[1:]] = same
+    twin[order[:-1]] |= same
+    if twin.any():
+        tb, td, tp = b[twin], doc[twin], place[twin]
+        cut = np.flatnonzero(np.append(True, (tb[1:] != tb[:-1]) | (td[1:] != td[:-1])))
+        own, n = td[cut], np.diff(np.append(cut, len(tb))).astype(np.int32)
+        yield _dealt([(-1, keys[0][0], k1[own], k2[own], n, None, tp.tobytes(), tb[cut].astype(np.int32))])
+        h, b, doc, place = h[~later], b[~later], doc[~later], place[~later]
+    cut = np.append(True, (b[1:] != b[:-1]) | (doc[1:] != doc[:-1]))
+    last = np.append(cut[1:], True)
+    n = np.diff(np.append(np.flatnonzero(cut), len(b))).astype(np.int32)
+    part = np.repeat(place[last] >= n, n)  # runs with gaps carry their places
+    rows = []
+    for gaps in (False, True):
+        mh, mb, md, mp = (x[part == gaps] for x in (h, b, doc, place))
+        if not len(mb):
+            continue
+        edge = np.flatnonzero(np.diff(mb, prepend=-1))
+        for i, j in zip(edge, np.append(edge[1:], len(mb)), strict=True):
+            first = np.flatnonzero(np.diff(md[i:j], prepend=-1))
+            own = md[i:j][first]
+            rows.append((int(mb[i]), 0, k1[own], k2[own], np.diff(np.append(first, j - i)).astype(np.int32), mh[i:j].tobytes(),
+                         mp[i:j].tobytes() if gaps else None, None))
+    yield _dealt(rows)
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
+DEALT = "bucket int, slice long, k1 array<long>, k2 array<long>, counts array<int>, hashes binary, places binary, buckets array<int>"
+FLAGS = "k1 long, k2 long, bucket int, places binary"
 
 
-DEALT = "bucket int, k1 array<long>, k2 array<long>, counts array<int>, hashes binary"
-FLAGS = "k1 long, k2 long, bucket int, places binary"
+def _flags(k1, k2, bucket, counts, places) -> pd.DataFrame:
+    end = np.cumsum(counts)
+    return pd.DataFrame({"k1": k1, "k2": k2, "bucket": np.asarray(bucket, np.int32),
+                         "places": [places[i:j].tobytes() for i, j in zip(end - counts, end, strict=True)]})
 
 
 def repeated(dealt: DataFrame, dtype) -> DataFrame:
     """Sort each bucket: per document the places (numbers in its run) that are repeated.
-    Runs of equal documents count once."""
+    What a slice has found repeated by itself (bucket -1) passes by, a group a slice."""
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.concatenate(pdf["counts"].to_list()).astype(np.int64)
-        k1, k2 = (np.repeat(np.concatenate(pdf[k].to_list()).astype(np.int64), counts) for k in ("k1", "k2"))
-        place = np.arange(len(k1)) - np.repeat(np.cumsum(counts) - counts, counts)
+        counts, k1, k2 = (np.concatenate(pdf[k].to_list()).astype(np.int64) for k in ("counts", "k1", "k2"))
+        if pdf["bucket"].iloc[0] < 0:
+            places = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["places"]])
+            return _flags(k1, k2, np.concatenate(pdf["buckets"].to_list()), counts, places)
+        run = np.repeat(np.arange(len(counts)), counts)
+        place = (np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint32)
         h = np.concatenate([np.frombuffer(x, dtype) for x in pdf["hashes"]])
-        order = np.lexsort((place, k1, h))
-        h, k1, k2, place = h[order], k1[order], k2[order], place[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (place[1:] != place[:-1])
-        h, k1, k2, place = h[new], k1[new], k2[new], place[new]
+        end = np.cumsum([len(x) // np.dtype(dtype).itemsize for x in pdf["hashes"]])
+        for x, j in zip(pdf["places"], end, strict=True):
+            if x is not None:
+                place[j - len(x) // 4:j] = np.frombuffer(x, np.uint32)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
         twin = np.zeros(len(h), bool)
-        same = h[1:] == h[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        if not twin.any():
-            return pd.DataFrame({x.split()[0]: [] for x in FLAGS.split(", ")})
-        k1, k2, place = k1[twin], k2[twin], place[twin].astype(np.uint32)
-        order = np.lexsort((place, k2, k1))
-        k1, k2, place = k1[order], k2[order], place[order]
-        cut = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-        return pd.DataFrame({"k1": k1[cut], "k2": k2[cut], "bucket": np.int32(pdf["bucket"].iloc[0]),
-                             "places": [place[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(k1)), strict=True)]})
-
-    flags = dealt.groupBy("bucket").applyInPandas(sort, FLAGS)
+        twin[order[1:]] = same
+        twin[order[:-1]] |= same
+        own, n = np.unique(run[twin], return_counts=True)
+        return _flags(k1[own], k2[own], np.full(len(own), pdf["bucket"].iloc[0]), n, place[twin])
+
+    flags = dealt.groupBy("bucket", "slice").applyInPandas(sort, FLAGS)
     return flags.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "places")).alias("flags"))
 
 
@@ -179,16 +217,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc_id", half(1).alias("k1"), half(16).alias("k2"), "text")
 
 
-def _by_slice(batch, one):
-    """Deal the documents of an Arrow batch (k1, k2, text, ...) in slices of SLICE_BYTES."""
+def _by_slice(batches, one):
+    """Deal the documents of Arrow batches (k1, k2, text, ...) in slices of SLICE_BYTES."""
     keys, parts, n = [], [], 0
-    for row in batch:
-        keys.append((row["k1"].as_py(), row["k2"].as_py()))
-        parts.append(one(row))
-        n += len(parts[-1][0])
-        if n >= SLICE_BYTES:
-            yield keys, parts
-            keys, parts, n = [], [], 0
+    for batch in batches:
+        for row in _rows(batch):
+            keys.append((row["k1"].as_py(), row["k2"].as_py()))
+            parts.append(one(row))
+            n += len(parts[-1][0])
+            if n >= SLICE_BYTES:
+                yield keys, parts
+                keys, parts, n = [], [], 0
     if keys:
         yield keys, parts
 
@@ -219,14 +258,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n1, n2 = max(SAMPLE_BUCKETS, total // SAMPLE_BUCKET), max(SUFFIX_BUCKETS, total // SUFFIX_BUCKET)
 
     def deal_samples(batches):
-        for batch in batches:
-            for keys, parts in _by_slice(_rows(batch), lambda r: samples(r["text"].as_py(), n1)[1:]):
-                if out := _deal(keys, parts, np.uint32):
-                    yield out
+        for keys, parts in _by_slice(batches, lambda r: samples(r["text"].as_py(), n1)[1:]):
+            yield from _deal(keys, parts, np.uint32)
 
-    long_enough = d.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
-    classes = repeated(long_enough.mapInArrow(deal_samples, DEALT), np.uint32)
-    texts = d.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(classes, ["k1", "k2"], "left")
+    # copies are merged before anything is dealt; all columns go on, so that both uses share the shuffle
+    texts = d.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    classes = repeated(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(deal_samples, DEALT), np.uint32)
+    texts = texts.join(classes, ["k1", "k2"], "left")
 
     def candidates(text: bytes, flags) -> np.ndarray:
         """Positions that may start a repeated string."""
@@ -263,10 +301,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pos, h, bucket_of(h, n2)
 
     def deal_suffixes(batches):
-        for batch in batches:
-            for keys, parts in _by_slice(_rows(batch), lambda r: suffixes(r["text"].as_py(), r["flags"].as_py())[1:]):
-                if out := _deal(keys, parts, np.uint64):
-                    yield out
+        for keys, parts in _by_slice(batches, lambda r: suffixes(r["text"].as_py(), r["flags"].as_py())[1:]):
+            yield from _deal(keys, parts, np.uint64)
 
     again = repeated(open_texts.select("k1", "k2", "text", "flags").mapInArrow(deal_suffixes, DEALT), np.uint64)
     cut = open_texts.where(F.col("n_bytes").isNull()).select("k1", "k2", "text", "flags").join(

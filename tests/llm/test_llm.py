@@ -244,3 +244,33 @@ def test_licence_sentences_wrapped_at_any_width(spark):
         runs = [(known.get(" ".join(f[i:j])), i) for i in range(len(f)) for j in range(i + 1, len(f) + 1)]
         assert list(zip(r["sentence_ids"], r["fragment_at"], strict=True)) == [x for x in runs if x[0]]
         assert list(license_scan.SENTENCES)[r["doc_id"]] in r["sentence_ids"]
+
+
+def test_repeats_hot_passage_goes_to_a_bucket_once_a_slice(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    passage = rng.bytes(500).hex().encode()
+    docs = [rng.bytes(40 + i).hex().encode() + passage + rng.bytes(30).hex().encode() for i in range(60)]
+    parts = [repeats.samples(x, 16)[1:] for x in docs]
+    rows = [r for x in repeats._deal([(i, -i) for i in range(60)], parts, np.uint32) for r in x.to_pylist()]
+    entries = Counter((r["bucket"], h) for r in rows if r["bucket"] >= 0 for h in np.frombuffer(r["hashes"], np.uint32).tolist())
+    every = Counter((int(b), int(np.uint32(h & np.uint64(0xFFFFFFFF)))) for h, bs in parts for h, b in zip(h, bs, strict=True))
+    assert entries.keys() == every.keys() and set(entries.values()) == {1} and max(every.values()) > 1
+    flags = next(r for r in rows if r["bucket"] < 0)
+    assert sum(flags["counts"]) * 4 == len(flags["places"]) and sum(flags["counts"]) == sum(n for n in every.values() if n > 1)
+    # a document's own repeats, in one bucket: the run that is left has gaps
+    assert [r["counts"] for x in repeats._deal([(1, 1)], [(np.array([5, 5, 7], np.uint64), np.zeros(3, np.int64))], np.uint64)
+            for r in x.to_pylist()] == [[2], [2]]
+    # copies do not reach a bucket more than once, and slices of any size give the same bytes
+    texts = [x.decode() for x in docs] + [docs[0].decode()] * 30 + ["y" * 1500, rng.bytes(700).hex()]
+    count = Counter(x[p:p + 400] for x in texts for p in range(len(x) - 399))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for size in (1 << 22, 300):
+        monkeypatch.setattr(repeats, "SLICE_BYTES", size)
+        for r in repeats.remove_repeats(df).collect():
+            x = texts[r["doc_id"]]
+            gone = np.zeros(len(x), bool)
+            for p in range(len(x) - 399):
+                if count[x[p:p + 400]] > 1:
+                    gone[p:p + 400] = True
+            kept = np.frombuffer(x.encode(), np.uint8)[~gone].tobytes()
+            assert (r["n_removed"], r["kept_sha256"]) == (gone.sum(), hashlib.sha256(kept).hexdigest())
