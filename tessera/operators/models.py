@@ -25,6 +25,9 @@ from . import evaluate
 
 SEED = 42
 
+#: trees grow until their leaves are pure, as the reference's; 30 levels are MLlib's limit
+GROWN = {"maxDepth": 30, "minInstancesPerNode": 1}
+
 
 def _classifiers(n: int, n_classes: int, n_features: int) -> dict[str, Callable]:
     multi = n_classes > 2
@@ -36,10 +39,10 @@ def _classifiers(n: int, n_classes: int, n_features: int) -> dict[str, Callable]
         # sklearn C=1 L2 logistic regression: lambda = 1 / (C * n) on the mean loss
         "logistic_regression": lambda: C.LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                                                              standardization=False, maxIter=200),
-        "decision_tree": lambda: C.DecisionTreeClassifier(seed=SEED, maxDepth=10),
-        "random_forest": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED),
+        "decision_tree": lambda: C.DecisionTreeClassifier(seed=SEED, **GROWN),
+        "random_forest": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED, **GROWN),
         "extra_trees": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED, bootstrap=False,
-                                                        featureSubsetStrategy="sqrt", maxBins=16),
+                                                        featureSubsetStrategy="sqrt", maxBins=16, **GROWN),
         "linear_svm": lambda: ovr(C.LinearSVC(regParam=1.0 / max(n, 1), maxIter=100)),
         "naive_bayes": lambda: _GaussianNB(),
         "gradient_boosting": lambda: ovr(C.GBTClassifier(maxIter=100, seed=SEED)),
@@ -59,10 +62,10 @@ def _regressors(n: int) -> dict[str, Callable]:
         "ridge": lambda: R.LinearRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False),
         "lasso": lambda: R.LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
         "elastic_net": lambda: R.LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
-        "decision_tree": lambda: R.DecisionTreeRegressor(seed=SEED, maxDepth=10),
-        "random_forest": lambda: R.RandomForestRegressor(numTrees=100, seed=SEED),
+        "decision_tree": lambda: R.DecisionTreeRegressor(seed=SEED, **GROWN),
+        "random_forest": lambda: R.RandomForestRegressor(numTrees=100, seed=SEED, **GROWN),
         "extra_trees": lambda: R.RandomForestRegressor(numTrees=100, seed=SEED, bootstrap=False,
-                                                       featureSubsetStrategy="onethird", maxBins=16),
+                                                       featureSubsetStrategy="onethird", maxBins=16, **GROWN),
         "gradient_boosting": lambda: R.GBTRegressor(maxIter=100, seed=SEED),
     }
 

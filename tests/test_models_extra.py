@@ -97,3 +97,19 @@ def test_mlp_regressor_fits_nonlinear(spark):
     pred = m.transform(df).toPandas()
     r2 = 1 - ((pred.y - pred.prediction) ** 2).sum() / ((pred.y - pred.y.mean()) ** 2).sum()
     assert r2 > 0.9 and m.losses[-1] < m.losses[0]
+
+
+def test_trees_grow_until_pure(spark):
+    from tessera.operators import models
+
+    # x = 13 has half of the rows, x = 12 half of the rest, ...: each level of a tree parts one value off
+    df = spark.range(2 ** 14 - 1).select("id", F.floor(F.log2(F.col("id") + 1)).cast("double").alias("x"))
+    df = df.withColumn("label_", (F.col("x") % 2).cast("string")).withColumn("y", F.col("x") % 2)
+    for task, label in (("classification", "label_"), ("regression", "y")):
+        model, pred = models.train_and_score("decision_tree", task, df, df, ["x"], [], label)
+        assert model.stages[-1].depth > 10
+        assert pred.where(F.col("prediction") != F.col("label")).count() == 0
+    for reg in (models._classifiers(1, 2, 1), models._regressors(1)):
+        for name in ("decision_tree", "random_forest", "extra_trees"):
+            est = reg[name]()
+            assert (est.getMaxDepth(), est.getMinInstancesPerNode()) == (30, 1)
