@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from . import (
     license_scan,
     mixing,
     near_dedup,
+    periodic_runs,
     quality_cnn,
     quality_rules,
     repeats,
@@ -84,3 +87,26 @@ def op3(spark, sf_dir):
 @register("op8_repeats")
 def op8(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _planted(doc_id: str | None, words: list) -> list:
+    """Every tenth document, by the hash of its id, repeats its words from a place on."""
+    h = zlib.crc32(doc_id.encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    out = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=_planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"),
+                     F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("b.col2"), F.col("b.length"), -F.col("b.col3")
+    return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+                      F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
