@@ -14,6 +14,7 @@ from . import (
     mixing,
     near_dedup,
     periodic_runs,
+    prefix_trie,
     quality_cnn,
     quality_rules,
     repeats,
@@ -110,3 +111,9 @@ def op13(spark, sf_dir):
     start, length, period = -F.col("b.col2"), F.col("b.length"), -F.col("b.col3")
     return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
                       F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@register("op11_prefix_trie", prefix_trie.oracle())
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
