@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    jaccard_join,
     language_id,
     license_scan,
     mixing,
@@ -117,3 +118,8 @@ def op13(spark, sf_dir):
 def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@register("op12_jaccard_join", f"SELECT doc_id, n_shingles, component_id FROM ({near_dedup.oracle(5, 80)})")
+def op12(spark, sf_dir):
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("th")
