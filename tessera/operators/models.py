@@ -18,7 +18,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate
@@ -41,8 +41,6 @@ def _classifiers(n: int, n_classes: int, n_features: int) -> dict[str, Callable]
                                                              standardization=False, maxIter=200),
         "decision_tree": lambda: C.DecisionTreeClassifier(seed=SEED, **GROWN),
         "random_forest": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED, **GROWN),
-        "extra_trees": lambda: C.RandomForestClassifier(numTrees=100, seed=SEED, bootstrap=False,
-                                                        featureSubsetStrategy="sqrt", maxBins=16, **GROWN),
         "linear_svm": lambda: ovr(C.LinearSVC(regParam=1.0 / max(n, 1), maxIter=100)),
         "naive_bayes": lambda: _GaussianNB(),
         "gradient_boosting": lambda: ovr(C.GBTClassifier(maxIter=100, seed=SEED)),
@@ -51,6 +49,34 @@ def _classifiers(n: int, n_classes: int, n_features: int) -> dict[str, Callable]
     }
 
 
+_TREE = {
+    "max_depth": lambda e, v, n: e.setMaxDepth(30 if v is None else min(v, 30)),
+    # a node of v rows or more may be cut: so may one whose halves hold v / 2
+    "min_samples_split": lambda e, v, n: e.setMinInstancesPerNode(max(1, v // 2)),
+    "criterion": lambda e, v, n: e.setImpurity(v),
+}
+_FOREST = {"n_estimators": lambda e, v, n: e.setNumTrees(v), **_TREE}
+_INVERSE = {"C": lambda e, v, n: e.setRegParam(1.0 / (v * max(n, 1))), "solver": lambda e, v, n: e}  # one optimum, whatever the solver
+_ALPHA = {"alpha": lambda e, v, n: e.setRegParam(v), "l1_ratio": lambda e, v, n: e.setElasticNetParam(v)}
+
+#: how parameters, by the names users know, are set on an MLlib estimator for n rows
+_SETTERS: dict[str, dict[str, Callable]] = {
+    "logistic_regression": _INVERSE, "linear_svm": _INVERSE, "decision_tree": _TREE, "random_forest": _FOREST,
+    "ridge": {"alpha": lambda e, v, n: e.setRegParam(v / max(n, 1))}, "lasso": _ALPHA, "elastic_net": _ALPHA,
+    "gradient_boosting": {"n_estimators": lambda e, v, n: e.setMaxIter(v), "learning_rate": lambda e, v, n: e.setStepSize(v),
+                          "max_depth": lambda e, v, n: e.setMaxDepth(v)},
+    "mlp": {"hidden_layer_sizes": lambda e, v, n: e.setLayers([e.getLayers()[0], *v, e.getLayers()[-1]])},
+}
+
+
+def _with_params(est, model_name: str, params: dict | None, n: int):
+    for k, v in (params or {}).items():
+        if k not in _SETTERS.get(model_name, {}):
+            raise ValueError(f"model '{model_name}' has no parameter '{k}'")
+        est = _SETTERS[model_name][k](est, v, n)
+    return est
+
+
 def _GaussianNB():
     return C.NaiveBayes(modelType="gaussian")
 
@@ -64,8 +90,6 @@ def _regressors(n: int) -> dict[str, Callable]:
         "elastic_net": lambda: R.LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
         "decision_tree": lambda: R.DecisionTreeRegressor(seed=SEED, **GROWN),
         "random_forest": lambda: R.RandomForestRegressor(numTrees=100, seed=SEED, **GROWN),
-        "extra_trees": lambda: R.RandomForestRegressor(numTrees=100, seed=SEED, bootstrap=False,
-                                                       featureSubsetStrategy="onethird", maxBins=16, **GROWN),
         "gradient_boosting": lambda: R.GBTRegressor(maxIter=100, seed=SEED),
     }
 
@@ -104,7 +128,7 @@ def _n_features(numeric, categorical, df):
 
 
 def build_pipeline(model_name: str, task: str, numeric, categorical, label: str, train: DataFrame,
-                   weight_col: str | None = None):
+                   weight_col: str | None = None, params: dict | None = None):
     n = train.count()
     stages = feature_stages(numeric, categorical, scale=True)
     if task == "classification":
@@ -116,7 +140,7 @@ def build_pipeline(model_name: str, task: str, numeric, categorical, label: str,
         stages.insert(0, _Identity(label))
     if model_name not in reg:
         raise KeyError(f"unknown model '{model_name}'; choose from {sorted(reg)}")
-    est = reg[model_name]()
+    est = _with_params(reg[model_name](), model_name, params, n)
     if weight_col and est.hasParam("weightCol"):
         est = est.setWeightCol(weight_col)
     return Pipeline(stages=stages + [est])
@@ -154,7 +178,7 @@ def _wide(fitted, df: DataFrame, n: int | None = None):
     return out.select("*", *[F.col("_a")[i].alias(c) for i, c in enumerate(names)]).drop("features"), names
 
 
-def _knn_predictions(train: DataFrame, test: DataFrame, k: int, classify: bool) -> DataFrame:
+def _knn_predictions(train: DataFrame, test: DataFrame, k: int, classify: bool, weights: str = "uniform") -> DataFrame:
     """Vote or mean of the k nearest training rows; row numbers are fixed by a checkpoint."""
     from ..session import ensure_checkpoint_dir
     from .neighbors import knn_classify, knn_join
@@ -162,57 +186,103 @@ def _knn_predictions(train: DataFrame, test: DataFrame, k: int, classify: bool)
     numbered = [d.withColumn("_rid", F.monotonically_increasing_id()).checkpoint() for d in (train, test)]
     tr, te = (d.select(F.col("_rid").alias("id"), F.col("_a").alias("v"), "label") for d in numbered)
     if classify:
-        pred = knn_classify(tr, te, k)
+        pred = knn_classify(tr, te, k, weights=weights)
     else:
         near = knn_join(te.select(F.col("id").alias("qid"), "v"), tr.select(F.col("id").alias("pid"), "v"), k)
-        pred = near.join(tr.select(F.col("id").alias("pid"), "label"), "pid").groupBy(F.col("qid").alias("id")).agg(
-            F.avg("label").alias("prediction"))
+        near = near.join(tr.select(F.col("id").alias("pid"), "label"), "pid")
+        exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("qid"))  # k rows a query
+        w = F.lit(1.0) if weights == "uniform" else F.when(exact == 1, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+        pred = near.withColumn("w", w).groupBy(F.col("qid").alias("id")).agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
     return numbered[1].join(pred.withColumnRenamed("id", "_rid"), "_rid").drop("_rid")
 
 
-def _own_model(name: str, train: DataFrame, test: DataFrame, names: list[str]):
+def _own_model(name: str, task: str, train: DataFrame, test: DataFrame, names: list[str], params: dict | None = None):
     """(model or None, predictions) of the models that MLlib lacks, over prepared columns."""
+    from . import boosting, ensembles_extra, extra_trees
     from . import models_extra as X
+    p, classify = dict(params or {}), task == "classification"
     if name == "knn":
-        return None, _knn_predictions(train, test, 5, True)
-    if name == "knn_regression":
-        return None, _knn_predictions(train, test, 5, False)
-    if name == "mlp_regression":
-        model = X.mlp_regressor_fit(train, names, "label")
+        return None, _knn_predictions(train, test, p.pop("n_neighbors", 5), classify, **p)
+    if name == "mlp":
+        hidden = p.pop("hidden_layer_sizes", (100,))
+        if len(hidden) != 1:
+            raise ValueError("the MLP regressor has one hidden layer")
+        model = X.mlp_regressor_fit(train, names, "label", hidden=hidden[0], **p)
     elif name == "svm":
-        model = X.rbf_svm_fit(train, names)
+        if p.get("kernel", "rbf") == "rbf" and set(p) <= {"C", "kernel", "gamma"} and train.select("label").distinct().count() == 2:
+            model = X.rbf_svm_fit(train, names, C=p.get("C", 1.0))  # "scale" and "auto" agree on standardised features
+        else:
+            model = ensembles_extra.svm_probabilities(train, names, "label", **p)
+    elif name == "lda":
+        p.pop("solver", None)  # one answer, whatever the solver
+        model = X.lda_fit(train, names, "label", **p)
+    elif name == "adaboost":
+        model = (X.adaboost_fit if classify else ensembles_extra.adaboost_r2)(train, names, "label", **p)
+    elif name == "extra_trees":
+        model = extra_trees.extra_trees(train, names, "label", task, **p)
     else:
-        model = {"lda": X.lda_fit, "adaboost": X.adaboost_fit}[name](train, names, "label")
+        renamed = {"iterations": "n_estimators", "depth": "max_depth"}
+        model = boosting.boost(train, names, "label", task, name, **{renamed.get(k, k): v for k, v in p.items()})
     pred = model.transform(test)
     return model, pred.withColumn("prediction", F.col("prediction").cast("double"))
 
 
 #: models beyond MLlib's, by registry name
-_OWN_CLASSIFIERS = {"svm": "svm", "knn": "knn", "lda": "lda", "adaboost": "adaboost"}
-_OWN_REGRESSORS = {"mlp": "mlp_regression", "knn": "knn_regression"}
+_OWN_CLASSIFIERS = ("svm", "knn", "lda", "adaboost", "extra_trees", "xgboost", "lightgbm", "catboost")
+_OWN_REGRESSORS = ("mlp", "knn", "adaboost", "extra_trees", "xgboost", "lightgbm", "catboost")
+#: strategies that make rows up, from prepared features
+_SYNTHETIC = ("smote", "adasyn", "smote_tomek")
 
 
 def train_and_score(model_name: str, task: str, train: DataFrame, test: DataFrame, numeric, categorical, label: str,
-                    weight_col: str | None = None, balanced: bool = False):
+                    weight_col: str | None = None, balanced: bool = False, params: dict | None = None,
+                    balance_strategy: str | None = None):
     """Fit on ``train``, predict ``test``; returns (fitted model, predictions). Rows without
     a feature or label are left out of both. ``balanced`` weights training rows by their
-    class (models without row weights ignore it)."""
+    class (models without row weights ignore it). ``params`` are the model's, by the names of
+    ``tuning.GRIDS``. ``balance_strategy`` makes up training rows of small classes, from the
+    prepared (scaled and one-hot) features, as the reference's pipelines do."""
     used = [*numeric, *categorical, label]
     train, test = train.dropna(subset=used), test.dropna(subset=used)
     if balanced and task == "classification":
         from .prep import with_class_weight
         weight_col = "_class_weight"
         train = with_class_weight(train, label, weight_col)
-    own = (_OWN_CLASSIFIERS if task == "classification" else _OWN_REGRESSORS).get(model_name)
+    own = model_name in (_OWN_CLASSIFIERS if task == "classification" else _OWN_REGRESSORS)
+    synthetic = task == "classification" and balance_strategy in _SYNTHETIC
+    if not own and not synthetic:
+        pipe = build_pipeline(model_name, task, numeric, categorical, label, train, weight_col, params)
+        model = pipe.fit(train)
+        return model, model.transform(test)
+    first = (StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
+             if task == "classification" else _Identity(label))
+    fitted = Pipeline(stages=[first, *feature_stages(numeric, categorical)]).fit(train)
+    rows, names = _wide(fitted, train)
+    scored = _wide(fitted, test, len(names))[0]
+    if synthetic:
+        rows = _balanced_rows(rows, names, balance_strategy)
     if own:
-        first = (StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
-                 if task == "classification" else _Identity(label))
-        fitted = Pipeline(stages=[first, *feature_stages(numeric, categorical)]).fit(train)
-        rows, names = _wide(fitted, train)
-        return _own_model(own, rows, _wide(fitted, test, len(names))[0], names)
-    pipe = build_pipeline(model_name, task, numeric, categorical, label, train, weight_col)
-    model = pipe.fit(train)
-    return model, model.transform(test)
+        return _own_model(model_name, task, rows, scored, names, params)
+    n, classes = rows.count(), rows.select("label").distinct().count()
+    reg = _classifiers(n, classes, len(names))
+    if model_name not in reg:
+        raise KeyError(f"unknown model '{model_name}'; choose from {sorted(model_names(task))}")
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    model = _with_params(reg[model_name](), model_name, params, n).fit(assemble.transform(rows))
+    return model, model.transform(assemble.transform(scored))
+
+
+def _balanced_rows(rows: DataFrame, names: list[str], strategy: str) -> DataFrame:
+    """Prepared rows and made-up ones (label, features). Row numbers are fixed by a checkpoint; one of the result
+    spares every pass of a fit the neighbour joins."""
+    from pyspark.sql.functions import array
+
+    from ..session import ensure_checkpoint_dir
+    from .prep import balance
+    ensure_checkpoint_dir(rows.sparkSession)
+    numbered = rows.select("label", *names).withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
+    more = balance(numbered, "label", "_rid", strategy, names)
+    return more.select(F.col("label").cast("double").alias("label"), *names).withColumn("_a", array(*names)).checkpoint()
 
 
 def classification_scores(pred: DataFrame) -> DataFrame:
@@ -271,9 +341,11 @@ def kfold_cv(task: str, df: DataFrame, numeric, categorical, label: str, key: st
     for f in range(k):
         train = folded.where(F.col("fold") != f)
         test = folded.where(F.col("fold") == f)
-        if task == "classification" and balance_strategy:
+        made_up = balance_strategy if balance_strategy in _SYNTHETIC else None
+        if task == "classification" and balance_strategy and not made_up:
             train = balance(train, label, key, balance_strategy, numeric)
-        _, pred = train_and_score(model_name, task, train, test, numeric, categorical, label)
+        _, pred = train_and_score(model_name, task, train, test, numeric, categorical, label,
+                                  balanced=balance_strategy == "class_weight", balance_strategy=made_up)
         if task == "classification":
             scores.append(float(pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]))
         else:

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .neighbors import knn_join
 from .order import ordered_prefix
 
@@ -133,8 +134,10 @@ def tomek_links(df: DataFrame, label: str, key: str, features: Sequence[str]) ->
 
 
 def smote_tomek(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """SMOTE, then both members of every Tomek link are removed."""
-    res = smote(df, label, key, features, k, seed).persist()
+    """SMOTE, then both members of every Tomek link are removed. The rows made are checkpointed: the
+    neighbour join reads them many times, and their plan would be in it as often."""
+    ensure_checkpoint_dir(df.sparkSession)
+    res = smote(df, label, key, features, k, seed).checkpoint()
     links = tomek_links(res, label, key, features)
     drop = links.select(F.col("a").alias(key)).union(links.select(F.col("b").alias(key))).distinct()
     return res.join(drop, key, "left_anti")
