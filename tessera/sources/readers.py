@@ -4,16 +4,17 @@
   then one aggregate decides every column's type.
 * TXT: whitespace-separated (the CSV reader has no regex separator): ``read.text`` ->
   ``split(trim(value), '\\s+')`` -> typed by a one-pass castability check.
-* Encoding detection runs as a Spark job over ``binaryFile``: each file's first 200 000
-  bytes are strict-decoded against the candidate list in a ``mapInPandas`` task; files
-  are then read with that encoding. No chardet in this environment, so the
-  candidate order (UTF-8 with/without BOM, then the CJK code pages) decides; latin-1 is
-  the last resort.
+* Encoding detection runs as a Spark job: every file's bytes are strict-decoded against the
+  candidate list, each file for itself and whole (``detect_encodings`` looks at the first
+  200 000 bytes only); files are then read with that encoding. No chardet in this
+  environment, so the candidate order (UTF-8 with/without BOM, then the CJK code pages)
+  decides; latin-1 is the last resort.
 * Excel (.xlsx) and SAS: ``binaryFile`` -> per-file decoder in ``mapInPandas``.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import os
 import re
@@ -21,7 +22,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.errors import PySparkException
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,48 +127,63 @@ def _csv_strings(spark: SparkSession, paths, encoding: str, delimiter: str, mult
     return r
 
 
-def _undecoded(spark: SparkSession, df: DataFrame, paths, encoding: str) -> bool:
-    """Whether some bytes of the whole files do not decode: for UTF-8 by the raw lines, else by
-    the mark that the decoder leaves in a value or column name."""
-    if encoding in ("utf-8", "utf-8-sig"):
-        return not spark.read.text(paths).where(~F.is_valid_utf8("value")).isEmpty()
-    bad = F.lit(False)
-    for c in df.columns:
-        bad = bad | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
-    return any("\ufffd" in c for c in df.columns) or not df.where(bad).isEmpty()
+def file_encodings(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """S3 over whole files: (path, encoding) of every file, the first candidate under which all of its
+    bytes decode strictly and its header has at most MAX_COLUMNS columns; latin-1 if none does.
+    Tasks decode the lines they hold (no candidate has a line end within a character), so a
+    large file is spread over tasks, and each file is judged for itself."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
+                                         (F.col("_metadata.file_block_start") == 0).alias("begins"))
 
-
-def _decoded(spark, paths, candidates, delimiter, multi_line):
-    """The first candidate under which the whole files decode and have at most MAX_COLUMNS
-    columns; the last one (latin-1, which decodes anything) is taken as it is."""
-    for enc in candidates:
+    def fits(enc: str, data: bytes, header: bytes | None) -> bool:
         try:
-            df = _csv_strings(spark, paths, enc, delimiter, multi_line)
-            if enc == candidates[-1] or (len(df.columns) <= MAX_COLUMNS and not _undecoded(spark, df, paths, enc)):
-                return df
-        except PySparkException:
-            if enc == candidates[-1]:
-                raise
-    raise ValueError("no encoding to try")
+            data.decode(enc)
+            return header is None or len(next(csv.reader([header.decode(enc)], delimiter=delimiter), [])) <= MAX_COLUMNS
+        except (UnicodeDecodeError, csv.Error):
+            return False
+
+    def judge(batches):
+        seen = set()
+        for batch in batches:
+            at, lines_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            begins, rows, i = batch.column(2).to_pylist(), [], 0
+            while i < len(at):
+                j = i
+                while j < len(at) and at[j] == at[i]:
+                    j += 1
+                header = lines_of[i] if begins[i] and at[i] not in seen else None
+                seen.add(at[i])
+                data = b"\n".join(lines_of[i:j])
+                mask = sum(fits(enc, data, header) << k for k, enc in enumerate(FALLBACK_ENCODINGS))
+                rows.append((at[i], mask, header is not None and header.startswith(b"\xef\xbb\xbf")))
+                i = j
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2])], names=["file", "mask", "bom"])
+
+    masks = lines.mapInArrow(judge, "file string, mask int, bom boolean").groupBy("file").agg(F.bit_and("mask").alias("mask"), F.max("bom").alias("bom"))
+    first = F.coalesce(*(F.when(F.col("mask").bitwiseAND(1 << k) > 0, enc) for k, enc in enumerate(FALLBACK_ENCODINGS)),
+                       F.when(F.col("mask").isNull(), FALLBACK_ENCODINGS[0]), F.lit("latin-1"))
+    marked = F.col("bom") & (F.col("mask").bitwiseAND(1 << FALLBACK_ENCODINGS.index("utf-8-sig")) > 0)
+    return files.join(masks, "file", "left").select("path", F.when(marked, "utf-8-sig").otherwise(first).alias("encoding"))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
              infer: bool = True, multi_line: bool = True) -> DataFrame:
-    """S1 (+S3, S4): header CSV; an explicit encoding bypasses detection. Files are read in
-    groups of one detected encoding and united by column name; a group whose bytes do not
-    all decode, or with more than 200 columns, goes to the next candidate. Missing tokens
-    become null before columns are typed. Quoted values may hold quotes and line ends
-    (``multi_line``; turn it off to let Spark split large files that have none)."""
+    """S1 (+S3, S4): header CSV; an explicit encoding bypasses detection. Every file is read in the
+    encoding that its own bytes decode in (``file_encodings``); files of one encoding are read
+    together and all are united by column name. Missing tokens become null before columns are
+    typed. Quoted values may hold quotes and line ends (``multi_line``; turn it off to let
+    Spark split large files that have none)."""
     if encoding:
-        groups = [(path, [encoding])]
+        groups = [(path, encoding)]
     else:
-        found = detect_encodings(spark, path).groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-        groups = [(r["paths"] if len(found) > 1 else path,
-                   [r["encoding"], *[e for e in FALLBACK_ENCODINGS if e != r["encoding"]], "latin-1"])
-                  for r in sorted(found, key=lambda r: r["encoding"])]
+        found = file_encodings(spark, path, delimiter or ",").groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+        groups = [(r["paths"] if len(found) > 1 else path, r["encoding"]) for r in sorted(found, key=lambda r: r["encoding"])]
     out = None
-    for paths, candidates in groups:
-        part = _decoded(spark, paths, candidates, delimiter or ",", multi_line)
+    for paths, enc in groups:
+        part = _csv_strings(spark, paths, enc, delimiter or ",", multi_line)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"could not read {path}: no files")

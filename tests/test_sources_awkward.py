@@ -37,6 +37,32 @@ def test_csv_bytes_beyond_the_sample_decide_too(spark, tmp_path):
     assert df.where("id = 2").first()["name"] == "高雄市中正區"
 
 
+def test_csv_folder_judges_each_file_by_all_its_bytes(spark, tmp_path):
+    """A file whose odd bytes come late does not drag files of the same detected encoding along."""
+    late = "id,name\n" + "1,plain\n" * 30_000
+    (tmp_path / "a.csv").write_bytes("id,name\n10,台北市\n".encode())
+    (tmp_path / "b.csv").write_bytes(late.encode() + "11,高雄市中正區\n".encode("cp950"))
+    (tmp_path / "c.csv").write_bytes("id,name\n12,caf\xe9 \xa0\xff\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes("id,name\n13,marked\n".encode("utf-8-sig"))
+    (tmp_path / "e f.csv").write_bytes(("id,name\n" + "2,plain\n" * 30_000 + "14,東京\n").encode())
+    got = {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in readers.file_encodings(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": "utf-8", "b.csv": "cp950", "c.csv": "latin-1", "d.csv": "utf-8-sig", "e f.csv": "utf-8"}
+    df = readers.read_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "name"] and df.count() == 60_005
+    assert {r["id"]: r["name"] for r in df.where("id >= 10").collect()} == {
+        10: "台北市", 11: "高雄市中正區", 12: "caf\xe9 \xa0\xff", 13: "marked", 14: "東京"}
+
+
+def test_csv_large_file_is_judged_in_parts(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"id,name\n" + b"1,plain\n" * 200_000 + "2,高雄\n".encode("cp950") + b"1,plain\n" * 200_000)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        assert readers.file_encodings(spark, str(tmp_path)).first()["encoding"] == "cp950"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_csv_replacement_characters_of_the_source_stay(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,odd � mark\n", encoding="utf-8")
     assert readers.read_csv(spark, str(tmp_path / "a.csv")).first()["name"] == "odd � mark"
