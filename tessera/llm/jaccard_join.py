@@ -18,12 +18,16 @@ Two sets of sizes m and n with 100 * intersection >= percent * union differ in a
 4. Crowded blocks (of a passage that many documents share, say) are left out exactly: of s
    strong blocks partners share s - D(n), so each set may leave out the (s - D(n) - 1) / 2
    fullest of its last division, and one that both keep remains.
-5. In each block one pivot, the set with most mates, is compared with the others: sizes, then
-   the short sketches, then the full sets. Components follow from the confirmed links. What
-   is left are the sets outside the pivot's component, which are compared with the others of
-   the block that are in another component, if sizes, distances from the pivot (the triangle
-   inequality of sketches) and sketches allow it, and then on the full sets. So a group of
-   thousands of near copies costs one comparison a set, and each outsider one a set.
+5. In each block one pivot, the set with most mates, is compared with the others: sizes, then the
+   short sketches, then the full sets. Components follow from the confirmed links. The sets
+   outside a block's largest component then meet another member of it, a different one in
+   each block, as long as that takes many of them in.
+6. Linked sets share a block and so a pivot. What is outside the largest component of a pivot's
+   sets is compared with those of them that are in another component: sizes, distances from
+   the pivot (the triangle inequality of sketches) and a sketch of ``WORDS`` words are looked at
+   within the join, so that only pairs come out that these allow; then the short sketches and
+   the full sets decide. A group of thousands of near copies so costs a few comparisons a
+   set; only sets that stay outside are looked at with every other set of their pivot.
 
 Defined results: null and wordless texts have an empty set, are linked with nothing and are
 their own component; repeated rows share their class; a null id takes part, but a component's
@@ -47,7 +51,9 @@ from .near_dedup import class_sets, components, enough, mixed, overlaps, set_key
 #: shingles a strong block holds at least
 STRONG = 2
 #: strong blocks are to be more than D(n) by this factor on average
-SURPLUS = 1.04
+SURPLUS = 1.15
+#: 64-bit words of the sketch that joins look at
+WORDS = 8
 #: sets a task remembers to have emitted
 REMEMBERED = 1 << 16
 _SALT = 0x9E3779B97F4A7C15
@@ -109,9 +115,9 @@ def emitted(items: np.ndarray, percent: int, per_block: float) -> list[tuple[lis
     return out
 
 
-def parity_sketch(items: np.ndarray) -> bytes:
-    """Two to four bits a shingle, a power of two of them (64 at least)."""
-    bits = max(64, 4 << band_of(len(items)))
+def parity_sketch(items: np.ndarray, bits: int | None = None) -> bytes:
+    """``bits`` parities; by default two to four a shingle, a power of two of them (64 at least)."""
+    bits = bits or max(64, 4 << band_of(len(items)))
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -134,7 +140,7 @@ LANES = 3
 
 def sketched(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Written table, one row a document: rid (its number), doc_id, th (text hash), n_shingles,
-    key (of the set) and, for the first document of a set in a task, sketch, keys by lane and
+    key (of the set) and, for the first document of a set in a task, sketch, words, keys by lane and
     what may be left out of lanes 0 and 1."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -147,7 +153,8 @@ def sketched(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             lanes[lane] = [keys[-1]]
             lanes[OTHERS] += keys[:-1]
             spare[lane] = may_go
-        return parity_sketch(items), *(np.concatenate(x).view(np.int64) if x else None for x in lanes), *spare
+        words = np.frombuffer(parity_sketch(items, 64 * WORDS), "<i8")
+        return parity_sketch(items), words, *(np.concatenate(x).view(np.int64) if x else None for x in lanes), *spare
 
     def run(batches):
         worker_table("none", dict)  # frees another operator's table
@@ -162,17 +169,17 @@ def sketched(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(key)
-                out.append((rid, len(items), key, *(one(items) if new else (None,) * 6)))
+                out.append((rid, len(items), key, *(one(items) if new else (None,) * 7)))
                 rid += 1
-            cols = list(zip(*out, strict=True)) if out else [()] * 9
+            cols = list(zip(*out, strict=True)) if out else [()] * 10
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "th", "rid", "n_shingles", "key", "sketch", "keys0", "keys1", "keys2", "spare0", "spare1"])
+                names=["doc_id", "th", "rid", "n_shingles", "key", "sketch", "words", "keys0", "keys1", "keys2", "spare0", "spare1"])
 
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.int32(), pa.int32()]
     kind = rows.schema["doc_id"].dataType.simpleString()
     return written(rows.mapInArrow(
-        run, f"doc_id {kind}, th long, rid long, n_shingles long, key binary, sketch binary, "
+        run, f"doc_id {kind}, th long, rid long, n_shingles long, key binary, sketch binary, words array<long>, "
              "keys0 array<long>, keys1 array<long>, keys2 array<long>, spare0 int, spare1 int"), "parity")
 
 
@@ -197,8 +204,8 @@ def shared_blocks(rows: DataFrame) -> DataFrame:
 
 
 def sketches_of(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """Written table (key, sketch) of the sets in ``member``."""
-    have = rows.where(F.col("sketch").isNotNull()).select("key", "sketch")
+    """Written table (key, sketch, words) of the sets in ``member``."""
+    have = rows.where(F.col("sketch").isNotNull()).select("key", "sketch", "words")
     return written(have.join(member.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "short")
 
 
@@ -224,23 +231,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return overlaps(pairs, sets).where(enough(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def outsiders(member: DataFrame, star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of a block in different components, a outside the pivot's, that sizes and
-    distances from the pivot allow; one row a pair."""
-    own = comp.select("key", "comp")
-    m = member.where("key <> p").join(own, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    m = m.join(own.select(F.col("key").alias("p"), F.col("comp").alias("main")), "p", "left").withColumn("main", F.coalesce("main", "p"))
-    m = m.withColumn("out", F.col("comp") != F.col("main"))
-    split = m.where("out").select("block").distinct()
-    m = m.join(split, "block", "left_semi").join(star.select(F.col("a").alias("key"), F.col("b").alias("p"), "far", "bits"), ["key", "p"])
-    m = written(m.select("block", "key", "n", "comp", "out", "far", "bits"), "outside")
-    x = m.where("out").select("block", *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "comp", "far", "bits")))
-    y = m.select("block", *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "comp", "out", "far", "bits")))
+def placed(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """``member`` with comp and out: whether the set is outside its block's largest component."""
+    m = member.join(comp.select("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    sizes = m.groupBy("block", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("size", "comp")).alias("m")).select("block", F.col("m.comp").alias("main"))
+    return m.join(main, "block").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+
+
+def taken_in(m: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of the sets outside and, from each block, another member of its largest component."""
+    other = m.where("not out").groupBy("block").agg(F.max(F.struct(F.xxhash64("block", "key", F.lit(turn)).alias("h"), "key", "n")).alias("o"))
+    met = m.where("out").join(other, "block").select(F.col("key").alias("a"), F.col("o.key").alias("b"), F.col("n").alias("na"), F.col("o.n").alias("nb"))
+    return met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
+
+
+def outsiders(member: DataFrame, star: DataFrame, comp: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of sets with a common pivot in different components, a outside the largest one, that
+    sizes, distances from the pivot and sketch words allow; one row a pair."""
+    m = placed(member.select(F.col("p").alias("block"), "key", "n").distinct(), comp).withColumnRenamed("block", "p")
+    m = m.where("key <> p").join(m.where("out").select("p").distinct(), "p", "left_semi")
+    m = m.join(star.select(F.col("a").alias("key"), F.col("b").alias("p"), "far", "bits"), ["key", "p"]).join(words, "key")
+    m = written(m.select("p", "key", "n", "comp", "out", "far", "bits", "words"), "outside")
+    x = m.where("out").select("p", *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "comp", "far", "bits", "words")))
+    y = m.select("p", *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "comp", "out", "far", "bits", "words")))
     size = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     apart = (F.col("comp_x") != F.col("comp_y")) & (~F.col("out_y") | (F.col("key_x") < F.col("key_y")))
-    gap = (F.col("bits_x") != F.col("bits_y")) | (
-        (100 + percent) * F.abs(F.col("far_x") - F.col("far_y")) <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
-    return x.join(y.hint("merge"), "block").where(size & apart & gap).select(
+    close = lambda d: (100 + percent) * d <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    gap = (F.col("bits_x") != F.col("bits_y")) | close(F.abs(F.col("far_x") - F.col("far_y")))
+    differ = sum((F.bit_count(F.col("words_x")[i].bitwiseXOR(F.col("words_y")[i])) for i in range(1, WORDS)),
+                 F.bit_count(F.col("words_x")[0].bitwiseXOR(F.col("words_y")[0])))
+    return x.join(y.hint("merge"), "p").where(size & apart & gap & close(differ)).select(
         F.col("key_x").alias("a"), F.col("key_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct()
 
 
@@ -253,14 +274,23 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, percent: int, id_col: s
     ids = rows.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
     sets = class_sets(docs, ids.join(wanted.select("key"), "key"), width, id_col, text_col)
     sketches = sketches_of(rows, member)
+    words = sketches.select("key", "words")
     member = member.drop("mates").join(wanted, "key")
     pivots = member.groupBy("block").agg(F.max(F.struct("degree", "key", "n")).alias("p"))
     member = written(member.join(pivots, "block").select("block", "key", "n", F.col("p.key").alias("p"), F.col("p.n").alias("np")), "members")
     star = member.where("key <> p").select(F.col("key").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb")).distinct()
     star = written(near(star, sketches, percent), "stars")
     links = written(verified(star.where("near").select("a", "b", "na", "nb"), sets, percent), "links")
-    comp = components(links)
-    rest = near(outsiders(member, star, comp, percent), sketches, percent).where("near").select("a", "b", "na", "nb")
+    comp, turn, outside = components(links), 0, None
+    while True:
+        m = written(placed(member, comp), "placed")
+        was, outside = outside, m.where("out").count()
+        if not outside or (was is not None and 5 * outside > 4 * was):
+            break
+        found = near(taken_in(m, turn, percent), sketches, percent).where("near").select("a", "b", "na", "nb")
+        links = written(links.union(verified(found, sets, percent)), "links")
+        comp, turn = components(links), turn + 1
+    rest = near(outsiders(member, star, comp, words, percent), sketches, percent).where("near").select("a", "b", "na", "nb")
     found = written(verified(rest, sets, percent), "links")
     return comp if found.isEmpty() else components(links.union(found))
 
