@@ -168,3 +168,20 @@ def ptukey_sf(q: float, k: int, df: float, n_nodes: int = 64) -> float:
     vals = np.array([prange(q * si) for si in s])
     cdf = float(smax / 2 * np.sum(ws * dens * vals))
     return min(1.0, max(0.0, 1.0 - cdf))
+
+
+def kendall_exact_p(n: int, discordant: int) -> float:
+    """Two-sided p-value of Kendall's tau without ties: the share of the n! orders whose number of inversions is
+    at least as far out. Orders by inversions follow from adding one element at a time, which brings 0, 1, ... new ones."""
+    pairs = n * (n - 1) // 2
+    low = min(discordant, pairs - discordant)
+    ways = [1] + [0] * low  # orders with 0 ... low inversions, as whole numbers
+    for m in range(2, n + 1):
+        run, new = 0, []
+        for k in range(low + 1):
+            run += ways[k] - (ways[k - m] if k >= m else 0)
+            new.append(run)
+        ways = new
+    if 2 * low == pairs:
+        return 1.0
+    return min(1.0, 2 * sum(ways) / math.factorial(n))

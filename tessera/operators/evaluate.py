@@ -40,6 +40,19 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
                     F.col("support").cast("long").alias("support"))
 
 
+def report_with_averages(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """M4, whole: the classes' rows, then accuracy (its value in the three scores) and the plain and the
+    support-weighted means of the classes, each with the number of rows."""
+    rep = classification_report(df, y, yhat).persist(StorageLevel.MEMORY_AND_DISK)
+    n = F.sum("support").alias("support")
+    scores = ("precision", "recall", "f1")
+    plain = rep.agg(F.lit("macro avg").alias("class"), *(F.avg(c).alias(c) for c in scores), n)
+    weighted = rep.agg(F.lit("weighted avg").alias("class"), *(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores), n)
+    right = rep.agg(F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("a"), n)
+    accuracy = right.select(F.lit("accuracy").alias("class"), *(F.col("a").alias(c) for c in scores), "support")
+    return rep.union(accuracy).union(plain).union(weighted)
+
+
 def classification_metrics(df: DataFrame, y: str, yhat: str, positive=None) -> DataFrame:
     """M1/M2: accuracy; precision/recall/F1 binary (positive = the larger label, or the one
     given) when y has exactly two classes, else support-weighted. One row."""

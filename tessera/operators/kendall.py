@@ -12,8 +12,8 @@ and discordant swaps the bits. Each row appears once per level (m <= 2^B, B leve
 (level, prefix, x) cells are aggregated (hot values collapse into one cell), and the
 "x' < x" counts are exclusive running sums from ``ordered_prefix``: an O(n log m)
 distributed plan; no pair is ever materialised. Ties in x are excluded by the strict
-order of the prefix, ties in y by the bit split. tau-b and the tie-corrected normal
-approximation of its p-value (as scipy's asymptotic method) follow from these counts.
+order of the prefix, ties in y by the bit split. tau-b and its p-value follow from these
+counts: exact where nothing is tied and n is small, else the tie-corrected normal approximation.
 """
 
 from __future__ import annotations
@@ -81,5 +81,8 @@ def kendall_tau_b(df: DataFrame, pairs) -> DataFrame:
                    + 2.0 * r["x_tie"] * r["y_tie"] / (n * (n - 1))
                    + r["x_t0"] * r["y_t0"] / (9.0 * n * (n - 1) * (n - 2)))
             p = special.norm_sf2(s / math.sqrt(var)) if var > 0 else 1.0
+            discordant = round((tot - s) / 2)
+            if not r["x_tie"] and not r["y_tie"] and (n <= 33 or min(discordant, tot - discordant) <= 1):
+                p = special.kendall_exact_p(n, discordant)  # scipy's rule for the exact distribution
         rows.append((a, b, n, tau, p))
     return spark.createDataFrame(rows, "col_a string, col_b string, n long, r double, p_value double")
