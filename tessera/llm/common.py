@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +75,19 @@ def worker_table(key, make):
     it, and it is freed as soon as a task asks for another."""
     if key not in _TABLE:
         _TABLE.clear()
+        give_back()
         _TABLE[key] = make()
     return _TABLE[key]
 
 
+def give_back() -> None:
+    """Return what this worker process has freed to the system: it stays for other stages' tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

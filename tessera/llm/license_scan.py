@@ -19,14 +19,13 @@ read; a sentence twice in a text is two identifiers; an empty table gives an emp
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: fragments of a run in the oracle's SQL only, which is left as it was
-ORACLE_WRAP = 6
-
 #: known sentences by identifier (fixed values: the licences' own wording, normalised)
 SENTENCES = {
     "spdx_mit": "spdx license identifier mit",
@@ -57,10 +56,28 @@ SENTENCES = {
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl21_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "mpl2_name": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 
+#: SPDX identifiers and expressions known beside those above (fixed values: the list's own names)
+SPDX = ("GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+        "AGPL-3.0-or-later", "BSD-2-Clause", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+        "MIT OR Apache-2.0", "Apache-2.0 OR MIT")
+
+
+def _spdx(name: str) -> tuple[str, str]:
+    """(identifier, normalised sentence) of a line that names a licence or an expression."""
+    norm = re.sub("[^a-z0-9]+", " ", name.lower())
+    return "spdx_" + norm.replace(" ", "_"), "spdx license identifier " + norm
+
+
+SENTENCES |= dict(map(_spdx, SPDX))
+
 #: ordered rules: the first that matches takes its identifiers
 RULES = (
     ("MIT", ("mit_grant", "mit_notice", "as_is")),
@@ -69,6 +86,8 @@ RULES = (
     ("Apache-2.0", ("apache_notice", "apache_comply")),
     ("GPL-3.0-or-later", ("gpl_free", "gpl3_terms")),
     ("GPL-2.0-or-later", ("gpl_free", "gpl2_terms")),
+    ("LGPL-2.1-or-later", ("lgpl21_terms",)), ("LGPL-3.0-or-later", ("lgpl3_terms",)), ("AGPL-3.0-or-later", ("agpl3_terms",)),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("ISC", ("isc_grant",)),
     ("MPL-2.0", ("mpl2_name",)),
@@ -78,6 +97,7 @@ RULES = (
     ("MIT", ("mit_name",)), ("MIT", ("mit_name2",)), ("MIT", ("mit_grant",)),
     ("MIT", ("spdx_mit",)), ("Apache-2.0", ("spdx_apache2",)), ("GPL-2.0", ("spdx_gpl2",)),
     ("GPL-3.0-or-later", ("spdx_gpl3",)), ("BSD-3-Clause", ("spdx_bsd3",)),
+    *((name, (_spdx(name)[0],)) for name in SPDX),
 )
 
 #: every known sentence has one of these
@@ -130,18 +150,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def oracle() -> str:
     """DuckDB SQL of the query's rows."""
-    known = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
+    known = ", ".join(f"('{v}', '{k}', {len(v.split())})" for k, v in SENTENCES.items())
     steps = ", ".join(f"r{i} AS (SELECT doc_id, n, ids, CASE WHEN contains(s, ',{','.join(q)},') THEN replace(s, ',{','.join(q)},', ',,') ELSE s END AS s, "
                       f"CASE WHEN contains(s, ',{','.join(q)},') THEN list_append(got, '{name}') ELSE got END AS got FROM r{i - 1})"
                       for i, (name, q) in enumerate(RULES, 1))
     return rf"""
-WITH known(norm, id) AS (VALUES {known}),
+WITH known(norm, id, words) AS (VALUES {known}),
 f0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
   lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS f FROM documents
   WHERE regexp_matches(lower(text), '{TRIGGER}')),
 f1 AS (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM f0),
-f2 AS (SELECT doc_id, i, k, array_to_string(f[i:i + k - 1], ' ') AS norm, len(f) AS m FROM f1, range(1, {ORACLE_WRAP + 1}) t(k) WHERE i + k - 1 <= len(f)),
-h AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i, k) AS ids FROM f2 JOIN known USING (norm) GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i, length(norm)) AS ids FROM f1 JOIN known ON starts_with(norm, f[i])
+  AND len(list_filter(range(1, words + 1), lambda k: array_to_string(f[i:i + k - 1], ' ') = norm AND i + k - 1 <= len(f))) > 0 GROUP BY doc_id),
 r0 AS (SELECT doc_id, n, ids, ',' || ids || ',' AS s, CAST([] AS VARCHAR[]) AS got FROM h), {steps}
 SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_sentences, coalesce(ids, '') AS sentence_ids,
   coalesce(array_to_string(got, ','), '') AS licences FROM documents d LEFT JOIN r{len(RULES)} r ON d.doc_id = r.doc_id"""

@@ -54,8 +54,8 @@ class WordIds(dict):
     #: letters and a run of ASCII marks without the apostrophe: two pre-tokens
     MARKED = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)").fullmatch
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, most: int = CACHE_WORDS):
+        self.tokenizer, self.most = tokenizer, most
         # a pre-token's last piece ends with the word-end mark
         self.ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -122,7 +122,7 @@ class WordIds(dict):
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids per text), without end ids."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.reset()
         rows, n_words = array("I"), []
         for text in texts:
@@ -173,10 +173,10 @@ def by_bytes(batch: pa.RecordBatch):
         yield ids, texts
 
 
-def _load(path: str) -> WordIds:
+def _load(path: str, most: int = CACHE_WORDS) -> WordIds:
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(path))
+    return WordIds(Tokenizer.from_file(path), most)
 
 
 def _chunk(shard, seq, first, ids, doc_ids, doc_lens) -> pa.RecordBatch:
@@ -188,15 +188,16 @@ def _chunk(shard, seq, first, ids, doc_ids, doc_lens) -> pa.RecordBatch:
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
-                    id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encode and write; one shuffle, of the texts by ranges of the id."""
+                    id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> str:
+    """Encode and write; one shuffle, of the texts by ranges of the id. A worker keeps the ids of
+    ``cache_words`` words at most, some 200 bytes each."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def encode(batches):
-        words, shard = worker_table(tokenizer, lambda: _load(tokenizer)), TaskContext.get().partitionId()
+        words, shard = worker_table((tokenizer, cache_words), lambda: _load(tokenizer, cache_words)), TaskContext.get().partitionId()
         seq, first, held, doc_ids, doc_lens, n_held = 0, 0, [], [], [], 0
         for batch in batches:
             for ids, texts in by_bytes(batch):

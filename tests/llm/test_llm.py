@@ -274,3 +274,35 @@ def test_repeats_hot_passage_goes_to_a_bucket_once_a_slice(spark, monkeypatch):
                     gone[p:p + 400] = True
             kept = np.frombuffer(x.encode(), np.uint8)[~gone].tobytes()
             assert (r["n_removed"], r["kept_sha256"]) == (gone.sum(), hashlib.sha256(kept).hexdigest())
+
+
+def test_licence_families(spark):
+    k = license_scan.SENTENCES
+    bsd2 = f"{k['bsd_grant']}:\n1. {k['bsd_source']}.\n2. {k['bsd_binary']}."
+    cut = lambda t: t.rfind(" ", 0, 60)
+    gnu = lambda t: f"This library is free software; {t[:cut(t)]}\n * {t[cut(t) + 1:]}."
+    texts = {
+        bsd2: ["BSD-2-Clause"], f"{bsd2}\n3. {k['bsd_endorse']}.": ["BSD-3-Clause"],
+        gnu(k["lgpl21_terms"]): ["LGPL-2.1-or-later"], gnu(k["lgpl3_terms"]): ["LGPL-3.0-or-later"], gnu(k["agpl3_terms"]): ["AGPL-3.0-or-later"],
+        "# SPDX-License-Identifier: AGPL-3.0-or-later": ["AGPL-3.0-or-later"], "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["MIT OR Apache-2.0"], "SPDX-License-Identifier: MIT": ["MIT"],
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0 OR MIT"], "SPDX-License-Identifier: MIT AND unknown": [],
+    }
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(0, rows[0][1], 2)], "doc_id long, text string, licences int")
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(df).collect()}
+    assert {t: got[i] for i, t in rows} == texts
+    long = "plain words without end " * 40_000 + ". Licensed under the MIT License."
+    assert license_scan.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["licences"] == ["MIT"]
+
+
+def test_licence_sql_joins_any_number_of_lines(spark):
+    import duckdb
+
+    grant = license_scan.SENTENCES["mit_grant"].replace(" ", "\n")
+    df = spark.createDataFrame([(1, f"{grant}:"), (2, "Licensed under the\nMIT License"), (3, None), (4, "")], "doc_id long, text string")
+    with duckdb.connect() as con:
+        con.register("documents", df.toPandas())
+        want = sorted(con.execute(f"SELECT doc_id, n_sentences, sentence_ids, licences FROM ({license_scan.oracle()})").fetchall())
+    got = sorted((r["doc_id"], len(r["sentence_ids"]), ",".join(r["sentence_ids"]), ",".join(r["licences"])) for r in license_scan.scan(df).collect())
+    assert got == want and want[0][1:] == (1, "mit_grant", "MIT")
