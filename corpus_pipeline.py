@@ -18,6 +18,8 @@ from tessera.llm.common import table, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: a text whose best language has a smaller share of its words is rejected as unidentified
 MIN_LANGUAGE_SCORE = 0.35
+#: words a worker keeps the ids of: fewer than alone, beside what the stages before have left in memory
+CACHE_WORDS = 300_000
 
 
 def _rows(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -52,7 +54,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token ids and read them back."""
-    return token_ids.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_ids.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [
