@@ -33,7 +33,7 @@ class RandomTree:
     """Growing columns of nodes; feature -1 is a leaf. Values up to the threshold go left."""
 
     def __init__(self, total: np.ndarray):
-        self.feature, self.threshold, self.left, self.total, self.depth = [-1], [0.0], [0], [total], [0]
+        self.feature, self.threshold, self.left, self.total = [-1], [0.0], [0], [total]
 
     def split(self, node: int, feature: int, threshold: float, left: np.ndarray) -> list[int]:
         at = len(self.feature)
@@ -43,7 +43,6 @@ class RandomTree:
             self.threshold.append(0.0)
             self.left.append(0)
             self.total.append(total)
-            self.depth.append(self.depth[node] + 1)
         return [at, at + 1]
 
     def arrays(self) -> tuple[np.ndarray, ...]:
@@ -160,40 +159,65 @@ def _left_sums(rows: DataFrame, trees: list, places: list[np.ndarray], cuts: tup
     return out.reshape(len(feature), n_cuts, n_sums)
 
 
+def draws(seed: int, tree: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
+    """n numbers in [0, 1) for each node: hashes of (seed, tree, node, place)."""
+    h = (np.asarray(tree, np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.asarray(node, np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)
+         + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(seed))
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(k)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2 ** 53
+
+
+def chosen_cuts(draw: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, thresholds), nodes x n: those with the least draws among features that are not constant,
+    cut uniformly between the extremes; -1 where there are fewer."""
+    rank = np.where(hi > lo, draw[:, :lo.shape[1]], np.inf)
+    f = np.argsort(rank, axis=1, kind="stable")[:, :n]
+    at = np.arange(len(lo))[:, None]
+    # a cut below the greatest value leaves a row on each side
+    cut = np.minimum(lo[at, f] + draw[at, lo.shape[1] + f] * (hi[at, f] - lo[at, f]), np.nextafter(hi[at, f], -np.inf))
+    some = np.isfinite(rank[at, f])
+    return np.where(some, f, -1), np.where(some, cut, -np.inf)
+
+
 def _grow(rows: DataFrame, numbers: range, total: np.ndarray, n_features: int, n_classes: int, p: dict) -> list[RandomTree]:
     trees = [RandomTree(total) for _ in numbers]
-    is_open = lambda t, node: (
-        t.depth[node] < p["max_depth"] and impurity(t.total[node], n_classes) > 1e-9
-        and (t.total[node].sum() if n_classes else t.total[node][0]) >= p["min_samples_split"])
-    opened = [(k, 0) for k, t in enumerate(trees) if is_open(t, 0)]
-    while opened:
+
+    def may_split(totals: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        n = totals.sum(1) if n_classes else totals[:, 0]
+        return (depth < p["max_depth"]) & (impurity(totals, n_classes) > 1e-9) & (n >= p["min_samples_split"])
+
+    k, node = np.arange(len(trees)), np.zeros(len(trees), np.int64)
+    here, depth = np.tile(total, (len(trees), 1)), np.zeros(len(trees), np.int64)
+    while True:
+        on = may_split(here, depth)
+        k, node, here, depth = k[on], node[on], here[on], depth[on]
+        if not len(k):
+            return trees
         places = [np.full(len(t.feature), -1) for t in trees]
-        for i, (k, node) in enumerate(opened):
-            places[k][node] = i
+        for t in range(len(trees)):
+            places[t][node[k == t]] = np.flatnonzero(k == t)
         arrays = [t.arrays() for t in trees]
         r = _ranges(rows, arrays, places, n_features)
-        lo, hi = np.zeros((2, len(opened), n_features))
+        lo, hi = np.zeros((2, len(k), n_features))
         for out, c in ((lo, "lo"), (hi, "hi")):
             out[r["place"], r["f"]] = r[c]
-        feature = np.full((len(opened), p["max_features"]), -1)
-        threshold = np.full(feature.shape, -np.inf)
-        for i, (k, node) in enumerate(opened):
-            draw = np.random.default_rng([p["seed"], numbers[k], node])
-            f = draw.permutation(np.flatnonzero(hi[i] > lo[i]))[:p["max_features"]]
-            # a cut below the greatest value leaves a row on each side
-            cut = np.minimum(draw.uniform(lo[i, f], hi[i, f]), np.nextafter(hi[i, f], -np.inf))
-            feature[i, :len(f)], threshold[i, :len(f)] = f, cut
+        draw = draws(p["seed"], np.array(numbers)[k], node, 2 * n_features)
+        feature, threshold = chosen_cuts(draw, lo, hi, p["max_features"])
         left = _left_sums(rows, arrays, places, (feature, threshold), n_features, n_classes, len(total))
-        here = np.array([trees[k].total[node] for k, node in opened])
         lower = impurity(left, n_classes) + impurity(here[:, None, :] - left, n_classes)
         best = np.where(feature >= 0, lower, np.inf).argmin(1)
+        at = np.arange(len(k))
+        f, cut, left = feature[at, best], threshold[at, best], left[at, best]
         after = []
-        for i, (k, node) in enumerate(opened):
-            t, j = trees[k], best[i]
-            if feature[i, j] >= 0 and len(t.feature) + 2 <= p["max_nodes"]:
-                after += [(k, c) for c in t.split(node, int(feature[i, j]), float(threshold[i, j]), left[i, j]) if is_open(t, c)]
-        opened = after
-    return trees
+        for i in np.flatnonzero(f >= 0).tolist():
+            t = trees[k[i]]
+            if len(t.feature) + 2 <= p["max_nodes"]:
+                after.append((i, t.split(int(node[i]), int(f[i]), float(cut[i]), left[i])[0]))
+        i, child = (np.array(x, np.int64) for x in (zip(*after) if after else ((), ())))
+        k, depth = np.repeat(k[i], 2), np.repeat(depth[i] + 1, 2)
+        node = (child[:, None] + np.arange(2)).ravel()
+        here = np.stack([left[i], here[i] - left[i]], 1).reshape(-1, len(total))
 
 
 def extra_trees(df: DataFrame, features: Sequence[str], label: str, task: str = "classification", n_estimators: int = 100,

@@ -9,4 +9,5 @@ from . import q_stream  # noqa: F401
 from . import q_neighbors  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_misc  # noqa: F401
+from . import q_more_models  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

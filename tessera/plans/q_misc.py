@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import binning, models, prep, profile, scorecard
+from ..operators import binning, models, prep, profile, scorecard, tuning
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from .q_profile import NUM8, _unpivot_sql
@@ -156,26 +156,19 @@ def q_s17_model_package(spark, sf):
     return loaded.transform(test).select("o_orderkey", "prediction")
 
 
-_TRIALS: dict[str, list] = {}  # trial logs (50 rows each) by table path, reused by K4
-
-
 @register("m10_random_search")
 def q_m10_random_search(spark, sf):
-    out = models.random_search(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderpriority"],
-                               "o_orderstatus", "o_orderkey", "decision_tree",
-                               {"maxDepth": ("int", 2, 12), "minInstancesPerNode": ("int", 1, 20)}, n_trials=50, k=3)
-    _TRIALS[sf] = [tuple(r) for r in out.collect()]
-    return spark.createDataFrame(_TRIALS[sf], out.schema)
+    return models.random_search(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderpriority"],
+                                "o_orderstatus", "o_orderkey", "decision_tree",
+                                {"maxDepth": ("int", 2, 12), "minInstancesPerNode": ("int", 1, 20)}, n_trials=50, k=3)
 
 
 @register("k04_top_trials")
 def q_k04_top_trials(spark, sf):
-    trials = (spark.createDataFrame(_TRIALS[sf], "trial int, params string, value double") if sf in _TRIALS
-              else q_m10_random_search(spark, sf))
-    return models.top_trials(trials, 10)
-
-
-
+    """The ten best of a search's trials, made from the table each time."""
+    found = tuning.sequential_search(table(spark, sf, "orders"), ["o_totalprice"], [], "o_orderstatus", "o_orderkey",
+                                     "logistic_regression", n_trials=12, k=2)
+    return models.top_trials(found.trials, 10)
 
 
 @register("c11_cv_score_box")

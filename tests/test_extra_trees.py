@@ -45,10 +45,10 @@ def test_every_node_keeps_the_better_of_its_cuts(line):
             if p.max() == 1:
                 assert feature[node] < 0
                 continue
-            draw = np.random.default_rng([7, number, node])
+            draw = E.draws(7, np.array([number]), np.array([node]), 6)[0]
             lo, hi = full[on].min(0), full[on].max(0)
-            f = draw.permutation(np.flatnonzero(hi > lo))[:2]
-            cuts = draw.uniform(lo[f], hi[f])
+            f = sorted(np.flatnonzero(hi > lo), key=lambda j: draw[j])[:2]
+            cuts = np.array([lo[j] + draw[3 + j] * (hi[j] - lo[j]) for j in f])
             gini = lambda s: s.sum() * (1 - sum((y[s] == k).mean() ** 2 for k in (0, 1)))
             scores = [gini(on & (full[:, j] <= c)) + gini(on & (full[:, j] > c)) for j, c in zip(f, cuts, strict=True)]
             best = int(np.argmin(scores))
