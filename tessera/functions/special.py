@@ -1,42 +1,45 @@
-"""Distribution functions for p-values (scipy is not available): regularised incomplete
-beta / gamma by continued fractions (Numerical Recipes style, ``math.lgamma``), normal
-via ``erfc``, studentized range by Gauss-Legendre quadrature. Scalars only: every test
-reduces the data to a handful of statistics on Spark first.
+"""Distribution functions for p-values (scipy is not available): the regularised incomplete beta
+and gamma functions from their continued fractions and series (NIST Digital Library of
+Mathematical Functions, 8.17.22, 8.9.2 in its contracted form, and 8.11.4), the normal law via
+``erfc``, the studentized range by Gauss-Legendre quadrature. Scalars only: every test reduces the
+data to a handful of statistics on Spark first.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
-_EPS = 1e-15
-_TINY = 1e-300
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return h
+PRECISION = 1e-15
+
+
+def continued_fraction(terms: Iterator[tuple[float, float]]) -> float:
+    """a1 / (b1 + a2 / (b2 + ...)) of pairs (a, b): numerators and denominators of the convergents follow one
+    recurrence, scaled so that the denominator stays 1, until the value settles."""
+    before, now, value = (1.0, 0.0), (0.0, 1.0), 0.0
+    for a, b in terms:
+        before, now = now, (b * now[0] + a * before[0], b * now[1] + a * before[1])
+        if now[1]:
+            before, now = (before[0] / now[1], before[1] / now[1]), (now[0] / now[1], 1.0)
+            if abs(now[0] - value) <= PRECISION * abs(now[0]):
+                return now[0]
+            value = now[0]
+    return value
+
+
+def _beta_terms(a: float, b: float, x: float) -> Iterator[tuple[float, float]]:
+    yield 1.0, 1.0
+    for k in range(1, 20_000):
+        m, odd = divmod(k, 2)
+        yield (-(a + m) * (a + b + m) if odd else m * (b - m)) * x / ((a + k - 1) * (a + k)), 1.0
+
+
+def _gamma_terms(a: float, x: float) -> Iterator[tuple[float, float]]:
+    yield 1.0, x + 1.0 - a
+    for k in range(1, 100_000):
+        yield k * (a - k), x + 2 * k + 1.0 - a
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -48,8 +51,8 @@ def betainc(a: float, b: float, x: float) -> float:
     lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     bt = math.exp(lbt)
     if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+        return bt * continued_fraction(_beta_terms(a, b, x)) / a
+    return 1.0 - bt * continued_fraction(_beta_terms(b, a, 1.0 - x)) / b
 
 
 def t_sf2(t: float, df: float) -> float:
@@ -71,40 +74,25 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
-def _gammainc_lower(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma P(a, x)."""
+def _power_factor(a: float, x: float) -> float:
+    """x ** a * exp(-x) / gamma(a)."""
+    return math.exp(a * math.log(x) - x - math.lgamma(a))
+
+
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma Q(a, x): the series of the lower one up to about its mean, the
+    continued fraction beyond."""
     if x <= 0:
-        return 0.0
-    if x < a + 1.0:
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(100000):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * _EPS:
-                break
-        return s * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    return 1.0 - _gammainc_upper_cf(a, x)
-
-
-def _gammainc_upper_cf(a: float, x: float) -> float:
-    b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, 100000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = d if abs(d) > _TINY else _TINY
-        c = b + an / c
-        c = c if abs(c) > _TINY else _TINY
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+        return 1.0
+    if x >= a + 1.0:
+        return _power_factor(a, x) * continued_fraction(_gamma_terms(a, x))
+    term = total = 1.0 / a
+    k = a
+    while term > PRECISION * total:
+        k += 1.0
+        term *= x / k
+        total += term
+    return 1.0 - _power_factor(a, x) * total
 
 
 def chi2_sf(x: float, df: float) -> float:
@@ -112,10 +100,7 @@ def chi2_sf(x: float, df: float) -> float:
         return float("nan")
     if x <= 0:
         return 1.0
-    a = df / 2.0
-    if x / 2.0 < a + 1.0:
-        return 1.0 - _gammainc_lower(a, x / 2.0)
-    return _gammainc_upper_cf(a, x / 2.0)
+    return gamma_upper(df / 2.0, x / 2.0)
 
 
 def norm_sf(z: float) -> float:
