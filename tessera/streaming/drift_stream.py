@@ -1,12 +1,13 @@
 """ST1: PSI per tumbling event-time window of a stream against fixed baseline edges.
 
-The stream is binned on the driver-fixed baseline edges (a literal array), and
-``groupBy(window(ts), bin).count()`` keeps per-window bin counts in streaming state
-with a watermark: rows within the delay are always counted, rows further behind may be
-dropped (Spark's watermark contract), and state of closed windows is evicted. ``foreachBatch`` appends each micro-batch's updated counts, tagged
-with the batch id, to a table in the shared checkpoint folder; the PSI per window is a
-batch query over the latest count of every (window, bin) cell, so windows still open
-when the run stops are reported too. The query is restartable from its checkpoint.
+The stream is binned on the driver-fixed baseline edges (a literal array). ``foreachBatch`` adds
+each micro-batch's counts per (window, bin) to a ledger, a table in the shared checkpoint
+folder with one folder a batch, which a repeated batch overwrites: every row counts once, in
+the window of its event time, however late it comes. The ledger also says how many rows of a
+cell came later than the delay allows (behind the latest event time of earlier batches), and
+the PSI per window is a batch query over its sums, so windows still open when the run stops
+are reported too. No state is kept between batches beside the ledger; it has a row a cell and
+batch. The query is restartable from its checkpoint.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def _bin(value, edges):
 
 def stream_psi(spark: SparkSession, source: DataFrame, baseline: DataFrame, value_col: str = "value",
                ts_col: str = "ts", window: str = "1 day", watermark: str = "1 hour", bins: int = 10,
-               work_dir: str | None = None) -> DataFrame:
+               work_dir: str | None = None, with_late: bool = False) -> DataFrame:
     """Run the streaming aggregation to completion (``availableNow``) and return
-    (window_start, window_end, n_actual, psi, stability) per event-time window.
+    (window_start, window_end, n_actual, psi, stability) per event-time window; ``with_late``
+    adds n_late, the rows that came more than ``watermark`` behind.
 
     ``source`` is a streaming DataFrame (``spark.readStream...``) holding ``ts_col`` and
     ``value_col``.
@@ -60,27 +62,31 @@ def stream_psi(spark: SparkSession, source: DataFrame, baseline: DataFrame, valu
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
         ev = (source.select(F.col(ts_col).cast("timestamp").alias("ts"), F.col(value_col).cast("double").alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v"))
-              .withWatermark("ts", watermark)
-              .groupBy(F.window("ts", window).alias("w"), _bin(F.col("v"), edges).alias("bin_id"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
+              .where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("ts").isNotNull()))
 
         def sink(batch: DataFrame, batch_id: int) -> None:
-            (batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), "bin_id", "cnt",
-                          F.lit(batch_id).cast("long").alias("batch_id"))
-             .write.mode("append").parquet(out_path))
-
-        q = (ev.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
+            session = batch.sparkSession
+            try:
+                seen = session.read.parquet(out_path).where(F.col("batch_id") < batch_id).agg(F.max("top")).first()[0]
+            except AnalysisException:  # the first batch
+                seen = None
+            behind = F.lit(False) if seen is None else F.col("ts") < F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+            (batch.groupBy(F.window("ts", window).alias("w"), _bin(F.col("v"), edges).alias("bin_id"))
+             .agg(F.count(F.lit(1)).alias("cnt"), F.count_if(behind).alias("late"), F.max(F.col("ts").cast("timestamp_ntz")).alias("top"))
+             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                     "bin_id", "cnt", "late", "top")
+             .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
+
+        q = (ev.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", ckpt)
              .trigger(availableNow=True).start())
         q.awaitTermination()
         try:
             counts = spark.read.parquet(out_path)
         except AnalysisException:  # no micro-batch produced output
             return spark.createDataFrame([], "window_start timestamp_ntz, window_end timestamp_ntz, n_actual long, "
-                                             "psi double, stability string")
+                                             "psi double" + ", n_late long" * with_late + ", stability string")
         latest = (counts.groupBy("window_start", "window_end", "bin_id")
-                  .agg(F.max_by("cnt", "batch_id").alias("cnt")))
+                  .agg(F.sum("cnt").alias("cnt"), F.sum("late").alias("late")))
         bv = baseline.select(F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
         base_counts = bv.groupBy(_bin(F.col("v"), edges).alias("bin_id")).agg(F.count(F.lit(1)).alias("e"))
         dim = spark.createDataFrame([(i,) for i in range(1, k + 1)], "bin_id int")
@@ -98,18 +104,19 @@ def stream_psi(spark: SparkSession, source: DataFrame, baseline: DataFrame, valu
         full = full.withColumn("a_pct", (F.col("cnt") + 0.5) / (F.col("n_actual") + 0.5 * k))
         full = full.withColumn("comp", (F.col("a_pct") - F.col("e_pct")) * F.log(F.col("a_pct") / F.col("e_pct")))
         res = full.groupBy("window_start", "window_end").agg(F.first("n_actual").cast("long").alias("n_actual"),
-                                                             F.sum("comp").alias("psi"))
+                                                             F.sum("comp").alias("psi"),
+                                                             *([F.sum("late").cast("long").alias("n_late")] if with_late else ()))
         return res.withColumn("stability", ladder(F.col("psi"), PSI_LADDER, PSI_ELSE))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old_tz)
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream over one table: a directory source filtered to the table's file(s)
-    (streaming sources take directories; new files matching the name are picked up)."""
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """A file stream over one table in any store: a directory source, filtered to the table's file if it is
+    one (streaming sources take directories; new files matching the name are picked up)."""
     schema = spark.read.parquet(path).schema
-    if os.path.isdir(path):
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path)))
-
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())

@@ -34,3 +34,18 @@ def test_stream_counts_on_time_rows_across_micro_batches(spark):
     assert counts[2] == 51           # on-time row of the second micro-batch counted
     assert counts[0] in (50, 51)     # the row two days late: dropping is allowed, not guaranteed
     assert counts[1] == 50 and (out["psi"] >= 0).all()
+
+
+def test_late_rows_count_and_are_told_by_window(spark):
+    d = tempfile.mkdtemp(prefix="tessera-stream-")
+    src = os.path.join(d, "events")
+    base = dt.datetime(2024, 1, 1)
+    _write(spark, src, [(base + dt.timedelta(days=k, hours=2), float(k)) for k in range(4)])
+    _write(spark, src, [(base + dt.timedelta(hours=5), 0.5), (base + dt.timedelta(days=1, hours=1), 0.7), (base + dt.timedelta(days=3, hours=1, minutes=30), 0.1)])
+    baseline = spark.createDataFrame([(float(v),) for v in range(50)], "value double")
+    stream = drift_stream.events_stream(spark, f"file://{src}", files_per_trigger=1)  # a URI, as any store has
+    out = drift_stream.stream_psi(spark, stream, baseline, "value", "ts", "1 day", "1 hour", 10, work_dir=f"file://{d}/work", with_late=True)
+    got = [(r["n_actual"], r["n_late"]) for r in out.orderBy("window_start").collect()]
+    assert sum(n for n, _ in got) == 7 and [n for n, _ in got] == [2, 2, 1, 2]
+    # whichever file came first, rows more than an hour behind it are late
+    assert [late for _, late in got] in ([1, 1, 0, 0], [1, 1, 1, 0])
