@@ -32,12 +32,13 @@ def _dist(a, b):
 
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, min_samples: int = 5,
            grid_dims: int = 3) -> DataFrame:
-    """(key, cluster) - cluster -1 is noise."""
+    """(key, cluster) - cluster -1 is noise; rows without a key or a feature are left out."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     features = list(features)
     g = max(1, min(grid_dims, len(features)))
-    pts = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in features]).alias("v")).dropna()
+    known = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+    pts = known.dropna().select("_key", F.array(*[f"_x{i}" for i in range(len(features))]).alias("v"))
     vec = (pts.groupBy("v").agg(F.count(F.lit(1)).alias("mult"), F.min("_key").alias("vid"))
            .withColumn("cell", F.array(*[F.floor(F.col("v")[j] / F.lit(eps)).cast("long") for j in range(g)]))
            .persist(StorageLevel.MEMORY_AND_DISK))

@@ -110,6 +110,17 @@ def test_trees_grow_until_pure(spark):
         assert model.stages[-1].depth > 10
         assert pred.where(F.col("prediction") != F.col("label")).count() == 0
     for reg in (models._classifiers(1, 2, 1), models._regressors(1)):
-        for name in ("decision_tree", "random_forest", "extra_trees"):
+        for name in ("decision_tree", "random_forest"):
             est = reg[name]()
             assert (est.getMaxDepth(), est.getMinInstancesPerNode()) == (30, 1)
+    # extra trees are no MLlib forests any more: they grow to the same end themselves
+    for task, label in (("classification", "label_"), ("regression", "y")):
+        _, pred = models.train_and_score("extra_trees", task, df, df, ["x"], [], label, params={"n_estimators": 2})
+        assert pred.where(F.col("prediction") != F.col("label")).count() == 0
+
+
+def test_dbscan_leaves_incomplete_rows_out(spark):
+    rows = [(i, 0.1 * i, 1.0) for i in range(8)] + [(20, None, 1.0), (21, 0.2, None), (22, float("nan"), 1.0), (23, 90.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r["id"]: r["cluster"] for r in dbscan(df, "id", ["x", "y"], eps=0.3, min_samples=3).collect()}
+    assert got == {**{i: 0 for i in range(8)}, 23: -1}
