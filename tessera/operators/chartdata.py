@@ -135,3 +135,10 @@ def actual_vs_predicted_range(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """The diagonal reference line spans min..max of both columns."""
     return df.agg(F.least(F.min(y), F.min(yhat)).cast("double").alias("lo"),
                   F.greatest(F.max(y), F.max(yhat)).cast("double").alias("hi"))
+
+
+def model_bars(scores: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
+    """C11: bars of a model comparison, (model, metric, value); models that failed have no bar."""
+    names = list(metrics) if metrics else [c for c in scores.columns if c not in ("model", "error")]
+    bars = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]))
+    return scores.select("model", bars.alias("b")).select("model", "b.metric", "b.value").where(F.col("value").isNotNull())

@@ -190,10 +190,10 @@ class _Folds:
 
     def scores(self, params: dict, with_train: bool = False) -> tuple[list, list]:
         def one(f: int):
-            train, test = self.rows.where(F.col("_fold") != f), self.rows.where(F.col("_fold") == f)
-            scored = models.train_and_score(self.model_name, self.task, train, test, *self.args, params=params)[1]
-            on_train = models.train_and_score(self.model_name, self.task, train, train, *self.args, params=params)[1] if with_train else None
-            return score_of(scored, self.task), score_of(on_train, self.task) if with_train else None
+            train, held = F.col("_fold") != f, F.col("_fold") == f
+            scored = self.rows if with_train else self.rows.where(held)
+            pred = models.train_and_score(self.model_name, self.task, self.rows.where(train), scored, *self.args, params=params)[1]
+            return score_of(pred.where(held), self.task), score_of(pred.where(train), self.task) if with_train else None
 
         with ThreadPoolExecutor(self.at_once) as pool:
             both = list(pool.map(one, range(self.k)))

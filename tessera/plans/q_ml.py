@@ -339,9 +339,8 @@ def q_m09_grid_search(spark, sf):
 
 @register("m11_feature_importance")
 def q_m11_feature_importance(spark, sf):
-    train, _test = _orders_split(spark, sf)
-    model, _ = models.train_and_score("random_forest", "classification", train, train.limit(1), ORD_NUM, [],
-                                      "o_orderstatus")
+    train, test = _orders_split(spark, sf)
+    model, _ = models.train_and_score("random_forest", "classification", train, test, ORD_NUM, [], "o_orderstatus")
     return evaluate.top_abs(evaluate.feature_importance(model.stages[-1], ORD_NUM), "importance", 20)
 
 

@@ -71,7 +71,17 @@ def q_e04_rbf_svm(spark, sf):
     return m.transform(test.withColumn("y", y)).select("o_orderkey", "y", "prediction", "probability_1")
 
 
-@register("e14_dbscan")
+@register("e14_dbscan", """
+WITH RECURSIVE st AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(CAST(c_nationkey AS DOUBLE)) AS mb, stddev_pop(c_nationkey) AS sb FROM customer),
+z AS (SELECT c_custkey AS k, (c_acctbal - ma) / sa AS a, (c_nationkey - mb) / sb AS b FROM customer, st),
+e AS (SELECT x.k AS a, y.k AS b FROM z x JOIN z y ON sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) <= 0.5),
+core AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT a, b FROM e WHERE a <> b AND a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+r(k, m) AS (SELECT k, k FROM core UNION SELECT ce.b, r.m FROM r JOIN ce ON ce.a = r.k),
+low AS (SELECT k, min(m) AS m FROM r GROUP BY k),
+num AS (SELECT k, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INTEGER) AS cluster FROM low),
+border AS (SELECT e.a AS k, min(num.cluster) AS cluster FROM e JOIN num ON num.k = e.b WHERE e.a NOT IN (SELECT k FROM core) GROUP BY e.a)
+SELECT c_custkey, coalesce(num.cluster, border.cluster, -1) AS cluster FROM customer LEFT JOIN num ON num.k = c_custkey LEFT JOIN border ON border.k = c_custkey""")
 def q_e14_dbscan(spark, sf):
     c = table(spark, sf, "customer")
     z = prep.standardize(c, ["c_acctbal", "c_nationkey"], suffix="_z")  # L13: scaled on all rows

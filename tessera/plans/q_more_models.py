@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, ensembles_extra, evaluate, extra_trees, models, prep, smooth, stats, tuning
+from ..operators import boosting, chartdata, dispatch, ensembles_extra, evaluate, extra_trees, models, prep, smooth, stats, tuning
 from .registry import register
 from .tables import round_doubles, table
 
@@ -182,3 +182,33 @@ def q_t12_p_values(spark, sf):
         r = stats.correlation(c, ["s_suppkey", "s_nationkey", "s_acctbal"], method).select(F.lit(method).alias("method"), "col_a", "col_b", "n", "r", "p_value")
         out = r if out is None else out.union(r)
     return round_doubles(out)
+
+
+@register("c11_model_bars")
+def q_c11_model_bars(spark, sf):
+    train, test = _split(spark, sf)
+    return chartdata.model_bars(models.compare_models("classification", train, test, NUM, [], "o_orderstatus", ["naive_bayes", "lda"]))
+
+
+_R_PEARSON = " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")))
+
+
+@register("u01_tool_correlation", _R_PEARSON)
+def q_u01_tool_correlation(spark, sf):
+    """A tool called by name with a comma list."""
+    out = dispatch.run("CorrelationAnalysis", table(spark, sf, "lineitem"), "l_quantity, l_extendedprice, l_discount, pearson")
+    return round_doubles(out.select("col_a", "col_b", "n", "r"))
+
+
+@register("u02_action_records", """
+SELECT 0 AS step, 'statistics' AS module, 'ok' AS status, (SELECT count(*) FROM (SELECT 1)) AS rows
+UNION ALL SELECT 1, 'visualization', 'ok', (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus IS NOT NULL)
+UNION ALL SELECT 2, 'variable_analysis', 'ok', (SELECT count(*) FROM (DESCRIBE orders))
+UNION ALL SELECT 3, 'statistics', 'failed', CAST(NULL AS BIGINT)""")
+def q_u02_action_records(spark, sf):
+    actions = [("statistics", {"analysis_type": "anova", "target_columns": ["o_orderstatus", "o_totalprice"]}),
+               ("visualization", {"chart_type": "bar", "x_col": "o_orderstatus"}), ("variable_analysis", None),
+               ("statistics", {"analysis_type": "chi_square", "target_columns": ["o_orderstatus"]})]
+    return dispatch.run_actions(table(spark, sf, "orders"), actions).select("step", "module", "status", "rows")
