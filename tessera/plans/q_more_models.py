@@ -26,7 +26,7 @@ def q_e11_boosting(spark, sf):
     train, test = _split(spark, sf)
     out = None
     for style in boosting.STYLES:
-        pred = boosting.boost(train, NUM, "y", style=style, n_estimators=5).transform(test)
+        pred = boosting.boost(train, NUM, "y", style=style, n_estimators=3).transform(test)
         pred = pred.select(F.lit(style).alias("model"), "o_orderkey", "y", "prediction")
         out = pred if out is None else out.union(pred)
     return out
@@ -37,7 +37,7 @@ def q_e11_boosting_regression(spark, sf):
     train, test = _split(spark, sf)
     out = None
     for style in boosting.STYLES:
-        pred = boosting.boost(train, ["o_custkey", "y"], "o_totalprice", "regression", style, n_estimators=5).transform(test)
+        pred = boosting.boost(train, ["o_custkey", "y"], "o_totalprice", "regression", style, n_estimators=3).transform(test)
         pred = pred.select(F.lit(style).alias("model"), "o_orderkey", "prediction")
         out = pred if out is None else out.union(pred)
     return out
@@ -60,7 +60,7 @@ def q_e08_adaboost_r2(spark, sf):
 @register("e04_svm_many_classes")
 def q_e04_svm_many_classes(spark, sf):
     train, test = _split(spark, sf)
-    model = ensembles_extra.svm_probabilities(train, NUM, "y", kernel="linear", max_iter=20)
+    model = ensembles_extra.svm_probabilities(train, NUM, "y", kernel="linear", folds=3, max_iter=12)
     return model.transform(test).select("o_orderkey", "y", "prediction", "probabilities")
 
 
