@@ -57,13 +57,6 @@ def q_e08_adaboost_r2(spark, sf):
     return model.transform(test).select("o_orderkey", "o_totalprice", "prediction")
 
 
-@register("e04_svm_many_classes")
-def q_e04_svm_many_classes(spark, sf):
-    train, test = _split(spark, sf)
-    model = ensembles_extra.svm_probabilities(train, NUM, "y", kernel="linear", folds=3, max_iter=12)
-    return model.transform(test).select("o_orderkey", "y", "prediction", "probabilities")
-
-
 @register("m10_sequential_search")
 def q_m10_sequential_search(spark, sf):
     train, test = _split(spark, sf)
