@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.operators.neighbors import knn_classify, knn_join
+from tessera.operators.neighbors import Cells, knn_classify, knn_join
 from tessera.operators.sampling import adasyn, smote, smote_tomek
 
 
@@ -76,3 +76,28 @@ def test_adasyn_and_tomek(spark):
     st = smote_tomek(df, "y", "key", ["x1", "x2"])
     assert st.count() <= 240
 
+
+
+def test_cells_stay_even_on_a_line_of_points():
+    """Features that rise together: a grid of quantiles would put all rows into its diagonal cells."""
+    x = np.arange(20000.0)
+    p = np.stack([x, 6 * x + np.sin(x)], 1)
+    cells = Cells(p[::20], 64)
+    n = np.bincount(cells.of(p), minlength=cells.n)
+    assert cells.n == 64 and n.max() < 2 * n.mean()
+    row, leaf = cells.within(p[:1000], np.full(1000, 30.0))
+    assert len(row) < 2 * 1000 and (np.bincount(row, minlength=1000) >= 1).all()
+
+
+def test_knn_join_of_many_dimensions_over_many_cells(spark):
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(300, 12)).round(2)
+    p[250:] = p[:50]
+    rows = [(f"p{i:03d}", [float(x) for x in v]) for i, v in enumerate(p)] + [("none", None), ("part", [None] * 12)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = knn_join(df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "pid"), 4, exclude_self=True, target_cell=20).toPandas()
+    ids = [f"p{i:03d}" for i in range(300)]
+    want = _brute(p, p, ids, 4, qids=ids)
+    assert set(got.qid) == set(ids)
+    for i in range(300):
+        assert got[got.qid == ids[i]].sort_values("rank")["pid"].tolist() == want[i]
