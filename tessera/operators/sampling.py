@@ -30,6 +30,12 @@ def _uniform(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(_MASK53 + 1)).cast("double") / F.lit(float(1 << 53))
 
 
+def _kept(df: DataFrame, label: str, key: str, features: Sequence[str]) -> DataFrame:
+    """The columns used, checkpointed: the neighbour joins read them many times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(*dict.fromkeys([key, *features, label])).checkpoint()
+
+
 def _class_counts(df, label):
     return {r[0]: r[1] for r in df.groupBy(F.col(label).cast("string")).count().collect()}
 
@@ -74,6 +80,7 @@ def _finish(df, label, key, features, synth_parts):
 def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """SMOTE to the majority count for every minority class."""
     features = list(features)
+    df = _kept(df, label, key, features)
     counts = _class_counts(df, label)
     top = max(counts.values())
     parts = []
@@ -94,6 +101,7 @@ def adasyn(df: DataFrame, label: str, key: str, features: Sequence[str], k: int
     rows among its k nearest neighbours over all rows (rounded), neighbours for the
     interpolation from its own class."""
     features = list(features)
+    df = _kept(df, label, key, features)
     counts = _class_counts(df, label)
     top = max(counts.values())
     allp = df.select(F.col(key).cast("string").alias("key"), _vec(features).alias("v"),
