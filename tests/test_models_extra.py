@@ -124,3 +124,20 @@ def test_dbscan_leaves_incomplete_rows_out(spark):
     df = spark.createDataFrame(rows, "id long, x double, y double")
     got = {r["id"]: r["cluster"] for r in dbscan(df, "id", ["x", "y"], eps=0.3, min_samples=3).collect()}
     assert got == {**{i: 0 for i in range(8)}, 23: -1}
+
+
+def test_dbscan_of_a_dense_region_by_cells(spark):
+    """5,000 points all within eps of each other, two strings of points that meet at one pair, and strays."""
+    rng = np.random.default_rng(9)
+    X = np.vstack([rng.uniform(0, 0.3, (5000, 2)), np.stack([np.arange(5, 9, 0.1), np.full(40, 3.0)], 1),
+                   np.stack([np.arange(8.9 + 0.4999, 12, 0.1), np.full(27, 3.0)], 1), rng.uniform(20, 30, (12, 2)), [[0.3, 0.75]]])
+    ids = rng.permutation(len(X))
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "x": X[:, 0], "y": X[:, 1]})).persist()
+    got = dbscan(df, "id", ["x", "y"], eps=0.5, min_samples=5).toPandas().sort_values("id")["cluster"].to_numpy()
+    small = np.vstack([X[:60], X[5000:]])  # 60 of the region stand for it
+    order = np.argsort(np.concatenate([ids[:60], ids[5000:]]))
+    want = _ref_dbscan(small[order], 0.5, 5)
+    pos = np.concatenate([ids[:60], ids[5000:]])[order]
+    for c in set(want):
+        assert len(set(got[pos[want == c]])) == 1
+    assert len(set(got[pos])) == len(set(want)) and (got[ids[:5000]] == got[ids[0]]).all()
