@@ -125,3 +125,12 @@ def test_sparse_cells_give_the_same_trees(data, monkeypatch):
     want = fit()
     monkeypatch.setattr(boosting, "DENSE_CELLS", 0)
     assert np.allclose(fit(), want)
+
+
+def test_cuts_of_nodes_are_found_with_one_shuffle(spark):
+    from pyspark.sql import Window
+    rows = spark.createDataFrame([], boosting.ROWS)
+    cells = boosting.Grower(rows, 1, "regression", boosting.STYLES["xgboost"]).cells([boosting.Tree()], [(0, 0)], np.array([0]), lambda d: d >= 0)
+    sums = cells.select("k", "node", F.sum("g").over(Window.partitionBy("k", "node", "f").orderBy("b")).alias("g"))
+    plan = sums.groupBy("k", "node").agg(F.max("g"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
