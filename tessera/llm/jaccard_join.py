@@ -183,21 +183,23 @@ def sketched(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
              "keys0 array<long>, keys1 array<long>, keys2 array<long>, spare0 int, spare1 int"), "parity")
 
 
+def with_mates(m: DataFrame) -> DataFrame:
+    """Rows of blocks that hold two or more, with their number. Counted where the rows meet: one
+    shuffle, so keys stand on disk once."""
+    return m.withColumn("mates", F.count("*").over(Window.partitionBy("block"))).where("mates > 1")
+
+
 def shared_blocks(rows: DataFrame) -> DataFrame:
     """Written table (block, key, n, mates): the sets of every block that holds two or more,
     without the crowded blocks that a set may leave out."""
     lanes = [rows.select(F.explode(f"keys{i}").alias("block"), (F.col("rid") * 4 + i).alias("of")) for i in range(LANES)]
     spread = lanes[OWN].union(lanes[NEXT]).union(lanes[OTHERS])
-    full = spread.groupBy("block").agg(F.count("*").alias("mates")).where("mates > 1").select("block")
-    found = spread.join(full.hint("merge"), "block")  # a shuffle at every size
+    found = with_mates(spread).drop("mates")
     of = rows.where(F.col("sketch").isNotNull()).select("rid", "key", F.col("n_shingles").alias("n"), "spare0", "spare1")
     found = found.withColumn("rid", F.shiftright("of", 2)).withColumn("lane", F.col("of").bitwiseAND(3).cast("int")).join(of.hint("merge"), "rid")
     may_go = F.when(F.col("lane") == OWN, F.col("spare0")).when(F.col("lane") == NEXT, F.col("spare1")).otherwise(0)
     found = written(found.select("block", "key", "n", "lane", may_go.alias("may_go")).distinct(), "blocks")
 
-    def with_mates(m: DataFrame) -> DataFrame:
-        return m.join(m.groupBy("block").agg(F.count("*").alias("mates")).where("mates > 1"), "block")
-
     crowded = F.row_number().over(Window.partitionBy("key", "lane").orderBy(F.desc("mates"), "block"))
     kept = with_mates(found).withColumn("place", crowded).where("place > may_go").select("block", "key", "n")
     return written(with_mates(kept), "mates")

@@ -135,3 +135,10 @@ def test_sets_too_small_for_another_partner():
         items = shingle_set(" ".join(f"w{i}" for i in range(n)).encode(), 1)
         links = any(100 * min(n, m) >= 80 * max(n, m) for m in range(1, 20) if m != n) or n >= 9
         assert bool(jaccard_join.emitted(items, 80, jaccard_join.fullest(80))) == links
+
+
+def test_keys_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (3, 14), (3, 15), (None, 16)], "block long, of long")
+    found = jaccard_join.with_mates(df.where("block is not null"))
+    assert sorted((r["block"], r["of"], r["mates"]) for r in found.collect()) == [(1, 10, 2), (1, 11, 2), (3, 13, 3), (3, 14, 3), (3, 15, 3)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
