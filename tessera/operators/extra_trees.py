@@ -1,8 +1,8 @@
 """Extremely randomised trees (E9): every node cuts random features at random places.
 
-All trees of a group grow together, a level in two jobs: the least and greatest value of every
-feature in every open node, then, for cuts drawn uniformly between them, the sums on the left
-side. Tasks sum up their own rows by (tree, node, feature); Spark adds these cells. A node
+All trees of a group grow together, a level in one job: for cuts drawn uniformly between the least
+and greatest value of a feature in a node, the sums on the left side, and the extremes on both
+sides, which are those of the nodes to come (with many features, in a second job). Tasks sum up their own rows by (tree, node, feature); Spark adds these cells. A node
 draws ``max_features`` of the features that are not constant in it (all, for a number to
 predict) and keeps the cut that lowers impurity most (Gini, or variance). Draws follow from
 (seed, tree, node), so a model reproduces itself. Nodes end when they are pure, hold fewer than
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .models import gathered
 
 SEED = 42
 DEEPEST = 64
@@ -133,10 +134,18 @@ def _ranges(rows: DataFrame, trees: list, places: list[np.ndarray], n_features:
     return made.groupBy("place", "f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
 
 
-def _left_sums(rows: DataFrame, trees: list, places: list[np.ndarray], cuts: tuple[np.ndarray, np.ndarray], n_features: int, n_classes: int, n_sums: int) -> np.ndarray:
-    """Sums of the rows left of every cut: places x cuts x sums."""
+#: values that a task keeps a node for the extremes on both sides of its cuts; with more, they take a job of their own
+EXTREMES = 64
+
+
+def _left_sums(rows: DataFrame, trees: list, places: list[np.ndarray], cuts: tuple[np.ndarray, np.ndarray], n_features: int, n_classes: int,
+               n_sums: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of the rows left of every cut, places x cuts x sums, and the extremes of every feature on both sides,
+    places x cuts x (left, right) x (least, greatest) x features: the ranges of the nodes to come."""
     feature, threshold = cuts
     n_cuts = feature.shape[1]
+    extremes = 4 * n_features * n_cuts <= EXTREMES
+    names = [f"{side}{op}{j}" for side in "lr" for op in ("lo", "hi") for j in range(n_features)] if extremes else []
 
     def run(batches):
         for batch in batches:
@@ -150,13 +159,18 @@ def _left_sums(rows: DataFrame, trees: list, places: list[np.ndarray], cuts: tup
                 total = np.add.reduceat(left[:, :, None] * s[row][:, None, :], begin, axis=0)
                 cell = at[begin][:, None] * n_cuts + np.arange(n_cuts)
                 cols = [cell.ravel(), *(total[:, :, i].ravel() for i in range(n_sums))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cell", *(f"s{i}" for i in range(n_sums))])
-
-    made = rows.mapInArrow(run, "cell long" + "".join(f", s{i} double" for i in range(n_sums)))
-    got = made.groupBy("cell").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n_sums))).toPandas()
-    out = np.zeros((len(feature) * n_cuts, n_sums))
+                for side in (left, ~left) if extremes else ():
+                    for op, none in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+                        cols += [op.reduceat(np.where(side, x[row, j, None], none), begin, axis=0).ravel() for j in range(n_features)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cell", *(f"s{i}" for i in range(n_sums)), *names])
+
+    made = rows.mapInArrow(run, "cell long" + "".join(f", {c} double" for c in [*(f"s{i}" for i in range(n_sums)), *names]))
+    got = made.groupBy("cell").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n_sums)),
+                                   *((F.min if c[1:3] == "lo" else F.max)(c).alias(c) for c in names)).toPandas()
+    out = np.zeros((len(feature) * n_cuts, n_sums + len(names)))
     out[got["cell"].to_numpy()] = got.drop(columns="cell").to_numpy()
-    return out.reshape(len(feature), n_cuts, n_sums)
+    out = out.reshape(len(feature), n_cuts, -1)
+    return out[:, :, :n_sums], out[:, :, n_sums:].reshape(len(feature), n_cuts, 2, 2, n_features) if extremes else None
 
 
 def draws(seed: int, tree: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
@@ -189,6 +203,7 @@ def _grow(rows: DataFrame, numbers: range, total: np.ndarray, n_features: int, n
 
     k, node = np.arange(len(trees)), np.zeros(len(trees), np.int64)
     here, depth = np.tile(total, (len(trees), 1)), np.zeros(len(trees), np.int64)
+    ranges = None  # nodes x (least, greatest) x features, where the job of the level above has told them
     while True:
         on = may_split(here, depth)
         k, node, here, depth = k[on], node[on], here[on], depth[on]
@@ -198,13 +213,16 @@ def _grow(rows: DataFrame, numbers: range, total: np.ndarray, n_features: int, n
         for t in range(len(trees)):
             places[t][node[k == t]] = np.flatnonzero(k == t)
         arrays = [t.arrays() for t in trees]
-        r = _ranges(rows, arrays, places, n_features)
-        lo, hi = np.zeros((2, len(k), n_features))
-        for out, c in ((lo, "lo"), (hi, "hi")):
-            out[r["place"], r["f"]] = r[c]
+        if ranges is None:
+            r = _ranges(rows, arrays, places, n_features)
+            lo, hi = np.zeros((2, len(k), n_features))
+            for out, c in ((lo, "lo"), (hi, "hi")):
+                out[r["place"], r["f"]] = r[c]
+        else:
+            lo, hi = ranges[on, 0], ranges[on, 1]
         draw = draws(p["seed"], np.array(numbers)[k], node, 2 * n_features)
         feature, threshold = chosen_cuts(draw, lo, hi, p["max_features"])
-        left = _left_sums(rows, arrays, places, (feature, threshold), n_features, n_classes, len(total))
+        left, sides = _left_sums(rows, arrays, places, (feature, threshold), n_features, n_classes, len(total))
         lower = impurity(left, n_classes) + impurity(here[:, None, :] - left, n_classes)
         best = np.where(feature >= 0, lower, np.inf).argmin(1)
         at = np.arange(len(k))
@@ -218,6 +236,7 @@ def _grow(rows: DataFrame, numbers: range, total: np.ndarray, n_features: int, n
         k, depth = np.repeat(k[i], 2), np.repeat(depth[i] + 1, 2)
         node = (child[:, None] + np.arange(2)).ravel()
         here = np.stack([left[i], here[i] - left[i]], 1).reshape(-1, len(total))
+        ranges = sides[i, best[i]].reshape(-1, 2, n_features) if sides is not None else None
 
 
 def extra_trees(df: DataFrame, features: Sequence[str], label: str, task: str = "classification", n_estimators: int = 100,
@@ -227,6 +246,7 @@ def extra_trees(df: DataFrame, features: Sequence[str], label: str, task: str =
     features = list(features)
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(*(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)), F.col(label).cast("double").alias("y")).dropna().persist()
+    kept, rows = rows, gathered(rows)
     if task == "classification":
         count = {int(r[0]): r[1] for r in rows.groupBy("y").count().collect()}  # one row a class
         n_classes = max([1, *count]) + 1
@@ -239,5 +259,5 @@ def extra_trees(df: DataFrame, features: Sequence[str], label: str, task: str =
     trees: list[RandomTree] = []
     for first in range(0, n_estimators, trees_at_once):
         trees += _grow(rows, range(first, min(n_estimators, first + trees_at_once)), total, len(features), n_classes, p)
-    rows.unpersist()
+    kept.unpersist()
     return ExtraTreesModel(features, n_classes, trees)
