@@ -186,18 +186,43 @@ class _Folds:
         self.args = (numeric, categorical, label)
         self.model_name, self.task, self.k, self.at_once = model_name, task, k, at_once
         used = list(dict.fromkeys([*numeric, *categorical, label]))
-        self.rows = models.fold_column(df.dropna(subset=used), label if task == "classification" else None, key, k, col="_fold").select(*used, "_fold").cache()
+        self.kept = models.fold_column(df.dropna(subset=used), label if task == "classification" else None, key, k, col="_fold").select(*used, "_fold").persist()
+        self.rows = models.gathered(self.kept)
+        self.prepared: list[models.PreparedFold] | None = None
+        self.known: dict[str, tuple[list, list]] = {}
 
-    def scores(self, params: dict, with_train: bool = False) -> tuple[list, list]:
-        def one(f: int):
-            train, held = F.col("_fold") != f, F.col("_fold") == f
-            scored = self.rows if with_train else self.rows.where(held)
-            pred = models.train_and_score(self.model_name, self.task, self.rows.where(train), scored, *self.args, params=params)[1]
-            return score_of(pred.where(held), self.task), score_of(pred.where(train), self.task) if with_train else None
+    def _fold(self, f: int) -> models.PreparedFold:
+        return models.PreparedFold(self.model_name, self.task, self.rows, F.col("_fold") != f, F.col("_fold") == f, ["_fold"], *self.args)
 
+    def all_scores(self, candidates: Sequence[dict], with_train: bool = False) -> list[tuple[list, list]]:
+        """(test scores, train scores) by fold, of every candidate. Candidates that set their estimator alike have one
+        model; it is fitted once."""
         with ThreadPoolExecutor(self.at_once) as pool:
-            both = list(pool.map(one, range(self.k)))
-        return [a for a, _ in both], [b for _, b in both]
+            if self.prepared is None:
+                self.prepared = list(pool.map(self._fold, range(self.k)))
+
+            def one(at: tuple[dict, int]) -> tuple:
+                params, f = at
+                fold = self.prepared[f]
+                pred = fold.predictions(params, with_train)
+                if not with_train:
+                    return score_of(pred, self.task), None
+                if self.task == "classification":  # both in one job
+                    right = (F.col("label") == F.col("prediction")).cast("double")
+                    return tuple(pred.agg(F.avg(F.when(fold.held, right)), F.avg(F.when(fold.train, right))).first())
+                return score_of(pred.where(fold.held), self.task), score_of(pred.where(fold.train), self.task)
+
+            alike = [shown(models.effective(self.model_name, c)) for c in candidates]
+            new = {a: c for a, c in zip(alike, candidates, strict=True) if a not in self.known}
+            both = list(pool.map(one, [(c, f) for c in new.values() for f in range(self.k)]))
+        for i, a in enumerate(new):
+            part = both[i * self.k:(i + 1) * self.k]
+            self.known[a] = ([x for x, _ in part], [y for _, y in part])
+        return [self.known[a] for a in alike]
+
+    def close(self) -> None:
+        for rows in (self.kept, *(p.rows for p in self.prepared or ())):
+            rows.unpersist()
 
 
 def _refit(df, test, numeric, categorical, label, model_name, task, params) -> tuple[Any, float | None]:
@@ -228,11 +253,11 @@ def sequential_search(df: DataFrame, numeric, categorical, label: str, key: str,
     folds = _Folds(df, numeric, categorical, label, key, model_name, task, k, at_once)
 
     def value_of(params: dict) -> float | None:
-        scores = folds.scores(params)[0]
+        scores = folds.all_scores([params])[0][0]
         return None if None in scores else sum(scores) / k
 
     trials = search_trials(value_of, space, n_trials, seed)
-    folds.rows.unpersist()
+    folds.close()
     known = [(v, -i) for i, (_, v) in enumerate(trials) if v is not None]
     if not known:
         raise ValueError(f"no trial of '{model_name}' could be evaluated")
@@ -244,19 +269,17 @@ def sequential_search(df: DataFrame, numeric, categorical, label: str, key: str,
 
 
 def grid_search(df: DataFrame, numeric, categorical, label: str, key: str, model_name: str, task: str = "classification",
-                grid: dict[str, list] | None = None, k: int = 3, test: DataFrame | None = None, at_once: int = 3) -> Search:
+                grid: dict[str, list] | None = None, k: int = 3, test: DataFrame | None = None, at_once: int = 8) -> Search:
     """M9: every candidate; ``trials`` has params, mean and standard deviation of the test scores, the mean train
     score and the rank. Equal means rank equally; the first of them is refitted."""
     grid = grid or GRIDS.get(model_name)
     if grid is None:
         raise ValueError(f"model '{model_name}' has no grid; choose from {sorted(GRIDS)}")
     folds = _Folds(df, numeric, categorical, label, key, model_name, task, k, at_once)
-    rows = []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        on_test, on_train = folds.scores(params, with_train=True)
-        rows.append((params, float(np.mean(on_test)), float(np.std(on_test)), float(np.mean(on_train))))
-    folds.rows.unpersist()
+    candidates = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    rows = [(params, float(np.mean(on_test)), float(np.std(on_test)), float(np.mean(on_train)))
+            for params, (on_test, on_train) in zip(candidates, folds.all_scores(candidates, with_train=True), strict=True)]
+    folds.close()
     best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
     model, test_score = _refit(df, test, numeric, categorical, label, model_name, task, rows[best][0])
     table = df.sparkSession.createDataFrame([(shown(p), *r) for p, *r in rows],
