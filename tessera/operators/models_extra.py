@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .models import gathered
 
 SEED = 42
 
@@ -104,6 +105,15 @@ def _stump_rule(model):
             float(root.rightChild().prediction()))
 
 
+def _leaf_weights(model) -> tuple[float, float]:
+    """(weight of all rows, weight of the misclassified ones), as the fit has added them up in the leaves."""
+    root = model._java_obj.rootNode()
+    inner = root.getClass().getSimpleName().startswith("InternalNode")
+    leaves = [root.leftChild(), root.rightChild()] if inner else [root]
+    stats = [(list(x.impurityStats().stats()), int(x.prediction())) for x in leaves]
+    return sum(sum(w) for w, _ in stats), sum(v for w, p in stats for i, v in enumerate(w) if i != p)
+
+
 class AdaBoostModel:
     def __init__(self, stumps, alphas, classes, features):
         self.stumps, self.alphas, self.classes, self.features = stumps, alphas, classes, features
@@ -135,8 +145,8 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
     K = len(classes)
     idx = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))]),
                        F.col(label).cast("string"))
-    base = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(
-        df.select(*[_x(f).alias(f) for f in features], idx.alias("label")).dropna())
+    base = gathered(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(
+        df.select(*[_x(f).alias(f) for f in features], idx.alias("label")).dropna()))
     n = base.count()
     cur = base.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
     base_ckpt, release = cur, None
@@ -146,7 +156,7 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
         rule = _stump_rule(tree)
         pred = AdaBoostModel([rule], [1.0], [str(i) for i in range(K)], features)._stump_expr(rule)
         miss = (pred != F.col("label")).cast("double")
-        tot, bad = cur.agg(F.sum("w"), F.sum(F.col("w") * miss)).first()
+        tot, bad = _leaf_weights(tree)
         err = bad / tot
         if err <= 0:
             stumps.append(rule)
@@ -185,11 +195,13 @@ class RBFSVMModel:
         z = [(_x(f) - F.lit(float(self.mean[i]))) / F.lit(float(self.std[i] or 1.0)) for i, f in enumerate(self.features)]
         D = self.W.shape[0]
         scale = math.sqrt(2.0 / D)
-        comps = []
-        for r in range(D):
-            lin = sum((F.lit(float(self.W[r, j])) * z[j] for j in range(len(z))), F.lit(float(self.b[r])))
-            comps.append(F.lit(scale) * F.cos(lin))
-        return df.withColumn("features", array_to_vector(F.array(*comps)))
+        W = [F.lit(self.W[:, j].copy()) for j in range(len(z))]
+
+        def component(b, r):
+            return F.lit(scale) * F.cos(sum((F.get(w, r) * z[j] for j, w in enumerate(W)), b))
+
+        # one short expression over the literal weights: a term a component takes longer to plan than to compute
+        return df.withColumn("features", array_to_vector(F.transform(F.lit(self.b), component)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds prediction (class index) and, for two classes, probability of class 1
@@ -218,7 +230,7 @@ def rbf_svm_fit(df: DataFrame, features: Sequence[str], label_idx: str = "label"
     b = rng.uniform(0, 2 * math.pi, size=n_components)
     model = RBFSVMModel(features, mean, std, W, b, None, None)
     data = model._rff(df.withColumn("label", F.col(label_idx).cast("double"))).select("label", "features")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # iterative solvers re-read it every pass
+    data = gathered(data)  # iterative solvers re-read it every pass
     n = st["n"]
     k = data.select("label").distinct().count()
     svc = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=100)
