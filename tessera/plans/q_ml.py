@@ -307,7 +307,7 @@ ORD_CAT = ["o_orderpriority"]
 
 def _orders_split(spark, sf):
     o = table(spark, sf, "orders")
-    sp = prep.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2, 42).cache()
+    sp = models.gathered(prep.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2, 42))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
