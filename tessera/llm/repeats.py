@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 LENGTH = 400
 
@@ -58,7 +58,11 @@ INNER = LENGTH - PERIOD + 1
 SAMPLE_BUCKET, SUFFIX_BUCKET = 32 << 20, 8 << 20
 #: at least so many buckets
 SAMPLE_BUCKETS, SUFFIX_BUCKETS = 16, 64
-SLICE_BYTES = 1 << 22
+#: hashes that a task deals together, and that are sorted at a time: they, not the size of
+#: a bucket or of a task's input, set what a worker holds beside the hashes themselves
+SLICE_BYTES, SORTED = 1 << 20, 1 << 20
+#: rows of an Arrow batch that are answered together
+ROWS = 500
 
 _ROOT = 0x9E3779B97F4A7C15
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -94,7 +98,7 @@ class Hashes:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
 def samples(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +123,32 @@ def covered(starts: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _twins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the keys that stand more than once, and of all but one of each of them.
+    Some SORTED keys are sorted at a time."""
+    twin, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    parts = len(key) // SORTED + 1
+    part = (key % key.dtype.type(parts)).astype(np.uint32) if parts > 1 else None
+    for i in range(parts):
+        k = key if part is None else key[part == i]
+        order = np.argsort(k)
+        k = k[order]
+        same = k[1:] == k[:-1]
+        del k
+        if not same.any():
+            continue
+        if part is not None:
+            order = np.flatnonzero(part == i)[order]
+        twin[order[1:][same]] = later[order[1:][same]] = True
+        twin[order[:-1][same]] = True
+    return twin, later
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each run of so many."""
+    return np.arange(counts.sum(), dtype=np.uint32) - np.repeat((np.cumsum(counts) - counts).astype(np.uint32), counts)
+
+
 def _deal(keys, parts, dtype) -> Iterator[pa.RecordBatch]:
     """Rows by bucket of the different documents ``parts`` = [(hashes, buckets)]: each
     document's hashes in text order, as runs. A hash that stands here more than once is
@@ -128,21 +158,17 @@ def _deal(keys, parts, dtype) -> Iterator[pa.RecordBatch]:
     size = np.array([len(h) for h, _ in parts])
     if not size.sum():
         return
-    h = np.concatenate([x.astype(dtype) for x, _ in parts])
-    b = np.concatenate([x for _, x in parts])
-    doc = np.repeat(np.arange(len(parts)), size)
+    h = np.concatenate([x.astype(dtype, copy=False) for x, _ in parts])
+    b = np.concatenate([x for _, x in parts]).astype(np.int32, copy=False)
     order = np.argsort(b, kind="stable")
-    h, b, doc = h[order], b[order], doc[order]
+    h, b = h[order], b[order]
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), size)[order]
+    del order
     k1, k2 = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
     start = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])))
-    place = (np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))).astype(np.uint32)
+    place = _places(np.diff(np.append(start, len(b))))
     # 64 bits of a hash tell its bucket; 32 bits of it do not
-    key = h if h.itemsize == 8 else b.astype(np.uint64) << np.uint64(32) | h
-    order = np.argsort(key)
-    same = key[order[1:]] == key[order[:-1]]
-    twin, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    twin[order[1:]] = later[order[1:]] = same
-    twin[order[:-1]] |= same
+    twin, later = _twins(h if h.itemsize == 8 else b.astype(np.uint64) << np.uint64(32) | h)
     if twin.any():
         tb, td, tp = b[twin], doc[twin], place[twin]
         cut = np.flatnonzero(np.append(True, (tb[1:] != tb[:-1]) | (td[1:] != td[:-1])))
@@ -182,29 +208,31 @@ def _flags(k1, k2, bucket, counts, places) -> pd.DataFrame:
                          "places": [places[i:j].tobytes() for i, j in zip(end - counts, end, strict=True)]})
 
 
+def sort_bucket(pdf: pd.DataFrame, dtype) -> pd.DataFrame:
+    """FLAGS of the rows of a bucket, or of what a slice has found by itself."""
+    counts, k1, k2 = (np.concatenate(pdf[k].to_list()).astype(np.int64) for k in ("counts", "k1", "k2"))
+    if pdf["bucket"].iloc[0] < 0:
+        places = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["places"]])
+        return _flags(k1, k2, np.concatenate(pdf["buckets"].to_list()), counts, places)
+    place = _places(counts)
+    end = np.cumsum([len(x) // np.dtype(dtype).itemsize for x in pdf["hashes"]])
+    for x, j in zip(pdf["places"], end, strict=True):
+        if x is not None:
+            place[j - len(x) // 4:j] = np.frombuffer(x, np.uint32)
+    twin, _ = _twins(np.concatenate([np.frombuffer(x, dtype) for x in pdf["hashes"]]))
+    n = np.add.reduceat(twin, np.cumsum(counts) - counts, dtype=np.int64)
+    own = n > 0
+    return _flags(k1[own], k2[own], np.full(own.sum(), pdf["bucket"].iloc[0]), n[own], place[twin])
+
+
 def repeated(dealt: DataFrame, dtype) -> DataFrame:
     """Sort each bucket: per document the places (numbers in its run) that are repeated.
     What a slice has found repeated by itself (bucket -1) passes by, a group a slice."""
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, k1, k2 = (np.concatenate(pdf[k].to_list()).astype(np.int64) for k in ("counts", "k1", "k2"))
-        if pdf["bucket"].iloc[0] < 0:
-            places = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["places"]])
-            return _flags(k1, k2, np.concatenate(pdf["buckets"].to_list()), counts, places)
-        run = np.repeat(np.arange(len(counts)), counts)
-        place = (np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint32)
-        h = np.concatenate([np.frombuffer(x, dtype) for x in pdf["hashes"]])
-        end = np.cumsum([len(x) // np.dtype(dtype).itemsize for x in pdf["hashes"]])
-        for x, j in zip(pdf["places"], end, strict=True):
-            if x is not None:
-                place[j - len(x) // 4:j] = np.frombuffer(x, np.uint32)
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
-        twin = np.zeros(len(h), bool)
-        twin[order[1:]] = same
-        twin[order[:-1]] |= same
-        own, n = np.unique(run[twin], return_counts=True)
-        return _flags(k1[own], k2[own], np.full(len(own), pdf["bucket"].iloc[0]), n, place[twin])
+        flags = sort_bucket(pdf, dtype)
+        give_back()
+        return flags
 
     flags = dealt.groupBy("bucket", "slice").applyInPandas(sort, FLAGS)
     return flags.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "places")).alias("flags"))
@@ -218,7 +246,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _by_slice(batches, one):
-    """Deal the documents of Arrow batches (k1, k2, text, ...) in slices of SLICE_BYTES."""
+    """Deal the documents of Arrow batches (k1, k2, text, ...) in slices of SLICE_BYTES hashes."""
     keys, parts, n = [], [], 0
     for batch in batches:
         for row in _rows(batch):
@@ -230,6 +258,8 @@ def _by_slice(batches, one):
                 keys, parts, n = [], [], 0
     if keys:
         yield keys, parts
+    del keys, parts
+    give_back()
 
 
 def _rows(batch: pa.RecordBatch):
@@ -238,6 +268,14 @@ def _rows(batch: pa.RecordBatch):
         yield dict(zip(names, cells, strict=True))
 
 
+def _pieces(batches):
+    """Arrow batches in pieces of ROWS rows, so that no answer holds a whole batch again."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+    give_back()
+
+
 def summary(text: bytes, gone: np.ndarray) -> tuple[int, int, int, str]:
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
     return len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
@@ -258,7 +296,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n1, n2 = max(SAMPLE_BUCKETS, total // SAMPLE_BUCKET), max(SUFFIX_BUCKETS, total // SUFFIX_BUCKET)
 
     def deal_samples(batches):
-        for keys, parts in _by_slice(batches, lambda r: samples(r["text"].as_py(), n1)[1:]):
+        def one(r):
+            _, h, bucket = samples(r["text"].as_py(), n1)
+            return h.astype(np.uint32), bucket
+
+        for keys, parts in _by_slice(batches, one):
             yield from _deal(keys, parts, np.uint32)
 
     # copies are merged before anything is dealt; all columns go on, so that both uses share the shuffle
@@ -276,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def first(batches):
         """Texts that go on to step 2 with their candidates' flags, and results of the others."""
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, open_rows = [], []
             for r in _rows(batch):
                 text, copies, flags = r["text"].as_py(), r["copies"].as_py(), r["flags"].as_py()
@@ -309,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again.withColumnRenamed("flags", "found"), ["k1", "k2"], "left")
 
     def second(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for r in _rows(batch):
                 text = r["text"].as_py()

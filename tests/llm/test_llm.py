@@ -1,11 +1,14 @@
 """Operators of the corpus subpackage against brute force on small tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tessera.llm import (decontaminate, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, repeats,
@@ -276,6 +279,37 @@ def test_repeats_hot_passage_goes_to_a_bucket_once_a_slice(spark, monkeypatch):
             assert (r["n_removed"], r["kept_sha256"]) == (gone.sum(), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_hold_little_beside_their_input():
+    rng = np.random.default_rng(12)
+    # a task's input of four million hashes is dealt in slices
+    tile = rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1024))] * 2, names=["k1", "k2"])
+    tracemalloc.start()
+    dealt = 0
+    for keys, parts in repeats._by_slice([batch], lambda r: (x := tile + np.uint64(r["k1"].as_py()), repeats.bucket_of(x, 64))):
+        for x in repeats._deal(keys, parts, np.uint64):
+            dealt += sum(len(r) // 8 for r in x.column("hashes").to_pylist() if r is not None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dealt == 1024 * 4096 and peak < 150e6
+
+    # a bucket larger than what is sorted at a time: pairs, a hash of a third of the places, and single ones
+    n = 3 << 20
+    h = rng.permutation(np.concatenate([np.repeat(np.arange(n // 6, dtype=np.uint64), 2), np.full(n // 3, n), n + 1 + np.arange(n // 3)]).astype(np.uint64))
+    docs = np.arange(n // 64)
+    pdf = pd.DataFrame({"bucket": 5, "slice": 0, "k1": np.split(docs, 32), "k2": np.split(-docs, 32), "counts": [np.full(len(docs) // 32, 64, np.int32)] * 32,
+                        "hashes": [x.tobytes() for x in np.split(h, 32)], "places": None, "buckets": None})
+    tracemalloc.start()
+    flags = repeats.sort_bucket(pdf, np.uint64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * n
+    got = np.zeros(n, bool)
+    for k, places in zip(flags["k1"], flags["places"], strict=True):
+        got[k * 64 + np.frombuffer(places, np.uint32)] = True
+    assert (got == (h <= n)).all() and (flags["k1"] == -flags["k2"]).all()
+
+
 def test_licence_families(spark):
     k = license_scan.SENTENCES
     bsd2 = f"{k['bsd_grant']}:\n1. {k['bsd_source']}.\n2. {k['bsd_binary']}."
