@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, cells
+from tessera.operators import boosting, cells, celltrees, models
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,50 @@ def test_cells_hold_every_row(spark, data):
         want[at] = want.get(at, 0) + 1
     assert {(int(a), int(b), int(k)): int(c) for (a, b), k, c in zip(bins, groups[0], n, strict=True)} == want
     assert cells.counted(df, ["a", "b"], edges, [("k", 3)], most=2) is None
+
+
+@pytest.fixture(scope="module")
+def ready(data):
+    """Rows with label and features: two numbers and a one-hot category."""
+    from pyspark.ml import Pipeline
+    df = data[1]
+    return Pipeline(stages=models.feature_stages(["a", "b"], ["g"])).fit(df).transform(df.withColumn("label", F.col("k").cast("double"))).select("id", "label", "features").cache()
+
+
+@pytest.mark.parametrize("params", [dict(maxDepth=30), dict(maxDepth=4, minInstancesPerNode=9), dict(maxDepth=6, impurity="entropy", maxBins=9), dict(maxDepth=0)])
+def test_tree_of_cells_equals_mllibs(ready, params):
+    est = DecisionTreeClassifier(seed=42, **params)
+    got, want = celltrees.fit(est, ready), est.fit(ready)
+    assert got.depth == want.depth and got.numNodes == want.numNodes and got.numClasses == 3
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    both = want.transform(ready).select("id", F.col("probability").alias("p")).join(got.transform(ready), "id").collect()
+    assert len(both) == 600 and all(np.allclose(r["p"].toArray(), r["probability"].toArray()) for r in both)
+
+
+def test_forest_of_cells_is_like_mllibs(ready):
+    est = RandomForestClassifier(numTrees=40, seed=42, maxDepth=30)
+    got, want = celltrees.fit(est, ready), est.fit(ready)
+    assert got.getNumTrees == 40 and len({t.toDebugString.split("\n", 1)[1] for t in got.trees}) == 40
+    assert abs(np.mean([t.numNodes for t in got.trees]) / np.mean([t.numNodes for t in want.trees]) - 1) < 0.1
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=0.05)
+    right = [m.transform(ready).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] for m in (got, want)]
+    assert abs(right[0] - right[1]) < 0.02 and celltrees.fit(est, ready).toDebugString.split("\n", 1)[1] == got.toDebugString.split("\n", 1)[1]
+
+
+def test_random_search_of_trees_adds_no_jobs_a_trial(spark, data, monkeypatch):
+    _, df = data
+    space = {"maxDepth": ("int", 1, 9), "minInstancesPerNode": ("int", 1, 30)}
+    search = lambda n: models.random_search(df, ["a", "b"], ["g"], "k", "id", "decision_tree", space, n_trials=n, k=2)
+    fits, plain = [], DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, *a: fits.append(1) or plain(self, *a))
+    got = [r["value"] for r in search(12).orderBy("trial").collect()]
+    assert not fits
+    monkeypatch.setattr(cells, "MOST", 0)
+    want = [r["value"] for r in search(12).orderBy("trial").collect()]
+    assert len(fits) == 24 and got == pytest.approx(want)
+
+
+def test_known_estimators(ready):
+    assert not celltrees.known(DecisionTreeClassifier(minInfoGain=0.1)) and not celltrees.known(DecisionTreeClassifier(weightCol="w"))
+    assert not celltrees.known(RandomForestClassifier(featureSubsetStrategy="all"))
+    assert celltrees.fit(DecisionTreeClassifier(), ready.where("label = 0")) is None
