@@ -3,9 +3,12 @@
 * LDA (E7): class counts, means and the pooled within-class scatter come from one
   grouped aggregate of means and pairwise covariances; the (d x d) solve is on the
   driver; scoring is a JVM projection (one linear discriminant per class).
-* AdaBoost / SAMME (E8): depth-1 MLlib trees on a weight column; after each round the
-  weights are updated by a projection and the frame is checkpointed every few rounds
-  to the session's checkpoint dir (lineage stays short, executor loss is survivable).
+* AdaBoost / SAMME (E8): depth-1 trees by MLlib's rules. Rows with equal bins and class
+  have one weight in every round; where such cells are few (``cells.MOST``) they are
+  counted once and the rounds run on the counts. Otherwise MLlib fits on a weight column;
+  after each round the weights are updated by a projection and the frame is checkpointed
+  every few rounds to the session's checkpoint dir (lineage stays short, executor loss is
+  survivable).
   Stumps are read back as (feature, threshold, left, right) so prediction is one
   expression, not a chain of 100 model transforms.
 * RBF SVM (E4): random Fourier features (Rahimi & Recht, 2007) approximating the
@@ -25,9 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import cells, celltrees
 from .models import gathered
 
 SEED = 42
+#: MLlib's number of bins, chosen anew by the weights of each round
+MAX_BINS = 32
+#: least and most bins that these are chosen from, of a column with more values in a table of more than ``cells.EXACT_ROWS`` rows
+FINE_BINS = 128, 1024
 
 
 def _x(c):
@@ -135,6 +143,56 @@ class AdaBoostModel:
         return df.withColumn(out, F.element_at(labels, F.array_position(sc, F.array_max(sc)).cast("int")))
 
 
+class _Rounds:
+    """Total weights and misses of a stump, and the weights it leaves, on cells."""
+
+    def __init__(self, found, edges: list[np.ndarray], k: int):
+        self.bins, (self.y,), n, _ = found
+        self.edges, self.k, self.rows = edges, k, n.astype(float)
+        self.w = self.rows / self.rows.sum()
+
+    def stump(self) -> tuple:
+        """(rule as of ``_stump_rule``, weight of all rows, weight of the missed ones); ``miss`` keeps which those are."""
+        n_splits = int(min(MAX_BINS, self.rows.sum())) - 1
+        cuts = [cells.thresholds(np.bincount(self.bins[:, j], self.w, len(e) + 1), n_splits) for j, e in enumerate(self.edges)]
+        coarse = np.stack([np.searchsorted(c, self.bins[:, j], side="left") for j, c in enumerate(cuts)], 1)
+        way: list = []
+        tree = celltrees.grow(coarse, self.y, self.w, self.rows, [len(c) + 1 for c in cuts], self.k, 1, way=way)
+        answer = tree.predictions()
+        tree.pruned()
+        if tree.left[0] < 0:
+            rule, said = (None, None, float(answer[0]), float(answer[0])), np.full(len(self.y), answer[0])
+        else:
+            j, at = tree.feature[0], tree.left[0]
+            rule = (j, float(self.edges[j][cuts[j][tree.cut[0]]]), float(answer[at]), float(answer[at + 1]))
+            said = answer[way[0]]
+        self.miss = said != self.y
+        return rule, float(self.w.sum()), float(self.w[self.miss].sum())
+
+    def reweight(self, alpha: float, total: float) -> None:
+        self.w = self.w * np.exp(alpha * self.miss) / total
+
+
+def _rounds(rows: DataFrame, features: list[str], k: int) -> _Rounds | None:
+    """Cells of rows (features, label), or None where they are too many."""
+    _, _, values = cells.marginals(rows, features, "label")
+    if values is None:
+        return None
+    edges, (least, most) = [], FINE_BINS
+    few = [len(v) for v, _ in values if len(v) <= least]
+    # as many as keep the cells below the limit
+    fine = (cells.MOST / k / math.prod(few)) ** (1 / max(1, len(values) - len(few)))
+    fine = int(min(max(fine, least), most))
+    for v, c in values:
+        if len(v) > fine and c.sum() > cells.EXACT_ROWS:
+            ends = np.searchsorted(np.cumsum(c), c.sum() * np.arange(1, fine) / fine)
+            edges.append(np.unique(v[ends[ends < len(v) - 1]]))
+        else:
+            edges.append(cells.midpoints(v))
+    found = cells.counted(rows, features, edges, [("label", k)])
+    return None if found is None else _Rounds(found, edges, k)
+
+
 def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                  learning_rate: float = 1.0, checkpoint_every: int = 10) -> AdaBoostModel:
     from pyspark.ml.classification import DecisionTreeClassifier
@@ -145,18 +203,21 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
     K = len(classes)
     idx = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))]),
                        F.col(label).cast("string"))
-    base = gathered(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(
-        df.select(*[_x(f).alias(f) for f in features], idx.alias("label")).dropna()))
-    n = base.count()
-    cur = base.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
-    base_ckpt, release = cur, None
+    rows = df.select(*[_x(f).alias(f) for f in features], idx.alias("label")).dropna()
+    on_cells = _rounds(rows, features, K)
+    if on_cells is None:
+        base = gathered(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows))
+        n = base.count()
+        cur = base.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
+        base_ckpt, release = cur, None
     stumps, alphas = [], []
     for m in range(n_estimators):
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(cur)
-        rule = _stump_rule(tree)
-        pred = AdaBoostModel([rule], [1.0], [str(i) for i in range(K)], features)._stump_expr(rule)
-        miss = (pred != F.col("label")).cast("double")
-        tot, bad = _leaf_weights(tree)
+        if on_cells is not None:
+            rule, tot, bad = on_cells.stump()
+        else:
+            tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(cur)
+            rule = _stump_rule(tree)
+            tot, bad = _leaf_weights(tree)
         err = bad / tot
         if err <= 0:
             stumps.append(rule)
@@ -171,6 +232,11 @@ def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimator
         alphas.append(alpha)
         # new total weight in closed form: correct rows keep w, misclassified ones get w e^alpha
         s_new = (tot - bad) + bad * math.exp(alpha)
+        if on_cells is not None:
+            on_cells.reweight(alpha, s_new)
+            continue
+        pred = AdaBoostModel([rule], [1.0], [str(i) for i in range(K)], features)._stump_expr(rule)
+        miss = (pred != F.col("label")).cast("double")
         nxt = cur.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss) / F.lit(s_new))
         if release is not None:
             release.unpersist()  # materialised by this round's fit, no longer read

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, cells, celltrees, models
+from tessera.operators import boosting, cells, celltrees, models, models_extra
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,21 @@ def test_known_estimators(ready):
     assert not celltrees.known(DecisionTreeClassifier(minInfoGain=0.1)) and not celltrees.known(DecisionTreeClassifier(weightCol="w"))
     assert not celltrees.known(RandomForestClassifier(featureSubsetStrategy="all"))
     assert celltrees.fit(DecisionTreeClassifier(), ready.where("label = 0")) is None
+
+
+def test_adaboost_of_cells_equals_adaboost_of_rows(data, monkeypatch):
+    _, df = data
+    fits, plain = [], DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, *a: fits.append(1) or plain(self, *a))
+    got = models_extra.adaboost_fit(df, ["a", "b"], "k", n_estimators=6)
+    assert not fits and len(got.stumps) == 6
+    monkeypatch.setattr(cells, "MOST", 0)
+    want = models_extra.adaboost_fit(df, ["a", "b"], "k", n_estimators=6)
+    assert len(fits) == 6 and np.allclose(got.alphas, want.alphas) and np.allclose(got.stumps, want.stumps)
+
+
+def test_adaboost_of_a_large_table_uses_fine_bins(spark):
+    df = spark.range(30_000).select(F.rand(3).alias("x"), F.rand(4).alias("y")).withColumn("c", (F.col("x") + F.col("y") > 1).cast("string"))
+    model = models_extra.adaboost_fit(df, ["x", "y"], "c", n_estimators=30)
+    right = model.transform(df).agg(F.avg((F.col("prediction") == F.col("c")).cast("double"))).first()[0]
+    assert right > 0.95 and len({s[1] for s in model.stumps}) > 10
