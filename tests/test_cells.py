@@ -129,3 +129,20 @@ def test_adaboost_of_a_large_table_uses_fine_bins(spark):
     model = models_extra.adaboost_fit(df, ["x", "y"], "c", n_estimators=30)
     right = model.transform(df).agg(F.avg((F.col("prediction") == F.col("c")).cast("double"))).first()[0]
     assert right > 0.95 and len({s[1] for s in model.stumps}) > 10
+
+
+@pytest.fixture
+def fitted_rows(monkeypatch):
+    """Rows that MLlib's own fits of trees get."""
+    seen = []
+    for est in (DecisionTreeClassifier, RandomForestClassifier):
+        monkeypatch.setattr(est, "fit", lambda self, rows, *a, plain=est.fit: seen.append(rows.count()) or plain(self, rows, *a))
+    return seen
+
+
+def test_importances_of_a_forest_read_no_rows_a_level(data, fitted_rows):
+    _, df = data
+    model, pred = models.train_and_score("random_forest", "classification", df, df, ["a", "b"], [], "k")
+    assert fitted_rows == [3]  # the classes, for the model's parameters
+    shares = model.stages[-1].featureImportances.toArray()
+    assert model.stages[-1].getNumTrees == 100 and shares.sum() == pytest.approx(1) and (shares > 0.2).all() and pred.count() == 600
