@@ -146,3 +146,11 @@ def test_importances_of_a_forest_read_no_rows_a_level(data, fitted_rows):
     assert fitted_rows == [3]  # the classes, for the model's parameters
     shares = model.stages[-1].featureImportances.toArray()
     assert model.stages[-1].getNumTrees == 100 and shares.sum() == pytest.approx(1) and (shares > 0.2).all() and pred.count() == 600
+
+
+def test_compared_trees_read_no_rows_a_level(data, fitted_rows):
+    _, df = data
+    out = {r["model"]: r for r in models.compare_models("classification", df.where("id % 4 > 0"), df.where("id % 4 = 0"), ["a", "b"], ["g"], "k",
+                                                        ["logistic_regression", "decision_tree", "naive_bayes", "random_forest"]).collect()}
+    assert fitted_rows == [3, 3] and all(r["error"] is None for r in out.values())
+    assert out["random_forest"]["accuracy"] > 0.7 and out["decision_tree"]["accuracy"] > 0.65
