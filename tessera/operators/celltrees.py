@@ -159,11 +159,14 @@ class Counted:
         cols = [f"x{j}" for j in range(d)]
         a = vector_to_array("features")
         wide = [*(a[j].alias(c) for j, c in enumerate(cols)), F.col("label").cast("double").alias("y")]
-        n, self.k, values = cells.marginals(kept.select(*wide), cols, "y")
-        if values is None or self.k < 2:
+        numbers = kept.select(*wide)
+        n, self.k, whole, binary = cells.look(numbers, cols, "y")
+        if not whole or self.k < 2:
             return
-        n_splits = min(est.getMaxBins(), n) - 1
-        self.edges = [cells.midpoints(v)[cells.thresholds(c, n_splits)] for v, c in values]
+        n_splits, share, self.edges = min(est.getMaxBins(), n) - 1, cells.fraction(n, est.getMaxBins()), []
+        for x, two in zip(cells.sampled(numbers.select(*cols), share, est.getSeed()), binary, strict=True):
+            v, c = np.unique(x, return_counts=True)
+            self.edges.append(np.array([0.5]) if two else cells.cuts(v, c.astype(float), n_splits, share * n, len(x)))
         held = (F.lit(0) if train is None else (~train).cast("int")).alias("held")
         found = cells.counted(rows.select(*wide, held), cols, self.edges, [("y", self.k), ("held", 2)])
         if found is None:

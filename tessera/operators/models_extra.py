@@ -34,7 +34,7 @@ from .models import gathered
 SEED = 42
 #: MLlib's number of bins, chosen anew by the weights of each round
 MAX_BINS = 32
-#: least and most bins that these are chosen from, of a column with more values in a table of more than ``cells.EXACT_ROWS`` rows
+#: least and most bins that these are chosen from, of a column of a table of more than ``cells.MOST`` rows
 FINE_BINS = 128, 1024
 
 
@@ -144,27 +144,41 @@ class AdaBoostModel:
 
 
 class _Rounds:
-    """Total weights and misses of a stump, and the weights it leaves, on cells."""
+    """Total weights and misses of a stump, and the weights it leaves, on cells. ``seen`` has the columns of the rows that MLlib
+    would choose cuts from, as places of ``values``; without it cuts are chosen from the weights of the fine bins."""
 
-    def __init__(self, found, edges: list[np.ndarray], k: int):
+    def __init__(self, found, k: int, edges: list[np.ndarray], values: list[np.ndarray] | None = None, seen: list[np.ndarray] | None = None,
+                 share: float = 1.0):
         self.bins, (self.y,), n, _ = found
-        self.edges, self.k, self.rows = edges, k, n.astype(float)
+        self.k, self.edges, self.values, self.seen, self.share = k, edges, values, seen, share
+        self.rows = n.astype(float)
         self.w = self.rows / self.rows.sum()
 
+    def _cuts(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(thresholds, bin between them of each bin of the cells) of a column in this round."""
+        n_splits = int(min(MAX_BINS, self.rows.sum())) - 1
+        if self.values is None:
+            at = cells.thresholds(np.bincount(self.bins[:, j], self.w, len(self.edges[j]) + 1), n_splits)
+            return self.edges[j][at], np.searchsorted(at, np.arange(len(self.edges[j]) + 1), side="left")
+        cell, place = self.seen[-1], self.seen[j]
+        weight = np.bincount(place, (self.w / self.rows)[cell], len(self.values[j]))
+        on = np.bincount(place, minlength=len(weight)) > 0
+        found = cells.cuts(self.values[j][on], weight[on], n_splits, self.share * self.w.sum(), len(cell))
+        return found, np.searchsorted(found, self.values[j], side="left")
+
     def stump(self) -> tuple:
         """(rule as of ``_stump_rule``, weight of all rows, weight of the missed ones); ``miss`` keeps which those are."""
-        n_splits = int(min(MAX_BINS, self.rows.sum())) - 1
-        cuts = [cells.thresholds(np.bincount(self.bins[:, j], self.w, len(e) + 1), n_splits) for j, e in enumerate(self.edges)]
-        coarse = np.stack([np.searchsorted(c, self.bins[:, j], side="left") for j, c in enumerate(cuts)], 1)
+        found = [self._cuts(j) for j in range(len(self.edges))]
+        coarse = np.stack([of[self.bins[:, j]] for j, (_, of) in enumerate(found)], 1)
         way: list = []
-        tree = celltrees.grow(coarse, self.y, self.w, self.rows, [len(c) + 1 for c in cuts], self.k, 1, way=way)
+        tree = celltrees.grow(coarse, self.y, self.w, self.rows, [len(c) + 1 for c, _ in found], self.k, 1, way=way)
         answer = tree.predictions()
         tree.pruned()
         if tree.left[0] < 0:
             rule, said = (None, None, float(answer[0]), float(answer[0])), np.full(len(self.y), answer[0])
         else:
             j, at = tree.feature[0], tree.left[0]
-            rule = (j, float(self.edges[j][cuts[j][tree.cut[0]]]), float(answer[at]), float(answer[at + 1]))
+            rule = (j, float(found[j][0][tree.cut[0]]), float(answer[at]), float(answer[at + 1]))
             said = answer[way[0]]
         self.miss = said != self.y
         return rule, float(self.w.sum()), float(self.w[self.miss].sum())
@@ -174,23 +188,30 @@ class _Rounds:
 
 
 def _rounds(rows: DataFrame, features: list[str], k: int) -> _Rounds | None:
-    """Cells of rows (features, label), or None where they are too many."""
-    _, _, values = cells.marginals(rows, features, "label")
-    if values is None:
+    """Cells of rows (features, label), or None where they are too many. Where rows are no more than cells may be, a
+    cell is a combination of values and the cuts are those MLlib chooses; else a column has fine bins."""
+    n, _, whole, binary = cells.look(rows, features, "label")
+    if not whole or not n:
         return None
-    edges, (least, most) = [], FINE_BINS
-    few = [len(v) for v, _ in values if len(v) <= least]
-    # as many as keep the cells below the limit
-    fine = (cells.MOST / k / math.prod(few)) ** (1 / max(1, len(values) - len(few)))
-    fine = int(min(max(fine, least), most))
-    for v, c in values:
-        if len(v) > fine and c.sum() > cells.EXACT_ROWS:
-            ends = np.searchsorted(np.cumsum(c), c.sum() * np.arange(1, fine) / fine)
-            edges.append(np.unique(v[ends[ends < len(v) - 1]]))
-        else:
-            edges.append(cells.midpoints(v))
+    if n <= cells.MOST:
+        rows = gathered(rows)
+        values = [np.unique(x) for x in cells.sampled(rows.select(*features), 1.0, SEED)]
+        edges = [(v[:-1] + v[1:]) / 2 for v in values]
+        found = cells.counted(rows, features, edges, [("label", k)])
+        if found is None:
+            return None
+        share = cells.fraction(n, MAX_BINS)
+        *seen, y = cells.sampled(rows.select(*features, "label"), share, SEED)
+        seen = [np.searchsorted(v, x) for v, x in zip(values, seen, strict=True)]
+        cell = {at: i for i, at in enumerate(zip(*found[0].T.tolist(), found[1][0].tolist(), strict=True))}
+        seen.append(np.array([cell[at] for at in zip(*(x.tolist() for x in seen), y.astype(int).tolist(), strict=True)], int))
+        return _Rounds(found, k, edges, values, seen, share)
+    least, most = FINE_BINS
+    wide = max(1, len(features) - sum(binary))
+    fine = int(min(max((cells.MOST / k / 2 ** sum(binary)) ** (1 / wide), least), most))  # as many as keep the cells below the limit
+    edges = cells.quantile_edges(rows, features, fine)
     found = cells.counted(rows, features, edges, [("label", k)])
-    return None if found is None else _Rounds(found, edges, k)
+    return None if found is None else _Rounds(found, k, edges)
 
 
 def adaboost_fit(df: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,

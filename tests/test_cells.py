@@ -121,10 +121,11 @@ def test_adaboost_of_cells_equals_adaboost_of_rows(data, monkeypatch):
     assert not fits and len(got.stumps) == 6
     monkeypatch.setattr(cells, "MOST", 0)
     want = models_extra.adaboost_fit(df, ["a", "b"], "k", n_estimators=6)
-    assert len(fits) == 6 and np.allclose(got.alphas, want.alphas) and np.allclose(got.stumps, want.stumps)
+    assert len(fits) == 6 and np.allclose(got.alphas, want.alphas) and np.allclose(np.array(got.stumps, float), np.array(want.stumps, float), equal_nan=True)
 
 
-def test_adaboost_of_a_large_table_uses_fine_bins(spark):
+def test_adaboost_of_a_large_table_uses_fine_bins(spark, monkeypatch):
+    monkeypatch.setattr(cells, "MOST", 1 << 14)
     df = spark.range(30_000).select(F.rand(3).alias("x"), F.rand(4).alias("y")).withColumn("c", (F.col("x") + F.col("y") > 1).cast("string"))
     model = models_extra.adaboost_fit(df, ["x", "y"], "c", n_estimators=30)
     right = model.transform(df).agg(F.avg((F.col("prediction") == F.col("c")).cast("double"))).first()[0]
@@ -154,3 +155,24 @@ def test_compared_trees_read_no_rows_a_level(data, fitted_rows):
                                                         ["logistic_regression", "decision_tree", "naive_bayes", "random_forest"]).collect()}
     assert fitted_rows == [3, 3] and all(r["error"] is None for r in out.values())
     assert out["random_forest"]["accuracy"] > 0.7 and out["decision_tree"]["accuracy"] > 0.65
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows than MLlib chooses cuts from."""
+    df = spark.range(0, 13_000, 1, 5).select("id", (F.rand(3) - 0.4).alias("x"), F.rand(4).alias("y"), F.rand(5).alias("z"))
+    return df.select("id", "x", "y", F.when(F.col("x") + F.col("y") + F.col("z") > 1.1, 1).otherwise(F.col("id") % 3).cast("int").alias("k")).cache()
+
+
+def test_cuts_of_more_rows_are_mllibs(many):
+    from pyspark.ml.feature import VectorAssembler
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(many.withColumn("label", F.col("k").cast("double")))
+    est = DecisionTreeClassifier(seed=42, maxDepth=8, minInstancesPerNode=3)
+    assert celltrees.fit(est, df).toDebugString.split("\n", 1)[1] == est.fit(df).toDebugString.split("\n", 1)[1]
+
+
+def test_adaboost_of_more_rows_equals_that_of_rows(many, monkeypatch):
+    got = models_extra.adaboost_fit(many, ["x", "y"], "k", n_estimators=5)
+    monkeypatch.setattr(cells, "MOST", 0)
+    want = models_extra.adaboost_fit(many, ["x", "y"], "k", n_estimators=5)
+    assert np.allclose(got.alphas, want.alphas) and np.allclose(np.array(got.stumps, float), np.array(want.stumps, float), equal_nan=True)
